@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlife.config import CYCLE, KEYS, UNIT
 from fleetlife.functions.errors import cap, r
-from fleetlife.functions.hashing import uniform
+from fleetlife.functions.hashing import digest
 from fleetlife.models import closed
 from fleetlife.operators import labels, metrics, numbering, sampling, windows
 
@@ -70,8 +70,8 @@ POINTS = {"click": 0, "error": 10, "purchase": 20, "signup": 25, "view": 35}
 
 
 def _placed(df: DataFrame, unit: str) -> DataFrame:
-    fleet = F.when(uniform(F.col(unit), "fleet") < 0.5, "north").otherwise("south")
-    split = F.when(uniform(F.col(unit), "split") < 0.6, "train").otherwise("test")
+    fleet = F.when(digest(F.col(unit), "fleet") < "8", "north").otherwise("south")
+    split = F.when(digest(F.col(unit), "split") < "9a", "train").otherwise("test")
     return df.withColumns({"dataset": fleet, "split": split})
 
 
@@ -85,8 +85,10 @@ def cycles(spark: SparkSession, path: str) -> DataFrame:
         point = F.when(F.col("event_type") == name, at).otherwise(point)
     value = F.col("value")
     rows = numbering.number_rows(ev, ["user_id"], ["ts", "event_id"], CYCLE)
-    return _placed(rows, "user_id").select(
-        "dataset", "split", F.col("user_id").alias(UNIT), CYCLE, "event_type",
+    rows = numbering.join_units(rows.withColumnRenamed("user_id", UNIT), lifetimes(spark, path),
+                                "n_full", keys=[UNIT])
+    return rows.select(
+        "dataset", "split", UNIT, CYCLE, "n_full", "event_type",
         (point + (value - F.floor(value) - 0.5) * 0.8).alias("setting_1"),
         (point / 100.0 + (k - 50) / 100000.0).alias("setting_2"),
         (100.0 + (k - 50) / 200.0).alias("setting_3"),
@@ -108,12 +110,10 @@ def units(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
 @plan
 def fleet(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Labelled frame: whole train lives, test lives cut at 60 percent."""
-    rows = cycles(spark, path)
-    facts = lifetimes(spark, path).drop("split")
     kept = labels.kept_cycles(F.col("n_full"), 0.6, WINDOW)
     n_obs = F.when(F.col("split") == "train", F.col("n_full")).otherwise(kept)
     rul = (F.col("n_full") - F.col(CYCLE)).cast("double")
-    out = (numbering.join_units(rows, facts, "n_full").withColumn("n_obs", n_obs)
+    out = (cycles(spark, path).withColumn("n_obs", n_obs)
            .where(F.col(CYCLE) <= F.col("n_obs"))
            .withColumns({"actual_rul": rul, "clipped_rul": cap(rul, CAP)}))
     return out if split is None else out.where(F.col("split") == split)
@@ -185,8 +185,8 @@ def rnd(*names: str, digits: int = 6) -> str:
     return ", ".join(out)
 
 
-_PLACE = (f"CASE WHEN {s_uniform('user_id', chr(39) + 'fleet' + chr(39))} < 0.5 THEN 'north' ELSE 'south' END AS dataset, "
-          f"CASE WHEN {s_uniform('user_id', chr(39) + 'split' + chr(39))} < 0.6 THEN 'train' ELSE 'test' END AS split, "
+_PLACE = ("CASE WHEN md5(concat_ws('|', user_id, 'fleet')) < '8' THEN 'north' ELSE 'south' END AS dataset, "
+          "CASE WHEN md5(concat_ws('|', user_id, 'split')) < '9a' THEN 'train' ELSE 'test' END AS split, "
           "user_id AS unit_number")
 _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 _POINT = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 10 WHEN 'purchase' THEN 20 WHEN 'signup' THEN 25 WHEN 'view' THEN 35 ELSE 0 END"

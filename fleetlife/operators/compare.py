@@ -25,6 +25,10 @@ def valid_rows(results: DataFrame, metric: str, cell: list[str]) -> DataFrame:
     return results.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (metric, *cell)]))
 
 
+def _cells_only(results: DataFrame, cell: list[str]) -> DataFrame:
+    return results.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cell]))
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key in ``order``. Copies are thinned before the shuffle."""
     first = Window.partitionBy(*keys).orderBy(*order)
@@ -117,25 +121,26 @@ def success_map(results: DataFrame, metric: str = PRIMARY, cell: list[str] = CEL
                 versus_floors: bool = False) -> DataFrame:
     """One row per (cell, candidate arm): verdict, margin, p and means against the strongest
     competitor (or floor), with the secondary metric's mean beside it."""
-    means = seed_means(results, metric, cell)
-    bar = strongest(results, metric, cell, "floor" if versus_floors else "competitor")
-    floor = (means.where(F.col("model") == FLOOR_MODEL).groupBy(*cell)
-             .agg(F.avg("mean").alias("floor")))
-    seeds = valid_rows(results, metric, cell).select(
-        *cell, *ARM, "seed", F.col(metric).cast("double").alias("value"))
-    cand = seeds.where(model_class(F.col("model")) == "candidate").join(bar, cell)
-    base = seeds.select(*cell, F.col("model").alias("best_baseline"),
-                        F.col("loss").alias("baseline_loss"), "seed", F.col("value").alias("bar_value"))
-    shared = cand.join(base, [*cell, "best_baseline", "baseline_loss", "seed"], "left")
-    tested = paired_ttest(shared.where(F.col("bar_value").isNotNull()), [*cell, *ARM],
-                          "value", "bar_value").select(*cell, *ARM, "n_seeds", "p")
-    second = seed_means(results, secondary, cell).select(
-        *cell, *ARM, F.col("mean").alias(f"candidate_{secondary}"))
-    own = (means.where(model_class(F.col("model")) == "candidate")
-           .select(*cell, *ARM, F.col("mean").alias("candidate_mean")))
-    out = (own.join(bar, cell).join(tested, [*cell, *ARM], "left").join(floor, cell, "left")
-           .join(second, [*cell, *ARM], "left")
-           .withColumn("margin", F.col("baseline_mean") - F.col("candidate_mean")))
+    kind = model_class(F.col("model"))
+    bar_kind = "floor" if versus_floors else "competitor"
+    in_cell = Window.partitionBy(*cell)
+    arms = (_cells_only(results, cell).groupBy(*cell, *ARM)
+            .agg(F.avg(metric).alias("candidate_mean"), F.avg(secondary).alias(f"candidate_{secondary}"))
+            .where(F.col("candidate_mean").isNotNull())
+            .withColumn("_bar", F.min(F.when(kind == bar_kind, F.struct("candidate_mean", *ARM))).over(in_cell))
+            .withColumn("floor", F.avg(F.when(F.col("model") == FLOOR_MODEL, F.col("candidate_mean"))).over(in_cell))
+            .where((kind == "candidate") & F.col("_bar").isNotNull())
+            .select(*cell, *ARM, "candidate_mean", f"candidate_{secondary}", "floor",
+                    F.col("_bar.model").alias("best_baseline"), F.col("_bar.loss").alias("baseline_loss"),
+                    F.col("_bar.candidate_mean").alias("baseline_mean")))
+    seeds = valid_rows(results, metric, cell).select(*cell, *ARM, "seed", F.col(metric).alias("value"))
+    base = seeds.select(*cell, F.col("model").alias("best_baseline"), F.col("loss").alias("baseline_loss"),
+                        "seed", F.col("value").alias("bar_value"))
+    pairs = (seeds.join(arms.select(*cell, *ARM, "best_baseline", "baseline_loss"), [*cell, *ARM])
+             .join(base, [*cell, "best_baseline", "baseline_loss", "seed"]))
+    tested = paired_ttest(pairs, [*cell, *ARM], "value", "bar_value").select(*cell, *ARM, "n_seeds", "p")
+    out = arms.join(tested, [*cell, *ARM], "left").withColumn(
+        "margin", F.col("baseline_mean") - F.col("candidate_mean"))
     return out.select(
         *cell, *ARM,
         verdict(F.col("margin"), F.col("p"), F.col("candidate_mean"), F.col("floor"),

@@ -50,7 +50,7 @@ def bin_index(value: Column, edges: list[float]) -> Column:
 
 
 def _edge(edges: list[float], index: Column, shift: int) -> Column:
-    return F.element_at(F.array(*[F.lit(float(e)) for e in edges]), index + (1 + shift))
+    return F.get(F.array(*[F.lit(float(e)) for e in edges]), index + shift)
 
 
 def horizon_bins(preds: DataFrame, cell: list[str], max_rul: float, edges: list[float]) -> DataFrame:

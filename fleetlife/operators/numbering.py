@@ -113,12 +113,12 @@ def block_window(keys: list[str] | None = None, position: str = CYCLE):
 
 
 def join_units(frame: DataFrame, facts: DataFrame, last: str, how: str = "inner",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, keys: list[str] | None = None) -> DataFrame:
     """Join one-row-per-unit ``facts`` to the rows of a frame on (unit, block), so that a unit
     with many rows is spread by block. ``last`` is the facts column with the last position."""
     pieces = F.sequence(F.lit(0).cast("bigint"), block_of(F.col(last), block_rows))
     spread = facts.withColumn(BLOCK, F.explode(pieces))
     had_blocks = BLOCK in frame.columns
     rows = frame if had_blocks else frame.withColumn(BLOCK, block_of(F.col(CYCLE), block_rows))
-    out = rows.join(spread, [*KEYS, BLOCK], how)
+    out = rows.join(spread, [*(keys or KEYS), BLOCK], how)
     return out if had_blocks else out.drop(BLOCK)

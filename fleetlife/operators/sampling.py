@@ -88,20 +88,20 @@ def sampling_plan(units: DataFrame, counts, seeds, fraction: float) -> DataFrame
     """Cells with their cuts: (dataset, n_units, seed, available, sub_cut, val_cut). ``sub_cut`` is
     NULL for the whole fleet, ``val_cut`` where no unit validates. Computed once; it has
     |datasets| x (|counts| + 1) x |seeds| rows, all chosen by the caller."""
-    grid = _local(cell_grid(units, counts, seeds))
+    grid = _collected(cell_grid(units, counts, seeds))
     drawn = with_levels(units.select(*KEYS), "seed", [int(s) for s in seeds])
     partial = grid.where(F.col("n_units") < F.col("available"))
-    sub = hash_cuts(drawn.withColumn("_d", _draw_key()), ["dataset", "seed"],
-                    partial.select(*CELL, F.col("n_units").alias("_n")), "sub_cut")
-    cells = _local(grid.join(sub, CELL, "left"))
+    sub = _collected(hash_cuts(drawn.withColumn("_d", _draw_key()), ["dataset", "seed"],
+                               partial.select(*CELL, F.col("n_units").alias("_n")), "sub_cut"))
+    cells = grid.join(F.broadcast(sub), CELL, "left")
     members = _drawn(units, cells).withColumn("_d", _split_key())
     size = validation_size(F.col("n_units"), fraction)
     val = hash_cuts(members.select(*CELL, "_d"), CELL,
-                    cells.select(*CELL, size.alias("_n")).where("_n > 0"), "val_cut")
-    return _local(cells.join(val, CELL, "left").select(*CELL, "available", "sub_cut", "val_cut"))
+                    grid.select(*CELL, size.alias("_n")).where("_n > 0"), "val_cut")
+    return _collected(cells.join(val, CELL, "left").select(*CELL, "available", "sub_cut", "val_cut"))
 
 
-def _local(cells: DataFrame) -> DataFrame:
+def _collected(cells: DataFrame) -> DataFrame:
     """A table of cells, computed now."""
     return cells.sparkSession.createDataFrame(cells.collect(), cells.schema)
 
