@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cap(value: Column, max_rul: float) -> Column:
-    """Label cap: min(value, max_rul)."""
-    return F.least(value, F.lit(float(max_rul)))
+def _number(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
 
 
-def clip(value: Column, max_rul: float) -> Column:
+def cap(value: Column, max_rul: float | Column) -> Column:
+    """Label cap: min(value, max_rul). The cap may be a column (one per dataset)."""
+    return F.least(value, _number(max_rul))
+
+
+def clip(value: Column, max_rul: float | Column) -> Column:
     """Prediction clipped to [0, max_rul]."""
-    return F.greatest(F.lit(0.0), F.least(value, F.lit(float(max_rul))))
+    return F.greatest(F.lit(0.0), F.least(value, _number(max_rul)))
 
 
 def nasa(d: Column) -> Column:
