@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from fleetlife.config import CYCLE, KEYS, UNIT
 from fleetlife.functions.errors import cap, r
 from fleetlife.functions.hashing import digest
-from fleetlife.models import closed
-from fleetlife.operators import labels, metrics, numbering, sampling, windows
+from fleetlife.operators import labels, metrics, numbering, sampling
+from fleetlife.plans import sweep
 
 WINDOW, CONTEXT, CAP = 12, 24, 30
 EDGES = [0.0, 10.0, 20.0, 30.0, float("inf")]
@@ -147,15 +147,11 @@ LINES = (("predict_mean", "native", None), ("cycle_reg", "native", CYCLE),
 @plan
 def predictions(spark: SparkSession, path: str, lines=LINES, last_only: bool = False) -> DataFrame:
     """Every cell's prediction of every test window (or of each unit's last one)."""
-    feats = features(spark, path)
-    train = feats.where("split = 'train'")
-    test = feats.where("split = 'test'")
+    feats = features(spark, path).withColumn("true_rul", F.col("actual_rul"))
+    train, test = feats.where("split = 'train'"), feats.where("split = 'test'")
     if last_only:
         test = test.where(F.col(CYCLE) == F.col("n_obs"))
-    inputs = [x for _, _, x in lines if x]
-    params = closed.fit_lines(closed.cell_sums(closed.unit_sums(train, inputs), cells(spark, path)), lines)
-    rows = test.withColumn("true_rul", F.col("actual_rul")).withColumn("max_rul", F.lit(float(CAP)))
-    return closed.predict_lines(params, rows, lines, CAP, ["max_rul", *KEYS, CYCLE, "true_rul"])
+    return sweep.line_predictions(train, test, cells(spark, path), lines, CAP)
 
 
 def results(spark: SparkSession, path: str, lines=LINES) -> DataFrame:

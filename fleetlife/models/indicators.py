@@ -18,6 +18,14 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+def _equals(value):
+    return lambda x: x == value
+
+
+def _field(name):
+    return lambda row: row[name].cast("double")
+
+
 def indicators(x: Column, size: int) -> dict[str, Column]:
     """``acf1/acf2``: autocorrelation; ``acf_drop``: first lag with autocorrelation below 1/e (the
     window size if none); ``longest_above``: longest run above the mean; ``crossings``: share of
@@ -45,7 +53,7 @@ def indicators(x: Column, size: int) -> dict[str, Column]:
     low, high = F.array_min(x), F.array_max(x)
     place = F.transform(x, lambda v: F.when(
         high > low, F.least(F.lit(MODE_BINS - 1), F.floor((v - low) / (high - low) * MODE_BINS))).otherwise(0).cast("int"))
-    counts = F.array(*[F.size(F.filter(place, lambda b, i=i: b == i)) for i in range(MODE_BINS)])
+    counts = F.array(*[F.size(F.filter(place, _equals(i))) for i in range(MODE_BINS)])
     squares = [r * r for r in lags]
     whole = sum(squares[1:], squares[0])
     return {
@@ -59,6 +67,6 @@ def indicators(x: Column, size: int) -> dict[str, Column]:
 
 def window_indicators(windows: DataFrame, channels: list[str], size: int) -> DataFrame:
     """Indicators of every channel of every window: columns ``<channel>_<indicator>``."""
-    base = windows.withColumns({f"_x_{c}": F.transform("win", lambda s, c=c: s[c].cast("double")) for c in channels})
+    base = windows.withColumns({f"_x_{c}": F.transform("win", _field(c)) for c in channels})
     return base.select(*KEYS, "end_cycle", "label", *[
         v.alias(f"{c}_{n}") for c in channels for n, v in indicators(F.col(f"_x_{c}"), size).items()])
