@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlife.config import UNIT
@@ -96,10 +97,10 @@ pairs AS (SELECT x.dataset, x.n_units, x.model, x.loss, x.seed, x.rmse_clipped A
 {_TEST.replace('@BY@', 'dataset, n_units, model, loss')}
 SELECT dataset, n_units, model, loss, n_seeds, {rnd('mean_a', 'mean_b', 'mean_delta', 't', 'p')} FROM tests""")
 def paired_ttest(spark, path):
-    rows = results(spark, path)
-    base = rows.where("model = 'linear_stats'").select("dataset", "n_units", "seed", F.col("rmse_clipped").alias("b"))
-    pairs = (rows.where("model <> 'linear_stats'").withColumnRenamed("rmse_clipped", "a")
-             .join(base, ["dataset", "n_units", "seed"]))
+    in_cell = Window.partitionBy("dataset", "n_units", "seed")
+    base = F.max(F.when(F.col("model") == "linear_stats", F.col("rmse_clipped"))).over(in_cell)
+    pairs = (results(spark, path).withColumn("b", base).where("model <> 'linear_stats' AND b IS NOT NULL")
+             .withColumnRenamed("rmse_clipped", "a"))
     return rounded(compare.paired_ttest(pairs, ["dataset", "n_units", "model", "loss"]))
 
 

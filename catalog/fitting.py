@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlife.config import CYCLE, KEYS, UNIT
+from fleetlife.config import CYCLE, KEYS, UNIT, content_hash
 from fleetlife.models import embed, indicators, kernels, learned
 from fleetlife.operators import features as heads
 from fleetlife.operators import health, metrics, sampling, windows
 from fleetlife.plans import sweep, zeroshot
-from fleetlife.session import small_side
+from fleetlife.session import small_side, work_dir
+from fleetlife.sources import materialize
 
 from .base import (
     CAP, FEATURES_SQL, FLEET_SQL, PCELL, SEEDS, UNITS_SQL, WINDOW, cells, fleet, plan, query, rnd, rounded,
@@ -162,9 +163,13 @@ def _cell(spark, path):
     return sweep.whole_fleet(cells(spark, path)).where("seed = 0")
 
 
-def _scores(spark, path, train, test, make, model, loss):
-    test = test.withColumnRenamed("label", "true_rul")
-    preds = sweep.learned_predictions(train.persist(), test.persist(), _cell(spark, path), make, model, loss, CAP)
+def _scores(spark, path, train, test, make, model, loss, what=""):
+    """Result rows of a model. Its features are written once, so that the passes of the fit read a
+    table instead of repeating the windows."""
+    name = f"{model}{what}_{content_hash({'path': path})}"
+    train = materialize(train, work_dir(spark), f"train_{name}", overwrite=True)
+    test = materialize(test.withColumnRenamed("label", "true_rul"), work_dir(spark), f"test_{name}", overwrite=True)
+    preds = sweep.learned_predictions(train, test, _cell(spark, path), make, model, loss, CAP)
     return rounded(metrics.evaluate(preds, PCELL, CAP), 4)
 
 
@@ -238,6 +243,6 @@ def ordinal_head(spark, path):
 @query("representation_modes", "X5 A24")
 def representation_modes(spark, path):
     def run(how):
-        return _scores(spark, path, *head_tables(spark, path, "emb", how), lambda s: learned.make_model("linear_mlp", "head", CAP, s), "linear_mlp", "mse")
+        return _scores(spark, path, *head_tables(spark, path, "emb", how), lambda s: learned.make_model("linear_mlp", "head", CAP, s), "linear_mlp", "mse", "_" + how)
 
     return sweep.over_levels({"native": "concat", "common": "mean"}, run, "mode")

@@ -78,7 +78,7 @@ def paired_ttest(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b",
     difference that does not vary."""
     d = F.col(a) - F.col(b)
     agg = pairs.groupBy(*by).agg(
-        F.count("*").alias("n_seeds"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
+        F.count(d).alias("n_seeds"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
         F.avg(d).alias("mean_delta"), F.stddev_samp(d).alias("_sd"),
         F.min_by(d, seed).alias("_d0"), F.min(d).alias("_lo"), F.max(d).alias("_hi"))
     spread = F.greatest(F.col("_hi") - F.col("_d0"), F.col("_d0") - F.col("_lo"))
@@ -94,15 +94,11 @@ def paired_loss_test(horizon: DataFrame, model: str, loss_a: str = "corn", loss_
                      metric: str = "mae_clipped") -> DataFrame:
     """Paired-by-seed test of two losses of one model per (dataset, cap, n_units, bin)."""
     cell = ["dataset", "max_rul", "n_units", "bin_lo", "bin_hi"]
-    rows = horizon.where(F.col("model") == model)
-
-    def arm(loss, name):
-        return rows.where(F.col("loss") == loss).select(
-            "dataset", "max_rul", "n_units", F.coalesce("bin_lo", F.lit(-1.0)).alias("_lo"),
-            "seed", F.col(metric).alias(name), *(["bin_lo", "bin_hi"] if name == "a" else []))
-
-    keys = ["dataset", "max_rul", "n_units", "_lo", "seed"]
-    return paired_ttest(arm(loss_a, "a").join(arm(loss_b, "b"), keys), cell)
+    arm = {n: F.max(F.when(F.col("loss") == loss, F.col(metric))) for n, loss in (("a", loss_a), ("b", loss_b))}
+    pairs = (horizon.where((F.col("model") == model) & F.col("loss").isin(loss_a, loss_b))
+             .groupBy(*cell, "seed").agg(*[v.alias(n) for n, v in arm.items()])
+             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    return paired_ttest(pairs, cell)
 
 
 def verdict(margin: Column, p: Column, candidate: Column, floor: Column, win_margin: float,
@@ -124,30 +120,28 @@ def success_map(results: DataFrame, metric: str = PRIMARY, cell: list[str] = CEL
     kind = model_class(F.col("model"))
     bar_kind = "floor" if versus_floors else "competitor"
     in_cell = Window.partitionBy(*cell)
-    arms = (_cells_only(results, cell).groupBy(*cell, *ARM)
-            .agg(F.avg(metric).alias("candidate_mean"), F.avg(secondary).alias(f"candidate_{secondary}"))
-            .where(F.col("candidate_mean").isNotNull())
-            .withColumn("_bar", F.min(F.when(kind == bar_kind, F.struct("candidate_mean", *ARM))).over(in_cell))
-            .withColumn("floor", F.avg(F.when(F.col("model") == FLOOR_MODEL, F.col("candidate_mean"))).over(in_cell))
-            .where((kind == "candidate") & F.col("_bar").isNotNull())
-            .select(*cell, *ARM, "candidate_mean", f"candidate_{secondary}", "floor",
-                    F.col("_bar.model").alias("best_baseline"), F.col("_bar.loss").alias("baseline_loss"),
-                    F.col("_bar.candidate_mean").alias("baseline_mean")))
-    seeds = valid_rows(results, metric, cell).select(*cell, *ARM, "seed", F.col(metric).alias("value"))
-    base = seeds.select(*cell, F.col("model").alias("best_baseline"), F.col("loss").alias("baseline_loss"),
-                        "seed", F.col("value").alias("bar_value"))
-    pairs = (seeds.join(arms.select(*cell, *ARM, "best_baseline", "baseline_loss"), [*cell, *ARM])
-             .join(base, [*cell, "best_baseline", "baseline_loss", "seed"]))
-    tested = paired_ttest(pairs, [*cell, *ARM], "value", "bar_value").select(*cell, *ARM, "n_seeds", "p")
-    out = arms.join(tested, [*cell, *ARM], "left").withColumn(
-        "margin", F.col("baseline_mean") - F.col("candidate_mean"))
-    return out.select(
+    # One row per seed first, so that the list of an arm is as long as the number of seeds.
+    per_seed = (_cells_only(results, cell).groupBy(*cell, *ARM, "seed")
+                .agg(F.avg(metric).alias("_v"), F.avg(secondary).alias("_s")))
+    arms = (per_seed.groupBy(*cell, *ARM).agg(
+        F.avg("_v").alias("candidate_mean"), F.avg("_s").alias(f"candidate_{secondary}"),
+        F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("seed", "_v")))).alias("_seeds"))
+        .where(F.col("candidate_mean").isNotNull())
+        .withColumn("_bar", F.min(F.when(kind == bar_kind, F.struct("candidate_mean", *ARM, "_seeds"))).over(in_cell))
+        .withColumn("floor", F.avg(F.when(F.col("model") == FLOOR_MODEL, F.col("candidate_mean"))).over(in_cell))
+        .where((kind == "candidate") & F.col("_bar").isNotNull()))
+    facts = ["candidate_mean", f"candidate_{secondary}", "floor", "best_baseline", "baseline_mean"]
+    pairs = (arms.withColumns({"best_baseline": F.col("_bar.model"), "baseline_mean": F.col("_bar.candidate_mean"),
+                               "_bar": F.map_from_entries("_bar._seeds")})
+             .select(*cell, *ARM, *facts, "_bar", F.inline("_seeds"))
+             .withColumn("b", F.try_element_at("_bar", F.col("seed"))))
+    tested = paired_ttest(pairs, [*cell, *ARM, *facts], "_v", "b")
+    margin = F.col("baseline_mean") - F.col("candidate_mean")
+    return tested.select(
         *cell, *ARM,
-        verdict(F.col("margin"), F.col("p"), F.col("candidate_mean"), F.col("floor"),
-                win_margin, alpha, versus_floors).alias("verdict"),
-        F.lit(metric).alias("metric"), "margin", "p",
-        F.coalesce("n_seeds", F.lit(0).cast("bigint")).alias("n_seeds"), "candidate_mean",
-        "best_baseline", "baseline_mean", "floor", f"candidate_{secondary}")
+        verdict(margin, F.col("p"), F.col("candidate_mean"), F.col("floor"), win_margin, alpha,
+                versus_floors).alias("verdict"),
+        F.lit(metric).alias("metric"), margin.alias("margin"), "p", "n_seeds", *facts)
 
 
 def in_text_order(table: DataFrame, keys: list[str]) -> DataFrame:

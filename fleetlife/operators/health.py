@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CYCLE, KEYS, UNIT
+from ..session import cut_lineage
 from .labels import with_length
 from .quantiles import weighted_quantile
 
@@ -84,6 +85,8 @@ def failure_threshold(train: DataFrame, transform: DataFrame, draws: DataFrame,
     """q-quantile over drawn units of the index at the unit's last cycle, per (dataset, seed)."""
     last = with_length(train).where(F.col(CYCLE) == F.col("n_obs"))
     at_end = health_index(last, transform, channels).join(draws, ["dataset", "seed", UNIT])
+    # the quantile reads its input three times: one row per unit and seed, written out once
+    at_end = cut_lineage(at_end.select("dataset", "seed", "hi", "freq"))
     return weighted_quantile(at_end, ["dataset", "seed"], "hi", "freq", q, "threshold")
 
 
