@@ -29,32 +29,33 @@ SELECT f.dataset, f.split, f.unit_number, f.time_cycles, actual_rul, clipped_rul
 FROM normed f JOIN sd ON f.dataset = sd.dataset AND f.split = sd.split""")
 def prepared_frames(spark, path):
     rows = cycles(spark, path).drop("n_full", "event_type")
-    cut, truth = labels.truncate_units(rows.where("split = 'test'"), 0.6, WINDOW)
+    cut, _ = labels.truncate_units(rows.where("split = 'test'"), 0.6, WINDOW)
     cfg = RunConfig(dataset="FD002", channels=tuple(CHANNELS), max_rul=CAP, noise=(("kind", "drift"), ("magnitude", 1.5)))
-    train, test = prepare.prepare(rows.where("split = 'train'"), cut, truth, cfg)
+    train, test = prepare.prepare(rows.where("split = 'train'"), cut, None, cfg)
     return rounded(train.unionByName(test).select("dataset", "split", UNIT, CYCLE, "actual_rul", "clipped_rul", *CHANNELS))
 
 
 # ---- ablation and window sizes -----------------------------------------------------------------
-def _context_rows(spark, path, length):
-    """Rows with the mean and deviation of s_1 over the last ``length`` cycles."""
-    rows = windows.loc_scale(fleet(spark, path), ["s_1"], length, WINDOW)
-    facts = fleet(spark, path).select("dataset", "split", UNIT, F.col(CYCLE).alias("end_cycle"), "n_obs",
-                                      F.col("clipped_rul").alias("label"), F.col("actual_rul").alias("true_rul"))
-    return rows.join(facts, [*KEYS, "end_cycle"]).withColumn(CYCLE, F.col("end_cycle"))
+FACTS = ("split", CYCLE, "n_obs", "label", "true_rul")
+LENGTHS = [12, 24, 36]
 
 
-def _ablation(spark, path):
-    full = sweep.whole_fleet(cells(spark, path))
-    lines = (("emb", "mse", "s_1_loc"), ("emb+locscale", "mse", "s_1_scale"))
+def _named(frame):
+    return frame.withColumnsRenamed({"clipped_rul": "label", "actual_rul": "true_rul"})
+
+
+def _context_sweep(spark, path, features):
+    """Full-data sweep of lines on the statistics of s_1 at every context length, from one pass."""
+    rows = windows.loc_scales(_named(fleet(spark, path)), ["s_1"], LENGTHS, WINDOW, FACTS)
+    lines = tuple((f"{n}:{name}", "mse", f"s_1_{stat}_{n}") for n in LENGTHS for name, stat in features.items())
+    test = rows.where("split = 'test' AND end_cycle = n_obs")
+    out = sweep.line_sweep(rows.where("split = 'train'"), test, sweep.whole_fleet(cells(spark, path)), lines, CAP)
+    parts = F.split("model", ":")
+    return out.withColumns({"context_length": parts[0].cast("int"), "head_features": parts[1], "pooling": F.lit("mean")})
 
-    def run(length):
-        rows = _context_rows(spark, path, length)
-        test = rows.where("split = 'test' AND end_cycle = n_obs")
-        return sweep.line_sweep(rows.where("split = 'train'"), test, full, lines, CAP)
 
-    out = sweep.over_levels({12: 12, 24: 24, 36: 36}, run, "context_length")
-    return out.withColumnRenamed("model", "head_features").withColumn("pooling", F.lit("mean"))
+def _ablation(spark, path):
+    return _context_sweep(spark, path, {"emb": "loc", "emb+locscale": "scale"})
 
 
 def _ctx_sql(n):
@@ -90,14 +91,7 @@ def ablation_winner(spark, path):
 @query("window_sizes", "X6", f"""WITH {ABLATION_SQL} SELECT context_length AS baseline_window, dataset, n_units, seed, n, {rnd(*METRIC_NAMES)} FROM abl
 WHERE head_features = 'emb'""")
 def window_sizes(spark, path):
-    full = sweep.whole_fleet(cells(spark, path))
-
-    def run(length):
-        rows = _context_rows(spark, path, length)
-        test = rows.where("split = 'test' AND end_cycle = n_obs")
-        return sweep.line_sweep(rows.where("split = 'train'"), test, full, (("linear_stats", "native", "s_1_loc"),), CAP)
-
-    out = sweep.over_levels({12: 12, 24: 24, 36: 36}, run, "baseline_window")
+    out = _context_sweep(spark, path, {"linear_stats": "loc"}).withColumnRenamed("context_length", "baseline_window")
     return rounded(out.select("baseline_window", "dataset", "n_units", "seed", "n", *METRIC_NAMES))
 
 
@@ -130,7 +124,7 @@ def _transfer(spark, path):
     plan = cells(spark, path)
     return transfer.line_transfer(
         train.where("dataset = 'north'"), train.where("dataset = 'south'"), test, plan.where("dataset = 'north'"),
-        plan.where("dataset = 'south'"), SHOTS, TLINES, CAP, ("north", "south"))
+        plan.where("dataset = 'south'"), SHOTS, TLINES, CAP)
 
 
 TRANSFER_SQL = FEATURES_SQL + ", " + MEMBERS_SQL + f""",
@@ -180,9 +174,7 @@ def noise_probe(spark, path):
         train, test = fleet(spark, path, "train"), fleet(spark, path, "test")
         if spec:
             train, test = perturb.inject_split(train, test, ["s_1"], spec, 42, "turbofan")
-        rows = [windows.loc_scale(f, ["s_1"], WINDOW, WINDOW).join(
-            f.select(*KEYS, F.col(CYCLE).alias("end_cycle"), CYCLE, "n_obs", F.col("clipped_rul").alias("label"),
-                     F.col("actual_rul").alias("true_rul")), [*KEYS, "end_cycle"]) for f in (train, test)]
+        rows = [windows.loc_scale(_named(f), ["s_1"], WINDOW, WINDOW, FACTS) for f in (train, test)]
         return sweep.line_sweep(rows[0], rows[1].where("end_cycle = n_obs"), cells(spark, path),
                                 (("linear_stats", "native", "s_1_loc"),), CAP)
 

@@ -219,9 +219,9 @@ def indicator_trees(spark, path):
 def head_tables(spark, path, mode="emb+locscale", aggregation="concat"):
     """Head features of train windows and last test windows, standardized on the train units."""
     def rows(split, label):
-        frame = fleet(spark, path, split).select(*KEYS, F.col(CYCLE).alias("end_cycle"), F.col(label).alias("label"), "n_obs", *HC)
         emb = F.flatten("emb") if aggregation == "concat" else F.zip_with(F.get("emb", F.lit(0)), F.get("emb", F.lit(1)), lambda a, b: (a + b) / 2)
-        return _projection(spark, path, split).withColumn("emb", emb).join(frame, [*KEYS, "end_cycle"])
+        out = _projection(spark, path, split, (label, "n_obs", *HC)).withColumn("emb", emb)
+        return out.withColumnRenamed(label, "label")
 
     train, test = rows("train", "clipped_rul"), rows("test", "actual_rul").where("end_cycle = n_obs")
     fit_on = sampling.cell_rows(train, _cell(spark, path)).where("role = 'train'")

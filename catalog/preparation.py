@@ -112,9 +112,6 @@ def train_labels(spark, path):
     return labels.label_train(frame, CAP).select(*KEYS, CYCLE, "n_obs", "actual_rul", "clipped_rul")
 
 
-_TRUNC = FLEET_SQL.replace("CASE WHEN split = 'train' THEN n_full\n    ELSE ", "CASE WHEN true THEN ")
-
-
 @query("truncate_units", "W8", f"""WITH {CYCLES_SQL}, kept AS (SELECT *, greatest({WINDOW}, least(floor(n_full * 0.6::DOUBLE)::BIGINT, n_full - 1)) AS n_obs FROM cycles)
 SELECT dataset, unit_number, time_cycles, n_obs, {rnd('s_1')} FROM kept WHERE time_cycles <= n_obs""")
 def truncate_units(spark, path):
@@ -132,8 +129,8 @@ def truncation_truth(spark, path):
 FROM fleet WHERE split = 'test'""")
 def test_labels(spark, path):
     test = cycles(spark, path).where("split = 'test'").select(*KEYS, CYCLE)
-    rows, truth = labels.truncate_units(test, 0.6, WINDOW)
-    return labels.label_test(rows.drop("n_obs"), truth, CAP).select(*KEYS, CYCLE, "actual_rul", "clipped_rul")
+    rows, _ = labels.truncate_units(test, 0.6, WINDOW)
+    return labels.label_test(rows, None, CAP).select(*KEYS, CYCLE, "actual_rul", "clipped_rul")
 
 
 @query("renumber_units", "W15", """WITH named AS (SELECT s_nationkey, s_name FROM supplier),
@@ -160,6 +157,13 @@ def shared_units(spark, path):
     return windows.shared_units(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"))
 
 
+@query("given_truth_labels", "W2 J2", f"""WITH {FLEET_SQL} SELECT dataset, unit_number, time_cycles, actual_rul, clipped_rul
+FROM fleet WHERE split = 'test'""")
+def given_truth_labels(spark, path):
+    rows, truth = labels.truncate_units(cycles(spark, path).where("split = 'test'").select(*KEYS, CYCLE), 0.6, WINDOW)
+    return labels.label_test(rows.drop("n_obs", "rul_truth"), truth, CAP).select(*KEYS, CYCLE, "actual_rul", "clipped_rul")
+
+
 @query("split_overlap", "J10", f"""WITH {FLEET_SQL}, u AS (SELECT DISTINCT dataset, split, unit_number FROM fleet)
 SELECT a.split, count(*) AS n_units, 0::BIGINT AS n_shared FROM u a GROUP BY a.split""")
 def split_overlap(spark, path):

@@ -27,7 +27,7 @@ def projection_embedding(frame: DataFrame, channels: list[str], length: int, dim
     """Default embedder: tanh of a seeded projection of each channel's context mean, one patch
     vector per channel. Columns ``emb`` (variates x dims) and ``locscale``; no array of raw rows
     is built."""
-    stats = loc_scale(frame, channels, length, min_cycle)
+    stats = loc_scale(frame, channels, length, min_cycle, keep)
     emb = F.array(*[
         F.array(*[F.tanh(F.col(f"{c}_loc") * (weight(seed, i, d) / scale)) for d in range(dims)])
         for i, c in enumerate(channels)])

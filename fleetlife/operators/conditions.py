@@ -44,11 +44,11 @@ def apply_condition_scaler(frame: DataFrame, scaler: DataFrame, channels: list[s
     the dataset's global row."""
     keys = _keys(frame)
     stats = [f"{c}_{s}" for c in channels for s in ("mean", "std")]
+    scaler = small_side(scaler)
     own = scaler.where(~F.col("is_global")).select("dataset", *keys, *stats)
     overall = scaler.where("is_global").select(
         "dataset", *[F.col(s).alias(f"_all_{s}") for s in stats])
-    joined = (frame.join(small_side(own), ["dataset", *keys], "left")
-              .join(small_side(overall), "dataset", "left"))
+    joined = frame.join(own, ["dataset", *keys], "left").join(F.broadcast(overall), "dataset", "left")
 
     def stat(name):
         return F.coalesce(F.col(name), F.col(f"_all_{name}"))
@@ -60,7 +60,7 @@ def apply_condition_scaler(frame: DataFrame, scaler: DataFrame, channels: list[s
 def normalize_conditions(train: DataFrame, test: DataFrame, channels: list[str]):
     """Fit on all train rows, apply to both frames. Returns (train, test)."""
     train, test = condition_keys(train), condition_keys(test)
-    scaler = fit_condition_scaler(train, channels)
+    scaler = small_side(fit_condition_scaler(train, channels))
     drop = _keys(train)
     return (apply_condition_scaler(train, scaler, channels).drop(*drop),
             apply_condition_scaler(test, scaler, channels).drop(*drop))

@@ -29,12 +29,15 @@ def label_train(frame: DataFrame, max_rul: float, block_rows: int = BLOCK_ROWS)
             .withColumn("actual_rul", rul).withColumn("clipped_rul", cap(rul, max_rul)))
 
 
-def label_test(frame: DataFrame, truth: DataFrame, max_rul: float,
+def label_test(frame: DataFrame, truth: DataFrame | None, max_rul: float,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Label of a unit that ends before failure: given remaining cycles at its last row plus the
-    cycles still to come. ``truth``: (dataset, unit_number, rul_truth)."""
-    facts = unit_lengths(frame).join(truth, KEYS, "left")
-    rows = join_units(frame.drop("n_obs"), facts, "n_obs", block_rows=block_rows)
+    cycles still to come. ``truth``: (dataset, unit_number, rul_truth); None when the frame carries
+    ``n_obs`` and ``rul_truth`` itself."""
+    rows = frame
+    if truth is not None:
+        facts = unit_lengths(frame).join(truth, KEYS, "left")
+        rows = join_units(frame.drop("n_obs"), facts, "n_obs", block_rows=block_rows)
     rul = (F.col("rul_truth") + F.col("n_obs") - F.col(CYCLE)).cast("double")
     return (rows.withColumn("actual_rul", rul).withColumn("clipped_rul", cap(rul, max_rul))
             .drop("rul_truth"))
@@ -47,14 +50,16 @@ def kept_cycles(n, fraction: float, window: int):
 
 def truncate_units(frame: DataFrame, fraction: float, window: int,
                    block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Cut every unit to the first part of its life. Returns the kept rows and the truth table
-    (remaining cycles at the cut). A unit too short to cut raises."""
+    """Cut every unit to the first part of its life. Returns the kept rows (with ``n_obs`` and
+    ``rul_truth``, the remaining cycles at the cut) and the truth table. A unit too short to cut
+    raises."""
     keep = kept_cycles(F.col("n_obs"), fraction, window)
     checked = F.when((keep >= 1) & (keep < F.col("n_obs")), keep).otherwise(
         F.raise_error(F.concat(F.lit("unit too short to truncate: "), F.col(UNIT))).cast("bigint"))
     facts = unit_lengths(frame).withColumn("_keep", checked)
     rows = (join_units(frame.drop("n_obs"), facts, "n_obs", block_rows=block_rows)
             .where(F.col(CYCLE) <= F.col("_keep"))
+            .withColumn("rul_truth", F.col("n_obs") - F.col("_keep"))
             .withColumn("n_obs", F.col("_keep")).drop("_keep"))
     truth = facts.select(*KEYS, (F.col("n_obs") - F.col("_keep")).alias("rul_truth"))
     return rows, truth

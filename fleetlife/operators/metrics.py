@@ -57,15 +57,15 @@ def horizon_bins(preds: DataFrame, cell: list[str], max_rul: float, edges: list[
     """Error by distance to failure: one row per non-empty bin of the uncapped truth and one row
     for all predictions (NULL edges, ``is_all``). The total is rolled up from the bins' sums."""
     d = F.col("pred") - cap(F.col("true_rul"), max_rul)
+    sums = {"n_bin": F.count("*"), "_sq": F.sum(d * d), "_ab": F.sum(F.abs(d)), "_d": F.sum(d), "_nasa": F.sum(nasa(d))}
     parts = preds.groupBy(*cell, bin_index(F.col("true_rul"), edges).alias("_bin")).agg(
-        F.count("*").alias("n_bin"), F.sum(d * d).alias("_sq"), F.sum(F.abs(d)).alias("_ab"),
-        F.sum(d).alias("_d"), F.sum(nasa(d)).alias("_nasa"))
-    bins = parts.where(F.col("_bin").isNotNull()).withColumn("is_all", F.lit(False))
-    total = parts.groupBy(*cell).agg(
-        F.lit(None).cast("int").alias("_bin"),
-        *[F.sum(c).alias(c) for c in ("n_bin", "_sq", "_ab", "_d", "_nasa")], F.lit(True).alias("is_all"))
+        *[v.alias(n) for n, v in sums.items()])
+    # The few bins of a cell meet in one row, with their total appended.
+    total = F.struct(F.lit(None).cast("int").alias("_bin"), *[F.sum(c).alias(c) for c in sums], F.lit(True).alias("is_all"))
+    one = F.when(F.col("_bin").isNotNull(), F.struct("_bin", *sums, F.lit(False).alias("is_all")))
+    rows = parts.groupBy(*cell).agg(F.array_append(F.collect_list(one), total).alias("_rows")).select(*cell, F.inline("_rows"))
     n = F.col("n_bin")
-    return bins.unionByName(total).select(
+    return rows.select(
         *cell, "is_all", _edge(edges, F.col("_bin"), 0).alias("bin_lo"),
         _edge(edges, F.col("_bin"), 1).alias("bin_hi"), "n_bin",
         F.sqrt(F.col("_sq") / n).alias("rmse_clipped"), (F.col("_ab") / n).alias("mae_clipped"),

@@ -22,12 +22,14 @@ def aggregate_cycles(rows: DataFrame, channels: list[str], flight_class: str, or
                      by: tuple = (*KEYS, CYCLE)) -> DataFrame:
     """Mean and sample deviation of each channel per cycle (0 for a one-row cycle), the row count
     as ``cycle_len_s``, and the class value of the cycle's first row as ``setting_1``."""
+    # a single order column keeps the aggregation hash-based
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     stats = []
     for c in channels:
         stats += [F.avg(c).alias(f"{c}_mean"),
                   F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")]
     return rows.groupBy(*by).agg(
-        F.min_by(flight_class, F.struct(*order)).cast("double").alias("setting_1"),
+        F.min_by(flight_class, place).cast("double").alias("setting_1"),
         *stats, F.count("*").cast("double").alias("cycle_len_s"),
     ).withColumns({"setting_2": F.lit(0.0), "setting_3": F.lit(0.0)})
 

@@ -150,15 +150,24 @@ def last_window_stats(frame: DataFrame, channels: list[str], window: int,
 
 
 def loc_scale(frame: DataFrame, channels: list[str], length: int, min_cycle: int = 1,
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean and population deviation of each channel over the last ``length`` rows."""
-    over = block_window().rowsBetween(-(length - 1), 0)
+              keep: tuple = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean and population deviation of each channel over the last ``length`` rows: columns
+    ``<channel>_loc`` and ``<channel>_scale``, beside ``keep``."""
+    many = loc_scales(frame, channels, [length], min_cycle, keep, block_rows)
+    return many.withColumnsRenamed({f"{c}_{s}_{length}": f"{c}_{s}" for c in channels for s in ("loc", "scale")})
+
+
+def loc_scales(frame: DataFrame, channels: list[str], lengths: list[int], min_cycle: int = 1,
+               keep: tuple = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``loc_scale`` at several lengths from one sort: ``<channel>_loc_<length>`` and so on."""
     cols = {}
-    for c in channels:
-        cols |= {f"{c}_loc": F.avg(c).over(over), f"{c}_scale": F.stddev_pop(c).over(over)}
-    rows = blocked(_needed(frame, channels), length, block_rows).withColumns(cols)
+    for n in lengths:
+        over = block_window().rowsBetween(-(n - 1), 0)
+        for c in channels:
+            cols |= {f"{c}_loc_{n}": F.avg(c).over(over), f"{c}_scale_{n}": F.stddev_pop(c).over(over)}
+    rows = blocked(_needed(frame, [*channels, *keep]), max(lengths), block_rows).withColumns(cols)
     return (unblocked(rows).where(F.col(CYCLE) >= min_cycle)
-            .select(*KEYS, F.col(CYCLE).alias("end_cycle"), *cols))
+            .select(*KEYS, F.col(CYCLE).alias("end_cycle"), *keep, *cols))
 
 
 def channel_scaler(frame: DataFrame, channels: list[str], window: int,
@@ -171,7 +180,8 @@ def channel_scaler(frame: DataFrame, channels: list[str], window: int,
     total = F.sum("_w")
     first = rows.groupBy(*by).agg(
         total.alias("weight"), *[(F.sum(F.col("_w") * F.col(x)) / total).alias(f"{x}_mean") for x in channels])
-    centred = rows.join(small_side(first), list(by))
+    first = small_side(first)
+    centred = rows.join(first, list(by))
     second = centred.groupBy(*by).agg(*[
         guarded_std(F.sqrt(F.sum(F.col("_w") * F.pow(F.col(x) - F.col(f"{x}_mean"), 2)) / total)).alias(f"{x}_std")
         for x in channels])

@@ -13,9 +13,9 @@ from ..operators.perturb import inject_split
 from ..session import small_side
 
 
-def prepare(train: DataFrame, test: DataFrame, truth: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
-    """Labelled train and test frames of one fleet. Condition statistics come from all train
-    rows; noise is applied last and to simulated fleets only."""
+def prepare(train: DataFrame, test: DataFrame, truth: DataFrame | None, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """Labelled train and test frames of one fleet; ``truth`` is None when the test frame carries
+    its own (see ``truncate_units``). Condition statistics come from all train rows; noise is applied last and to simulated fleets only."""
     train = label_train(train, cfg.max_rul)
     test = label_test(test, truth, cfg.max_rul)
     channels = list(cfg.channels)

@@ -22,27 +22,29 @@ def transfer_arms(source: DataFrame, target: DataFrame, source_plan: DataFrame,
     if any(k < 2 for k in shots):
         raise ValueError("shots must be at least 2")
     whole = source_plan.where(F.col("n_units") == F.col("available"))
-    src = cell_rows(source, whole).where("role = 'train'").drop("n_units", "role")
     few = target_plan.where(F.col("n_units").isin(*shots))
-    tgt = (cell_rows(target, few).where("role = 'train'").drop("role")
+    src = cell_rows(source, whole).where("role = 'train'").drop("n_units", "role", "dataset")
+    tgt = (cell_rows(target, few).where("role = 'train'").drop("role", "dataset")
            .withColumnRenamed("n_units", "n_target_units"))
+    # the plans are small local tables
     per_shot = src.join(F.broadcast(few.select("seed", F.col("n_units").alias("n_target_units"))), "seed")
     arms = (src.withColumn("n_target_units", F.lit(0).cast("bigint")).withColumn("mode", F.lit("zero_shot"))
             .unionByName(tgt.withColumn("mode", F.lit("target_only")))
             .unionByName(tgt.withColumn("mode", F.lit("source+target")))
             .unionByName(per_shot.withColumn("mode", F.lit("source+target"))))
-    return arms
+    names = (whole.select("seed", F.col("dataset").alias("source_dataset"))
+             .join(target_plan.select("seed", F.col("dataset").alias("target_dataset")).distinct(), "seed"))
+    return arms.join(F.broadcast(names), "seed")
 
 
 def line_transfer(source: DataFrame, target: DataFrame, test: DataFrame, source_plan: DataFrame,
-                  target_plan: DataFrame, shots: list[int], lines, max_rul: float, names: tuple[str, str]) -> DataFrame:
+                  target_plan: DataFrame, shots: list[int], lines, max_rul: float) -> DataFrame:
     """Result rows of every arm on the target's test rows, with closed-form models. Rows are
     reduced to unit sums before the arms multiply them."""
     inputs = [x for _, _, x in lines if x]
     arms = transfer_arms(closed.unit_sums(source, inputs), closed.unit_sums(target, inputs),
                          source_plan, target_plan, shots)
-    named = arms.withColumns({"source_dataset": F.lit(names[0]), "target_dataset": F.lit(names[1])})
-    params = closed.fit_lines(closed.add_up(named, ARM), lines, ARM)
-    rows = test.withColumn("target_dataset", F.lit(names[1]))
+    params = closed.fit_lines(closed.add_up(arms, ARM), lines, ARM)
+    rows = test.withColumnRenamed("dataset", "target_dataset")
     preds = closed.predict_lines(params, rows, lines, max_rul, [UNIT, CYCLE, "true_rul"], ("target_dataset",))
     return evaluate(preds, TRANSFER_KEYS, max_rul)
