@@ -9,6 +9,7 @@ from fleetlife.operators import compare, labels, metrics, perturb, sampling, win
 from fleetlife.plans import prepare, scoring, sweep, transfer
 from fleetlife.session import work_dir
 from fleetlife.sources import append_results, materialize, read_results
+from fleetlife.sources.files import parse_curves
 
 from .base import (
     CAP, CELL, CHANNELS, COUNTS, CYCLES_SQL, EDGES, FEATURES_SQL, FLEET_SQL, LINES, MEMBERS_SQL, METRIC_NAMES, PCELL, PKEYS,
@@ -211,3 +212,16 @@ def appended_results(spark, path):
     append_results(rows.where("loss = 'native'"), target)
     append_results(rows.where("loss <> 'native'"), target)
     return read_results(spark, target, rows.schema)
+
+
+@query("learning_curves", "S12", f"""WITH {PREDS_SQL} SELECT n_units, seed, loss, 'pred' AS metric, time_cycles::DOUBLE AS x, count(*) AS n,
+  {rnd('avg(pred) AS value')} FROM preds WHERE loss <> 'native' GROUP BY ALL""")
+def learning_curves(spark, path):
+    rows = predictions(spark, path)
+    name = F.concat(F.lit("level_n"), "n_units", F.lit("_seed"), "seed", F.lit("_"), F.when(F.col("loss") == "native", "-").otherwise(F.col("loss")))
+    odd = F.col("unit_number") > 50
+    points = rows.select(name.alias("name"), F.when(odd, F.col(CYCLE).cast("double")).alias("step"),
+                         F.col(CYCLE).cast("double").alias("epoch"), F.lit("pred").alias("metric"), F.col("pred").alias("value"))
+    curves = parse_curves(points, F.col("name"))
+    return rounded(curves.groupBy("n_units", "seed", "loss", "metric", "x").agg(
+        F.count("*").alias("n"), F.avg("value").alias("value")))

@@ -108,14 +108,20 @@ def read_high_rate(spark: SparkSession, path: str, dataset: str,
 
 
 # ---- learning curves ----------------------------------------------------------------------------
-def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    """Learning-curve CSVs -> (n_units, seed, loss, metric, x, value). x is the step, or the epoch
-    when the step is empty; the cell comes from the file name, other files are ignored."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+def parse_curves(points: DataFrame, name: Column) -> DataFrame:
+    """Points (step, epoch, metric, value) of curves called ``name`` -> (n_units, seed, loss,
+    metric, x, value). x is the step, or the epoch when the step is empty; the cell comes from the
+    end of the name, and points with other names are ignored."""
     pattern = r"n(\d+)_seed(\d+)_([a-z]+)$"
-    return (spark.read.option("header", "true").schema("step double, epoch double, metric string, value double")
-            .csv(path).where(name.rlike(pattern))
-            .select(F.regexp_extract(name, pattern, 1).cast("bigint").alias("n_units"),
-                    F.regexp_extract(name, pattern, 2).cast("int").alias("seed"),
-                    F.regexp_extract(name, pattern, 3).alias("loss"), "metric",
-                    F.coalesce("step", "epoch").alias("x"), "value"))
+    return points.where(name.rlike(pattern)).select(
+        F.regexp_extract(name, pattern, 1).cast("bigint").alias("n_units"),
+        F.regexp_extract(name, pattern, 2).cast("int").alias("seed"),
+        F.regexp_extract(name, pattern, 3).alias("loss"), "metric",
+        F.coalesce("step", "epoch").alias("x"), "value")
+
+
+def read_curves(spark: SparkSession, path: str) -> DataFrame:
+    """Learning curves from CSV files named after their cell."""
+    points = spark.read.option("header", "true").schema(
+        "step double, epoch double, metric string, value double").csv(path)
+    return parse_curves(points, F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
