@@ -26,9 +26,20 @@ def draws(spark, path):
     return sampling.bootstrap_units(units(spark, path), SEEDS)
 
 
+@plan
+def stored(spark, path):
+    """The prepared fleet, written once: the zero-shot path passes over it six times."""
+    rows = fleet(spark, path).select(*KEYS, "split", CYCLE, "n_obs", "actual_rul", "clipped_rul", *HC)
+    return materialize(rows, work_dir(spark), f"fleet_{content_hash({'path': path})}", overwrite=True, partition_by=("split",))
+
+
+def side(spark, path, split):
+    return stored(spark, path).where(F.col("split") == split)
+
+
 @plan
 def transform(spark, path):
-    return small_side(health.fit_health_index(fleet(spark, path, "train"), HC, draws(spark, path)))
+    return small_side(health.fit_health_index(side(spark, path, "train"), HC, draws(spark, path)))
 
 
 # ---- zero-shot path -----------------------------------------------------------------------------
@@ -56,33 +67,33 @@ crossed AS (SELECT s.dataset, s.unit_number, s.seed, any_value(end_cycle) AS end
 @query("health_index_fit", "M1 L3", f"""WITH {HEALTH_SQL} SELECT dataset, seed, {rnd('m1 AS mean_1', 'm2 AS mean_2', 'd1 AS std_1',
   'd2 AS std_2', 'v1 AS dir_1', 'v2 AS dir_2')} FROM tf""")
 def health_index_fit(spark, path):
-    t = health.fit_health_index(fleet(spark, path, "train"), HC, draws(spark, path))
+    t = health.fit_health_index(side(spark, path, "train"), HC, draws(spark, path))
     parts = {"mean": "hi_mean", "std": "hi_std", "dir": "hi_dir"}
     return rounded(t.select("dataset", "seed", *[F.get(c, F.lit(i)).alias(f"{n}_{i + 1}") for n, c in parts.items() for i in (0, 1)]))
 
 
 @query("health_index", "W13", f"""WITH {HEALTH_SQL} SELECT dataset, unit_number, time_cycles, seed, {rnd('hi')} FROM hi""")
 def health_index(spark, path):
-    out = health.health_index(fleet(spark, path, "test"), transform(spark, path), HC)
+    out = health.health_index(side(spark, path, "test"), transform(spark, path), HC)
     return rounded(out.select(*KEYS, CYCLE, "seed", "hi"))
 
 
 @query("failure_threshold", "A20", f"WITH {HEALTH_SQL} SELECT dataset, seed, {rnd('threshold')} FROM thr")
 def failure_threshold(spark, path):
-    return rounded(health.failure_threshold(fleet(spark, path, "train"), transform(spark, path), draws(spark, path), HC))
+    return rounded(health.failure_threshold(side(spark, path, "train"), transform(spark, path), draws(spark, path), HC))
 
 
 @query("trend_forecast", "M2", f"""WITH {HEALTH_SQL} SELECT dataset, unit_number, seed, end_cycle, {rnd('last_hi', 'y + b * (end_cycle + 1 - x) AS step_1',
   f'y + b * (end_cycle + {HORIZON} - x) AS step_last')} FROM fc""")
 def trend_forecast(spark, path):
-    out = health.trend_forecast(fleet(spark, path, "test"), transform(spark, path), HC, LAST_K, HORIZON)
+    out = health.trend_forecast(side(spark, path, "test"), transform(spark, path), HC, LAST_K, HORIZON)
     return rounded(out.select(*KEYS, "seed", "end_cycle", "last_hi", F.element_at("forecast", 1).alias("step_1"),
                               F.element_at("forecast", -1).alias("step_last")))
 
 
 @query("threshold_crossing", "W14", f"WITH {HEALTH_SQL} SELECT dataset, unit_number, seed, end_cycle, {rnd('true_rul', 'crossing')} FROM crossed")
 def threshold_crossing(spark, path):
-    return rounded(zeroshot.crossings(fleet(spark, path, "train"), fleet(spark, path, "test"), HC, draws(spark, path), HORIZON, LAST_K))
+    return rounded(zeroshot.crossings(side(spark, path, "train"), side(spark, path, "test"), HC, draws(spark, path), HORIZON, LAST_K))
 
 
 @query("zero_shot", "X13 A7", f"""WITH {HEALTH_SQL},
@@ -95,7 +106,7 @@ preds AS (SELECT 'trend_zeroshot' AS model, 'zeroshot' AS loss, dataset, seed, t
 SELECT model, dataset, {CAP}::DOUBLE AS max_rul, 0::BIGINT AS n_units, seed, loss, n, {rnd(*metrics.METRICS)}
 FROM (SELECT model, dataset, seed, loss, {s_metrics()} FROM preds GROUP BY model, dataset, seed, loss)""")
 def zero_shot(spark, path):
-    return rounded(zeroshot.zero_shot(fleet(spark, path, "train"), fleet(spark, path, "test"), units(spark, path), HC,
+    return rounded(zeroshot.zero_shot(side(spark, path, "train"), side(spark, path, "test"), units(spark, path), HC,
                                       SEEDS, CAP, LAST_K))
 
 
