@@ -38,25 +38,26 @@ def truth_lines(spark, path):
 
 
 def _seconds(spark, path):
-    """Line items as high-rate rows: a supplier is a unit, a ship month is a cycle."""
-    li = table(spark, path, "lineitem")
-    return li.select(
+    """Line items as high-rate rows: a supplier is a unit, a ship month is a cycle. Rows of a cycle
+    are ordered by ship day and order; the order key stands for the class."""
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint")
+    return table(spark, path, "lineitem").select(
         F.lit("DS01").alias("dataset"), F.col("l_suppkey").alias(UNIT),
         (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint").alias(CYCLE),
-        "l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        (day * 1000000000000 + F.col("l_orderkey")).alias("t"), F.col("l_orderkey").alias("Fc"), *RATE)
 
 
 RATE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_SECONDS = """sec AS (SELECT 'DS01' AS dataset, l_suppkey AS unit_number, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS time_cycles, * FROM lineitem)"""
+_SECONDS = """sec AS (SELECT 'DS01' AS dataset, l_suppkey AS unit_number, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS time_cycles,
+  date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT * 1000000000000 + l_orderkey AS t, * FROM lineitem)"""
 
 
 @query("high_rate_cycles", "A1 S5", f"""WITH {_SECONDS} SELECT dataset, unit_number, time_cycles,
-  {rnd('arg_min(l_linenumber, (l_shipdate, l_orderkey, l_partkey, l_quantity, l_extendedprice))::DOUBLE AS setting_1')},
+  {rnd('arg_min(l_orderkey, t)::DOUBLE AS setting_1')},
   {', '.join(rnd(f'avg({c}) AS {c}_mean', f'coalesce(stddev_samp({c}), 0) AS {c}_std') for c in RATE)},
   count(*)::DOUBLE AS cycle_len_s FROM sec GROUP BY dataset, unit_number, time_cycles""")
 def high_rate_cycles(spark, path):
-    order = ["l_shipdate", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
-    out = summaries.aggregate_cycles(_seconds(spark, path), RATE, "l_linenumber", order)
+    out = summaries.aggregate_cycles(_seconds(spark, path), RATE, "Fc", ["t"])
     return rounded(out.drop("setting_2", "setting_3"))
 
 
@@ -178,6 +179,14 @@ _KEYED = """keyed AS (SELECT *, round_even(setting_1, 0) + 0e0 AS key_1, round_e
   round_even(setting_3, 0) + 0e0 AS key_3 FROM fleet)"""
 
 
+@query("dense_cycles", "W15", f"""WITH {CYCLES_SQL}, kept AS (SELECT * FROM cycles WHERE event_type <> 'view')
+SELECT dataset, unit_number, time_cycles AS source_cycle, row_number() OVER (PARTITION BY dataset, unit_number ORDER BY time_cycles) AS time_cycles
+FROM kept""")
+def dense_cycles(spark, path):
+    gaps = cycles(spark, path).where("event_type <> 'view'").select(*KEYS, CYCLE)
+    return numbering.dense_cycles(gaps).select(*KEYS, "source_cycle", CYCLE)
+
+
 @query("condition_keys", "P2", f"""WITH {FLEET_SQL}, {_KEYED} SELECT dataset, unit_number, time_cycles, {rnd('key_1', 'key_2', 'key_3')} FROM keyed""")
 def condition_keys(spark, path):
     return rounded(conditions.condition_keys(fleet(spark, path)).select(*KEYS, CYCLE, "key_1", "key_2", "key_3"))

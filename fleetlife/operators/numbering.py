@@ -83,6 +83,23 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CY
     )
 
 
+def dense_cycles(frame: DataFrame) -> DataFrame:
+    """Cycles replaced by row positions 1..n (the old ones kept as ``source_cycle``). Frames with
+    gaps need this before any window: windows count rows."""
+    old = frame.withColumnRenamed(CYCLE, "source_cycle")
+    return number_rows(old, KEYS, ["source_cycle"], CYCLE)
+
+
+def require_dense(frame: DataFrame) -> DataFrame:
+    """The frame, or an error when some unit's cycles are not 1..n."""
+    cycles = frame.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.min(CYCLE).alias("lo"), F.max(CYCLE).alias("hi"))
+    odd = cycles.where("lo != 1 OR hi != n").limit(1).collect()
+    if odd:
+        raise ValueError(f"cycles are not 1..n: {odd[0]}; renumber with dense_cycles")
+    return frame
+
+
 def block_of(position: Column, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor((position - 1) / F.lit(block_rows))
 

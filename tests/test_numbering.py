@@ -57,3 +57,11 @@ def test_results_do_not_depend_on_partitions(spark, lives):
         seen.append(tuples(windows.loc_scale(labelled, ["s_2"], 4), "unit_number", "end_cycle", "s_2_loc", "s_2_scale"))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_gaps_are_renumbered(lives):
+    gaps = lives({1: 9, 2: 4}).where("time_cycles NOT IN (1, 5)")
+    with pytest.raises(ValueError, match="dense_cycles"):
+        numbering.require_dense(gaps)
+    dense = numbering.require_dense(numbering.dense_cycles(gaps))
+    assert tuples(dense.where("unit_number = 1"), "time_cycles", "source_cycle") == list(enumerate([2, 3, 4, 6, 7, 8, 9], 1))
