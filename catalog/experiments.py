@@ -153,10 +153,11 @@ def transfer_arms(spark, path):
 
 
 @query("transfer_summary", "A24", f"""WITH {TRANSFER_SQL} SELECT source_dataset, target_dataset, {LABEL} AS label, mode,
-  CASE WHEN mode <> 'zero_shot' THEN n_target_units END AS n_target_units, {rnd('avg(rmse_clipped) AS mean', 'stddev_pop(rmse_clipped) AS std')}
+  CASE WHEN mode <> 'zero_shot' THEN n_target_units ELSE -1 END AS n_target_units, {rnd('avg(rmse_clipped) AS mean', 'stddev_pop(rmse_clipped) AS std')}
 FROM tres GROUP BY ALL""")
 def transfer_summary(spark, path):
-    return rounded(compare.transfer_summary(_transfer(spark, path)))
+    shots = F.coalesce("n_target_units", F.lit(-1).cast("bigint"))
+    return rounded(compare.transfer_summary(_transfer(spark, path)).withColumn("n_target_units", shots))
 
 
 # ---- probes -------------------------------------------------------------------------------------
