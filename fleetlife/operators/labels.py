@@ -37,7 +37,7 @@ def label_test(frame: DataFrame, truth: DataFrame | None, max_rul: float,
     rows = frame
     if truth is not None:
         facts = unit_lengths(frame).join(truth, KEYS, "left")
-        rows = join_units(frame.drop("n_obs"), facts, "n_obs", block_rows=block_rows)
+        rows = join_units(frame.drop("n_obs", "rul_truth"), facts, "n_obs", block_rows=block_rows)
     rul = (F.col("rul_truth") + F.col("n_obs") - F.col(CYCLE)).cast("double")
     return (rows.withColumn("actual_rul", rul).withColumn("clipped_rul", cap(rul, max_rul))
             .drop("rul_truth"))
