@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, urls
+from . import chat, licences, packing, quality, urls
 from .sql import SQL
 
 
@@ -23,6 +23,17 @@ def op2_quality_rules(spark: SparkSession, path: str) -> DataFrame:
         F.length("quality.clean_text").cast("long").alias("clean_chars"))
 
 
+def op4_license_scans(spark: SparkSession, path: str) -> DataFrame:
+    """Every paragraph of every document that the classifier takes for a licence."""
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
+
+
+def op6_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
+    """Every document as pieces placed in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, path, "documents").select("doc_id", "text"))
+
+
 def op8_url_filters(spark: SparkSession, path: str) -> DataFrame:
     """Verdict for every page: the given rules first, then rules mined from the labelled pages."""
     pages = _table(spark, path, "pages").select("page_id", "url")
@@ -44,5 +55,6 @@ def op9_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op8_url_filters, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scans, op6_best_fit_packing,
+                                    op8_url_filters, op9_chat_formatting)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
