@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, packing, quality, urls
+from . import chat, decontaminate, licences, packing, quality, substrings, urls
 from .sql import SQL
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with sentences that an earlier place has: what to remove, and where it comes first."""
+    found = substrings.repeats(_table(spark, path, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "first_doc_ids")
+
+
 def op2_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     """Verdict of the line-first rules for every document."""
     judged = quality.assess(_table(spark, path, "documents").select("doc_id", "text"))
@@ -34,6 +40,12 @@ def op6_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(_table(spark, path, "documents").select("doc_id", "text"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    """Every document and benchmark item that it holds, with scores and overlaps."""
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, _table(spark, path, "benchmark").select("item_id", "text"))
+
+
 def op8_url_filters(spark: SparkSession, path: str) -> DataFrame:
     """Verdict for every page: the given rules first, then rules mined from the labelled pages."""
     pages = _table(spark, path, "pages").select("page_id", "url")
@@ -55,6 +67,7 @@ def op9_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scans, op6_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_license_scans,
+                                    op6_best_fit_packing, op7_benchmark_decontamination,
                                     op8_url_filters, op9_chat_formatting)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
