@@ -8,12 +8,13 @@ WAND returns every item whose score reaches the threshold. For each, the questio
 and the answer (the last; both are the whole item if it has one sentence) must each have ``OVERLAP`` of their
 ``GRAM``-word shingles in the passage.
 
-A passage is skipped without a query only where no item can reach the threshold: each item's heaviest words are
-marked until the rest of its words cannot reach it, and a text without a marked word has no match.
+A passage is skipped without a query only where no item can reach the threshold. Each item's commonest words are
+set aside as long as they hold at most ``ASIDE`` of its score; what the passage has of the item's other words, each
+counted once per half passage, must make up the rest.
 
 The index is broadcast in parts of at most ``ITEMS_PER_INDEX`` items; a larger benchmark takes more passes.
 
-Words are cut at white space and ASCII punctuation and A-Z is lower-cased. Defined results: null or empty text,
+Words are lower-cased and cut at white space and ASCII punctuation. Defined results: null or empty text,
 and items without a word, match nothing; equal items are separate items; a part shorter than a shingle is one
 shingle; repeated rows are judged each for itself. Extra columns are ignored.
 """
@@ -29,16 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, OVERLAP, GRAM, BLOCK = 0.6, 0.8, 5, 16
+THRESHOLD, OVERLAP, GRAM, BLOCK, ASIDE = 0.6, 0.8, 5, 16, 0.3
 K1, B = 1.2, 0.75
 ITEMS_PER_INDEX = 20_000
 UNIT = 1_000_000
-_PLAIN = bytes((c + 32 if 65 <= c <= 90 else 32 if (c < 128 and not chr(c).isalnum()) else c) for c in range(256))
+_PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _LAST = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_PLAIN).split()
+    return (text or "").lower().encode().translate(_PLAIN).split()
 
 
 def _parts(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -60,7 +61,7 @@ class Index:
 
     def __init__(self, items: pd.DataFrame, idf: dict[bytes, float], mean_words: float, threshold: float):
         self.least = round(threshold * UNIT)
-        self.ids, self.parts, self.longest, self.marked = [], [], 1, set()
+        self.ids, self.parts, self.longest, self.needs, own = [], [], 1, [], []
         lists: dict[bytes, list[tuple[int, int]]] = {}
         for item, text in zip(items["item_id"], items["text"]):
             found = words(text)
@@ -74,18 +75,38 @@ class Index:
             raw = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(found) / mean_words)) for w, n in count.items()}
             whole = sum(raw.values())
             impact = {w: round(UNIT * v / whole) for w, v in raw.items()}
-            rest = sum(impact.values())
-            for w in sorted(impact, key=lambda w: (-impact[w], w)):
+            own.append(impact)
+            for w in impact:
                 lists.setdefault(w, []).append((place, impact[w]))
-                if rest >= self.least:
-                    self.marked.add(w)
-                    rest -= impact[w]
         self.postings = {}
         for w, posts in lists.items():
             at, value = [p for p, _ in posts], [v for _, v in posts]
             ends = at[BLOCK - 1::BLOCK] + ([at[-1]] if len(at) % BLOCK else [])
             tops = [max(value[i:i + BLOCK]) for i in range(0, len(value), BLOCK)]
             self.postings[w] = (at, value, ends, tops, max(value))
+        self.marked: dict[bytes, list[tuple[int, int]]] = {}
+        for place, impact in enumerate(own):
+            aside = 0
+            for w in sorted(impact, key=lambda w: (-len(lists[w]), w)):
+                if aside + impact[w] <= ASIDE * UNIT:
+                    aside += impact[w]
+                else:
+                    self.marked.setdefault(w, []).append((place, impact[w]))
+            self.needs.append(self.least - aside)
+        self.marks = frozenset(self.marked)
+
+    def passages(self, found: list[bytes]) -> list[int]:
+        """First words of the passages in which some item may reach the threshold."""
+        step, out, before, alone, needs = self.longest, [], {}, False, self.needs
+        for start in range(0, len(found), step):
+            now: dict[int, int] = {}
+            for w in self.marks.intersection(found[start:start + step]):
+                for place, impact in self.marked[w]:
+                    now[place] = now.get(place, 0) + impact
+            if alone or any(v + before.get(p, 0) >= needs[p] for p, v in now.items()):
+                out.append(max(0, start - step))
+            before, alone = now, any(v >= needs[p] for p, v in now.items())
+        return out
 
     def search(self, query: set[bytes]) -> list[tuple[int, int]]:
         """(item place, score) of all items at the threshold or above: block-max WAND."""
@@ -125,12 +146,8 @@ class Index:
         """Verified items of a text: place -> (score, question overlap, answer overlap, first word)."""
         found = words(text)
         best: dict[int, tuple[int, float, float, int]] = {}
-        if self.marked.isdisjoint(found):
-            return best
-        hits = [i for i, w in enumerate(found) if w in self.marked]
         step = self.longest
-        starts = sorted({s for i in hits for s in ((i // step) * step, max(0, i // step - 1) * step)})
-        for start in starts:
+        for start in self.passages(found):
             passage = found[start:start + 2 * step]
             near = None
             for place, score in self.search(set(passage)):

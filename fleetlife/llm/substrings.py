@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SPAN, MIN_WORDS, LONG_WORDS = 3, 20, 50
+SPAN, MIN_WORDS, LONG_WORDS = 2, 20, 40
 _CUT = re.compile(rb"(?<=[.!?])(?=[\x20\x09-\x0d])|(?<=\n)")
 
 
