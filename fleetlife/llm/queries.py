@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, packing, quality, substrings, urls
+from . import chat, decontaminate, licences, lines, packing, quality, substrings, urls
 from .sql import SQL
 
 
@@ -35,6 +35,12 @@ def op4_license_scans(spark: SparkSession, path: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with lines that are later copies of a repeated run."""
+    found = lines.repeats(_table(spark, path, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_removed", "n_runs", F.array_join("lines", ",").alias("removed_lines"))
+
+
 def op6_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     """Every document as pieces placed in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, path, "documents").select("doc_id", "text"))
@@ -67,7 +73,7 @@ def op9_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_license_scans,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_license_scans, op5_line_dedup,
                                     op6_best_fit_packing, op7_benchmark_decontamination,
                                     op8_url_filters, op9_chat_formatting)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
