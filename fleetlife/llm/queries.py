@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, lines, packing, quality, substrings, urls
+from . import chat, decontaminate, jaccard, licences, lines, packing, quality, substrings, urls
 from .sql import SQL
 
 
@@ -29,6 +29,12 @@ def op2_quality_rules(spark: SparkSession, path: str) -> DataFrame:
         F.length("quality.clean_text").cast("long").alias("clean_chars"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with its set size, its component and the number of documents it links with."""
+    found = jaccard.join(_table(spark, path, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_license_scans(spark: SparkSession, path: str) -> DataFrame:
     """Every paragraph of every document that the classifier takes for a licence."""
     docs = _table(spark, path, "documents").select("doc_id", "text")
@@ -73,7 +79,7 @@ def op9_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_license_scans, op5_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_license_scans, op5_line_dedup,
                                     op6_best_fit_packing, op7_benchmark_decontamination,
                                     op8_url_filters, op9_chat_formatting)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -57,3 +57,18 @@ gone AS (SELECT c.doc_id, c.place, s.line_no, coalesce(lag(c.place) OVER (PARTIT
 SELECT doc_id, count(*) AS n_removed, CAST(count(*) FILTER (WHERE fresh) AS BIGINT) AS n_runs,
        string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed_lines
 FROM gone GROUP BY doc_id"""
+
+SQL["op3_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM g),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM g),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n p ON p.doc_id = o.a JOIN n q ON q.doc_id = o.b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+m AS (SELECT a, count(*) AS c FROM l GROUP BY a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, component_id, CAST(coalesce(m.c, 0) AS BIGINT) AS n_links
+FROM n JOIN k ON k.a = n.doc_id LEFT JOIN m ON m.a = n.doc_id"""
