@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licences, lines, packing, quality, substrings, urls
+from . import chat, decontaminate, jaccard, licences, lines, lm, packing, quality, substrings, urls
 from .sql import SQL
 
 
@@ -79,7 +79,12 @@ def op9_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op10_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
+    """Log10 probability of every document under the model learned from the training documents."""
+    return lm.score(_table(spark, path, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_license_scans, op5_line_dedup,
                                     op6_best_fit_packing, op7_benchmark_decontamination,
-                                    op8_url_filters, op9_chat_formatting)}
+                                    op8_url_filters, op9_chat_formatting, op10_lm_scoring)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
