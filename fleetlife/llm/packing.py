@@ -18,6 +18,7 @@ across whitespace; a word that is not in the cache goes to the tokenizer.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +31,14 @@ BUCKET_ROWS, CACHE_WORDS = 16_000, 1_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įıĳ-ɏ]*)([!-/:-@\\[-`{-~]*)")
+# Byte-level vocabularies show a byte as a printable character: itself, or else the next one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Words on which both ways must agree; with a tokenizer where they do not, all words take the whole way.
+PROBES = ["the", "The", "heation,", "élève.", "ÜBER!!", "|", "señor?!", "Straße;", "ANOTHER", "ñ", "x--", "çà"]
+
+
 class WordCache(dict):
     """Word (UTF-8) -> its token ids as little-endian bytes. ``bytes.split`` cuts at ASCII white space."""
 
@@ -42,8 +51,29 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         self.limit = words
 
+        self.direct = True
+        self.direct = all(self._pieces(w) == self._encode(w) for w in PROBES)
+
+    def _encode(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _pieces(self, word: str) -> list[int]:
+        """Ids of a word. Latin letters and the marks after them are known to be one piece each, so these go to
+        the tokenizer's merges without its rules for finding pieces; all other words take the whole way."""
+        plain = _PLAIN.fullmatch(word) if self.direct else None
+        if plain is None:
+            return self._encode(word)
+        out = []
+        for piece in plain.groups():
+            if piece:
+                piece = piece.lower()
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin-1").translate(_SHOWN)
+                out += [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return out
+
     def __missing__(self, word: bytes) -> bytes:
-        found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        found = self._pieces(word.decode())
         if len(self) >= self.limit:
             self.clear()
         self[word] = out = np.array(found, "<u4").tobytes()
