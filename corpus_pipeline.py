@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.llm import common, quality
+from fleetlife.llm import common, decontaminate, jaccard, lines, packing, quality
+
+NEAR_WORDS, NEAR_AT_LEAST, NEAR_OF = 5, 80, 100  # shingles of five words, similarity of 0.8 or more
 
 
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -25,8 +27,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _sized(quality.clean(docs), docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are deleted; a document with no other text goes."""
+    return _sized(lines.remove(docs, lines.repeats(docs)), docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, and one row of it."""
+    found = jaccard.join(docs, NEAR_WORDS, NEAR_AT_LEAST, NEAR_OF)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    again = found.where("class IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    # Rows that share an id: one for each text stays. Only these meet in an aggregation.
+    alone = kept.join(again, "doc_id", "left_anti")
+    shared = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.select(*docs.columns).unionByName(shared.select(*docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.clean(docs, items).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, tokenized and placed in sequences: one row per piece, with its ids."""
+    return packing.pack(docs.select("doc_id", "text"), with_ids=True)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 ORACLE_SQL = None
