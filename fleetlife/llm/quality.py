@@ -86,7 +86,8 @@ def assess(docs: DataFrame, text: str = "text", short: int = SHORT_LINE, notice:
         F.transform("_q_at", lambda p, i: F.least(F.lit(REPEAT_SPAN), F.coalesce(
             p - F.get("_q_at", i - 1), F.lit(REPEAT_SPAN)))),
         F.lit(0), lambda a, b: a + b)
-    df = df.withColumn("_q_repeat", F.coalesce(covered, F.lit(0)))
+    # A filter on the verdict must not be moved below this row number, or every step would be inlined into it.
+    df = df.withColumns({"_q_repeat": F.coalesce(covered, F.lit(0)), "_q_stop": F.monotonically_increasing_id()})
     failed = (F.col("_q_n") < BASE_WORDS) | (
         F.col("_q_repeat").cast("long") * 100 > F.col("_q_n").cast("long") * BASE_REPEAT_PERCENT)
     lost = F.col("_q_n") - F.col("_q_rest")
@@ -98,7 +99,7 @@ def assess(docs: DataFrame, text: str = "text", short: int = SHORT_LINE, notice:
         (F.size("_q_full") - F.size(F.array_distinct("_q_full"))).cast("long").alias("n_dup_lines"),
         F.col("_q_repeat").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & enough).alias("kept"),
+        (~failed & enough & (F.col("_q_stop") >= 0)).alias("kept"),
         (F.size("_q_lines") - F.size("_q_left")).cast("long").alias("n_removed_lines"),
         lost.cast("long").alias("n_removed_words"),
         F.col("_q_clean").alias("clean_text"),
