@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 BUDGET, HISTORY = 1024, 128
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
@@ -115,7 +117,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
                 shown = [f"{START}{_role(r)}\n{escape(x)}{END}\n" for r, x in zip(roles, texts)]
                 costs = [len(e.ids) for e in tokenizer.encode_batch(shown, add_special_tokens=False)]
                 done.append(windows_of(roles, texts, costs, budget, history))
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "windows": done})
+            yield plain(pd.DataFrame({"conv_id": batch["conv_id"], "windows": done}), "conv_id", "windows")
 
     done = talks.mapInPandas(run, f"conv_id string, windows array<{WINDOW}>")
     return done.withColumn("conv_id", F.col("conv_id").cast(kind))
@@ -164,7 +166,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "conv_id", list(batch["conv_id"]))
-            yield out
+            yield plain(out, "conv_id", "turns_sha256", "loss_sha256")
 
     read = formatted.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(
         run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain(frame: pd.DataFrame, *texts: str) -> pd.DataFrame:
+    """Text columns as Python objects: an empty column, or one of nulls alone, would else be taken for numbers."""
+    return frame.astype(dict.fromkeys(texts, object))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 THRESHOLD, OVERLAP, GRAM, BLOCK, ASIDE = 0.6, 0.8, 5, 16, 0.3
 K1, B = 1.2, 0.75
 ITEMS_PER_INDEX = 20_000
@@ -192,7 +194,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     count = items.count()
     shards = max(1, -(-count // ITEMS_PER_INDEX))
     frequency = _document_frequency(items)
-    plain = docs.select(F.col("doc_id").cast("string"), "text")
+    texts = docs.select(F.col("doc_id").cast("string"), "text")
     sides = []
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
@@ -206,9 +208,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             for batch in batches:
                 rows = [(doc, index.value.ids[k], *v) for doc, text in zip(batch["doc_id"], batch["text"])
                         for k, v in sorted(index.value.leaks(text).items())]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
+                yield plain(pd.DataFrame(rows, columns=names), "doc_id", "item_id")
 
-        sides.append(plain.mapInPandas(run, schema))
+        sides.append(texts.mapInPandas(run, schema))
     out = reduce(DataFrame.unionByName, sides)
     return out.withColumns({"doc_id": F.col("doc_id").cast(kind), "item_id": F.col("item_id").cast(item_kind),
                             "score": F.col("score") / UNIT})

@@ -23,7 +23,7 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import plain, stored
 
 SAMPLE_ROWS, MAX_FEATURES, CONFIRM_SHARE, KEEP_RATE = 6000, 20_000, 0.6, 0.995
 NONE, UNKNOWN = "none", "unknown"
@@ -89,8 +89,8 @@ def _examples(kept: pd.Series, rank: pd.Series) -> list[tuple[str, str]]:
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(grams, label, held_out) from a bounded sample of the paragraphs, the same for the same corpus."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    plain = lines.where(~F.lower("line").rlike(f"\\b({CUE})"))
-    picked = plain.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 2000).alias("line")).orderBy("h", "line").limit(rows)
+    usual = lines.where(~F.lower("line").rlike(f"\\b({CUE})"))
+    picked = usual.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 2000).alias("line")).orderBy("h", "line").limit(rows)
     found = picked.toPandas()  # at most ``rows`` rows of at most 2000 characters
     text = pd.Series([*found["line"], *PLAIN * 2 * len(TEMPLATES)])
     made = _examples(text, pd.Series(range(len(text))))
@@ -173,7 +173,8 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 for i, line in enumerate((text or "").split("\n")):
                     if line and (said := classifier.judge(line)):
                         rows.append((doc, i, *said))
-            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "family", "predicted", "probability", "template_share"])
+            names = ["doc_id", "paragraph", "family", "predicted", "probability", "template_share"]
+            yield plain(pd.DataFrame(rows, columns=names), "doc_id", "family", "predicted")
 
     done = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
         run, "doc_id string, paragraph long, family string, predicted string, probability double, template_share double")

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 MAX_TOKENS, END_ID = 2048, 0
 BUCKET_ROWS, CACHE_WORDS = 16_000, 1_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -100,10 +102,10 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
                     if with_ids:
                         ids.append(part.astype("int32"))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(ids=ids) if with_ids else out
+            yield plain(out.assign(ids=ids) if with_ids else out, "doc_id")
 
-    plain = docs.select(F.col("doc_id").cast("string"), "text")
-    done = plain.mapInPandas(run, f"doc_id string, {PIECES}" + (", ids array<int>" if with_ids else ""))
+    texts = docs.select(F.col("doc_id").cast("string"), "text")
+    done = texts.mapInPandas(run, f"doc_id string, {PIECES}" + (", ids array<int>" if with_ids else ""))
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -164,8 +166,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | Non
         bins, offsets = best_fit(need[whole:], capacity, np.asarray(weights, float), score)
         bins = np.concatenate([np.arange(whole), bins + whole])
         base = int(group["_bucket"].iloc[0]) << 40
-        return group.drop(columns="_bucket").assign(
-            sequence_id=bins + base, offset=np.concatenate([np.zeros(whole, "int64"), offsets]))
+        return plain(group.drop(columns="_bucket").assign(
+            sequence_id=bins + base, offset=np.concatenate([np.zeros(whole, "int64"), offsets])), "doc_id")
 
     cut = pieces(docs, max_tokens, end_id, vocabulary, with_ids)
     spread = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(buckets)))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import plain, stored
 
 SPAN, MIN_WORDS, LONG_WORDS = 2, 20, 40
 _CUT = re.compile(rb"(?<=[.!?])(?=[\x20\x09-\x0d])|(?<=\n)")
@@ -65,7 +65,7 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_wo
                 out["doc_id"] += [doc] * len(keep)
                 out["text_hash"].append(np.full(len(keep), np.uint64(digest(text.encode()))).view("int64"))
             flat = {k: v if k == "doc_id" else (np.concatenate(v) if v else np.array([], "int64")) for k, v in out.items()}
-            yield pd.DataFrame(flat)
+            yield plain(pd.DataFrame(flat), "doc_id")
 
     done = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
         run, "key long, doc_id string, text_hash long, first int, last int")
