@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +48,9 @@ def query(name: str, ids: str, sql: str | None = None):
     return add
 
 
-# Plans (not data) are kept per session and folder, so that queries on one input share them.
-plan = lru_cache(maxsize=None)
+def plan(fn):
+    """Marks a shared input. Nothing is kept between queries: each builds its plan from the files as they are."""
+    return fn
 
 
 @plan

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlife.config import CYCLE, KEYS, UNIT, RunConfig, content_hash
+from fleetlife.config import CYCLE, KEYS, UNIT, content_hash
 from fleetlife.operators import compare, labels, metrics, perturb, sampling, windows
 from fleetlife.plans import prepare, scoring, sweep, transfer
 from fleetlife.session import work_dir
-from fleetlife.sources import append_results, materialize, read_results
+from fleetlife.sources import append_results, materialize, read_results, source_key
 from fleetlife.sources.files import parse_curves
 
 from .base import (
@@ -31,8 +31,8 @@ FROM normed f JOIN sd ON f.dataset = sd.dataset AND f.split = sd.split""")
 def prepared_frames(spark, path):
     rows = cycles(spark, path).drop("n_full", "event_type")
     cut, _ = labels.truncate_units(rows.where("split = 'test'"), 0.6, WINDOW)
-    cfg = RunConfig(dataset="FD002", channels=tuple(CHANNELS), max_rul=CAP, noise=(("kind", "drift"), ("magnitude", 1.5)))
-    train, test = prepare.prepare(rows.where("split = 'train'"), cut, None, cfg)
+    train, test = prepare.prepare(rows.where("split = 'train'"), cut, None, CHANNELS, CAP,
+                                  by_condition=prepare.several_conditions("FD002"), noise={"kind": "drift", "magnitude": 1.5})
     return rounded(train.unionByName(test).select("dataset", "split", UNIT, CYCLE, "actual_rul", "clipped_rul", *CHANNELS))
 
 
@@ -200,8 +200,8 @@ def fleet_settings(spark, path):
 @query("materialized_windows", "S8", f"""WITH {FEATURES_SQL} SELECT dataset, split, unit_number, time_cycles, {rnd('label', 'm_1')} FROM feats""")
 def materialized_windows(spark, path):
     rows = rounded(features(spark, path).select("dataset", "split", UNIT, CYCLE, "label", "m_1"))
-    key = "windows_" + content_hash({"path": path, "window": WINDOW, "cap": CAP})
-    return materialize(rows, work_dir(spark), key, overwrite=True, partition_by=("split",))
+    key = "windows_" + content_hash({"source": source_key(spark, f"{path}/events.parquet"), "window": WINDOW, "cap": CAP})
+    return materialize(rows, work_dir(spark), key, partition_by=("split",))
 
 
 @query("appended_results", "S10 S11 U3", f"WITH {RESULTS_SQL} SELECT {PKEYS}, {rnd(*METRIC_NAMES)}, n FROM results")

@@ -10,7 +10,7 @@ from fleetlife.operators import features as heads
 from fleetlife.operators import health, metrics, sampling, windows
 from fleetlife.plans import sweep, zeroshot
 from fleetlife.session import small_side, work_dir
-from fleetlife.sources import materialize
+from fleetlife.sources import materialize, source_key
 
 from .base import (
     CAP, FEATURES_SQL, FLEET_SQL, PCELL, SEEDS, UNITS_SQL, WINDOW, cells, fleet, plan, query, rnd, rounded,
@@ -30,7 +30,7 @@ def draws(spark, path):
 def stored(spark, path):
     """The prepared fleet, written once: the zero-shot path passes over it six times."""
     rows = fleet(spark, path).select(*KEYS, "split", CYCLE, "n_obs", "actual_rul", "clipped_rul", *HC)
-    return materialize(rows, work_dir(spark), f"fleet_{content_hash({'path': path})}", overwrite=True, partition_by=("split",))
+    return materialize(rows, work_dir(spark), f"fleet_{source_key(spark, f'{path}/events.parquet')}", partition_by=("split",))
 
 
 def side(spark, path, split):
@@ -177,9 +177,10 @@ def _cell(spark, path):
 def _scores(spark, path, train, test, make, model, loss, what=""):
     """Result rows of a model. Its features are written once, so that the passes of the fit read a
     table instead of repeating the windows."""
-    name = f"{model}{what}_{content_hash({'path': path})}"
-    train = materialize(train, work_dir(spark), f"train_{name}", overwrite=True)
-    test = materialize(test.withColumnRenamed("label", "true_rul"), work_dir(spark), f"test_{name}", overwrite=True)
+    facts = {"source": source_key(spark, f"{path}/events.parquet"), "columns": train.columns, "window": WINDOW, "cap": CAP}
+    name = f"{model}{what}_{content_hash(facts)}"
+    train = materialize(train, work_dir(spark), f"train_{name}")
+    test = materialize(test.withColumnRenamed("label", "true_rul"), work_dir(spark), f"test_{name}")
     preds = sweep.learned_predictions(train, test, _cell(spark, path), make, model, loss, CAP)
     return rounded(metrics.evaluate(preds, PCELL, CAP), 4)
 

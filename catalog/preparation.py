@@ -143,12 +143,15 @@ def renumber_units(spark, path):
 
 
 @query("union_fleets", "U1 W15", f"""WITH {FLEET_SQL} SELECT 'ALL' AS dataset, dataset AS member, split,
-  unit_number + CASE dataset WHEN 'south' THEN 1000 ELSE 0 END AS unit_number, count(*) AS n_rows FROM fleet GROUP BY ALL""")
+  unit_number + CASE dataset WHEN 'south' THEN (SELECT CASE WHEN max(unit_number) < 1000 THEN 1000 WHEN max(unit_number) < 10000
+    THEN 10000 WHEN max(unit_number) < 100000 THEN 100000 ELSE 1000000 END FROM fleet) ELSE 0 END AS unit_number,
+  count(*) AS n_rows, max((SELECT count(DISTINCT (dataset, unit_number)) FROM fleet)) AS n_ids FROM fleet GROUP BY ALL""")
 def union_fleets(spark, path):
-    rows = fleet(spark, path)
-    members = {m: labels.require_members(rows, ["north", "south"]).where(F.col("dataset") == m) for m in ("south", "north")}
-    both = labels.union_fleets(members, "ALL")
-    return both.groupBy("dataset", "member", "split", UNIT).agg(F.count("*").alias("n_rows"))
+    rows = labels.require_members(fleet(spark, path), ["north", "south"])
+    both = labels.union_fleets({m: rows.where(F.col("dataset") == m) for m in ("south", "north")}, "ALL")
+    ids = both.agg(F.countDistinct("dataset", UNIT).alias("n_ids"))  # one row
+    counted = both.groupBy("dataset", "member", "split", UNIT).agg(F.count("*").alias("n_rows"))
+    return counted.join(F.broadcast(ids.withColumn("dataset", F.lit("ALL"))), "dataset")
 
 
 @query("shared_units", "J10", f"""WITH {FLEET_SQL} SELECT DISTINCT a.dataset, a.unit_number FROM fleet a JOIN fleet b

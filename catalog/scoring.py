@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlife.config import CYCLE, UNIT, content_hash
+from fleetlife.functions.hashing import content_key
 from fleetlife.functions import ordinal
 from fleetlife.functions.errors import cap, nasa
 from fleetlife.functions.names import bin_label, series_label
@@ -169,4 +170,4 @@ def select_arm(spark, path):
 def content_keys(spark, path):
     facts = F.struct(F.col("o_custkey").alias("cap"), F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("n"))
     return table(spark, path, "orders").select(
-        "o_orderkey", F.substring(F.sha2(F.to_json(facts), 256), 1, 16).alias("content_key"))
+        "o_orderkey", content_key(facts).alias("content_key"))

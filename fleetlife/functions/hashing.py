@@ -32,3 +32,8 @@ def normal(*parts) -> Column:
     u1 = (hash32(*parts, "r") + 1) / F.lit(4294967296.0)
     u2 = uniform(*parts, "a")
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+
+
+def content_key(parts: Column) -> Column:
+    """``config.content_hash`` of a struct whose fields are in name order, one key per row."""
+    return F.substring(F.sha2(F.to_json(parts), 256), 1, 16)

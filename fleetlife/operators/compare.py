@@ -29,9 +29,15 @@ def _cells_only(results: DataFrame, cell: list[str]) -> DataFrame:
     return results.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cell]))
 
 
-def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of each key in ``order``. Copies are thinned before the shuffle."""
+def dedupe(df: DataFrame, keys: list[str], order: list[str], same: list[str] | None = None) -> DataFrame:
+    """First row of each key in ``order``, the order of the runs. Copies that differ in ``same`` are an error:
+    which of them is right cannot be told from the rows."""
     first = Window.partitionBy(*keys).orderBy(*order)
+    if same:
+        facts, whole = F.struct(*same), Window.partitionBy(*keys)
+        differ = F.min(facts).over(whole) != F.max(facts).over(whole)
+        df = df.withColumn("_d", F.when(differ, F.raise_error(F.lit(f"copies of a row differ in {same}")))).where(
+            "_d IS NULL").drop("_d")
     return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
@@ -151,11 +157,13 @@ def in_text_order(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def verdict_grid(table: DataFrame, condition: str, size: int) -> DataFrame:
     """Model rows by condition columns ``c1..c<size>`` per dataset. Conditions are placed with
-    numbers first (ascending), then text."""
+    numbers first (ascending), then text. More conditions than columns are an error."""
     text = F.col(condition).cast("string")
     number = text.try_cast("double")
     order = Window.partitionBy("dataset").orderBy(number.isNull(), number, text)
-    placed = table.withColumn("_c", F.concat(F.lit("c"), F.dense_rank().over(order)))
+    rank = F.dense_rank().over(order)
+    placed = table.withColumn("_c", F.when(rank <= size, F.concat(F.lit("c"), rank)).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {size} conditions of "), F.col("dataset")))))
     return placed.groupBy("dataset", "model").pivot("_c", [f"c{i}" for i in range(1, size + 1)]).agg(
         F.first("verdict"))
 

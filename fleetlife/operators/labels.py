@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,23 @@ def renumber_units(frame: DataFrame, name: str, per: list[str] | None = None) ->
     return frame.drop(UNIT).join(ids, [*(per or []), name])
 
 
-def union_fleets(members: dict[str, DataFrame], name: str, stride: int = 1000) -> DataFrame:
+def union_stride(members: dict[str, DataFrame], least: int = 1000) -> int:
+    """The smallest power of ten from ``least`` on that no unit id of a member reaches."""
+    tops = reduce(DataFrame.union, [m.agg(F.max(UNIT), F.min(UNIT)) for m in members.values()]).collect()  # a row each
+    if any(low is not None and low < 0 for _, low in tops):
+        raise ValueError("unit ids below 0 cannot be told apart in a union")
+    stride, top = least, max((t for t, _ in tops if t is not None), default=0)
+    while stride <= top:
+        stride *= 10
+    return stride
+
+
+def union_fleets(members: dict[str, DataFrame], name: str) -> DataFrame:
     """Union of fleets under one dataset name with ids ``stride * position + unit``, positions in
-    sorted member order. At least two members are required."""
+    sorted member order; ``union_stride`` keeps the ids apart. At least two members are required."""
     if len(members) < 2:
         raise ValueError(f"a union needs at least two members, got {sorted(members)}")
+    stride = union_stride(members)
     parts = [
         members[m].withColumn(UNIT, F.col(UNIT) + stride * i).withColumn("member", F.lit(m))
         for i, m in enumerate(sorted(members))

@@ -3,8 +3,8 @@
 Two tools keep every per-unit operator exact when a single unit holds a large share of the rows.
 
 * ``number_rows`` gives each row its dense position 1..n inside its group. Groups above a row
-  limit are cut into slices of their order range, numbered slice by slice, and shifted by the
-  sizes of the earlier slices.
+  limit are cut into slices at quantiles of their order key, numbered slice by slice, and shifted
+  by the sizes of the earlier slices. NULL keys come first and NaN last, cut or not.
 * ``blocked`` cuts a numbered unit into blocks of consecutive cycles and copies the few rows a
   sliding frame needs from the previous block. Windows are then partitioned by (unit, block).
 """
@@ -37,8 +37,7 @@ def _large_groups(df: DataFrame, keys: list[str], lead: Column, slice_rows: int)
     """Groups to slice, as a local table, or None when there are none. Counted by one aggregation
     of the key and order columns. There are never more than ``MAX_SLICED_GROUPS``: with more
     groups above the limit, the limit becomes that share of the table."""
-    sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = slice_rows
     found = sizes.where(F.col("_n") > limit).limit(MAX_SLICED_GROUPS + 1).collect()
     if len(found) > MAX_SLICED_GROUPS:
@@ -46,8 +45,13 @@ def _large_groups(df: DataFrame, keys: list[str], lead: Column, slice_rows: int)
         found = sizes.where(F.col("_n") > limit).collect()
     if not found:
         return None
-    local = df.sparkSession.createDataFrame(found, sizes.schema)
-    return local.withColumn("_k", F.ceil(F.col("_n") / limit)).drop("_n")
+    local = F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
+    number = F.when(F.isnan(lead), None).otherwise(lead)
+    parts = min(1000, 4 * (max(r["_n"] for r in found) // limit + 1))
+    cuts = (df.join(local, keys).groupBy(*keys)
+            .agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts")))
+    made = cuts.select(*keys, F.coalesce(F.array_distinct("_cuts"), F.array().cast("array<double>")).alias("_cuts"))
+    return df.sparkSession.createDataFrame(made.collect(), made.schema)  # the same cuts in every use
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CYCLE,
@@ -55,23 +59,25 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CY
     """Add ``name``: the position 1..n of a row inside its ``keys`` group, sorted by ``order``
     (first entry numeric or a timestamp; together the entries must identify a row).
 
-    Groups above ``slice_rows`` are cut into slices of equal order range. The sizes of the slices
-    (at most 200 000 in all) give each slice its starting position.
+    Groups above ``slice_rows`` are cut at approximate quantiles of the first order key, so that an outlier
+    does not matter; rows with one and the same first key stay in one slice. The sizes of the slices give each
+    its starting position.
     """
     lead = _as_number(df, order[0])
     large = _large_groups(df, keys, lead, slice_rows)
     if large is None:
         return df.withColumn(name, F.row_number().over(
             Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    share = (lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    above = F.size(F.filter("_cuts", lambda c: c < lead))
+    place = F.when(lead.isNull(), -1).when(F.isnan(lead), F.size("_cuts") + 1).otherwise(above)
     sliced = (
         df.join(F.broadcast(large), keys, "left")
-        .withColumn("_slice", F.coalesce(F.least(F.col("_k") - 1, F.floor(share * F.col("_k"))), F.lit(0)))
-        .drop("_lo", "_hi")
+        .withColumns({"_k": F.col("_cuts").isNotNull(), "_slice": F.when(F.col("_cuts").isNull(), 0).otherwise(place)})
+        .drop("_cuts")
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        sliced.where(F.col("_k").isNotNull()).groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
+        sliced.where("_k").groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
         .select(*keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)

@@ -87,7 +87,8 @@ def window_stats(frame: DataFrame, channels: list[str], window: int,
                  target: str = "clipped_rul", keep: tuple = (),
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nine statistics of each channel over every full window: mean, population deviation, min,
-    max, quartiles, slope per step, last value. Columns ``<channel>_<stat>``."""
+    max, quartiles, slope per step, last value. Columns ``<channel>_<stat>``. NULL readings are left out of
+    the statistics; a window without readings has NULL ones."""
     over = block_window().rowsBetween(-(window - 1), 0)
     step = F.col(CYCLE).cast("double")
     cols = {}
@@ -103,7 +104,7 @@ def window_stats(frame: DataFrame, channels: list[str], window: int,
     full = unblocked(rows).where(F.col(CYCLE) >= window)
     full = full.withColumns({f"_{c}_list": F.array_sort(f"_{c}_list") for c in channels})
     quartiles = {
-        f"{c}_q{q}": sorted_quantile(F.col(f"_{c}_list"), window, q / 100)
+        f"{c}_q{q}": present_quantile(F.col(f"_{c}_list"), q / 100)
         for c in channels for q in (25, 50, 75)
     }
     return full.withColumns(quartiles).select(
@@ -111,6 +112,14 @@ def window_stats(frame: DataFrame, channels: list[str], window: int,
         *[f"{c}_{s}" for s in STATS for c in channels])
 
 
+def present_quantile(values: Column, q: float) -> Column:
+    """Quantile by linear interpolation of the values there are, from a sorted array; NULL without any."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(place).cast("int")
+    a = F.get(values, low)
+    return a + (F.coalesce(F.get(values, low + 1), a) - a) * (place - low)
+
+
 def sorted_quantile(values: Column, size: int, q: float) -> Column:
     """Quantile by linear interpolation of a sorted array of known size."""
     place = (size - 1) * q

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
+from ..config import MULTI_CONDITION
 from ..functions.errors import cap
 from ..operators.conditions import normalize_conditions
 from ..operators.labels import label_test, label_train
@@ -13,17 +13,21 @@ from ..operators.perturb import inject_split
 from ..session import small_side
 
 
-def prepare(train: DataFrame, test: DataFrame, truth: DataFrame | None, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
-    """Labelled train and test frames of one fleet; ``truth`` is None when the test frame carries
-    its own (see ``truncate_units``). Condition statistics come from all train rows; noise is applied last and to simulated fleets only."""
-    train = label_train(train, cfg.max_rul)
-    test = label_test(test, truth, cfg.max_rul)
-    channels = list(cfg.channels)
-    if cfg.normalise_conditions():
-        train, test = normalize_conditions(train, test, channels)
-    if cfg.noise:
-        train, test = inject_split(train, test, channels, cfg.noise_spec(), cfg.seed, cfg.kind())
-    return train, test
+def prepare(train: DataFrame, test: DataFrame, truth: DataFrame | None, channels: list[str], max_rul: float,
+            by_condition: bool = False, noise: dict | None = None, seed: int = 42,
+            family: str = "turbofan") -> tuple[DataFrame, DataFrame]:
+    """Labelled train and test frames of one fleet; ``truth`` is None when the test frame carries its own (see
+    ``truncate_units``). ``by_condition`` normalises the channels with the statistics of all train rows of a
+    condition. ``noise`` (kind, magnitude, seed) comes last, and only in families that are simulated."""
+    frames = label_train(train, max_rul), label_test(test, truth, max_rul)
+    if by_condition:
+        frames = normalize_conditions(*frames, channels)
+    return inject_split(*frames, channels, noise, seed, family) if noise else frames
+
+
+def several_conditions(dataset: str) -> bool:
+    """Whether a fleet runs at more than one operating condition."""
+    return dataset in MULTI_CONDITION
 
 
 def with_settings(frame: DataFrame, settings: DataFrame, defaults: dict) -> DataFrame:

@@ -33,8 +33,8 @@ def earliness_and_cost(preds: DataFrame, edges, ratios, done_hist: DataFrame | N
 def study_tables(results: DataFrame, preds: DataFrame, edges, ratios) -> dict[str, DataFrame]:
     """All cross-model tables from concatenated runs: repeated rows are dropped once, on keys that
     include the cycle."""
-    rows = compare.dedupe(results, PRED_CELL, ["rmse_clipped"])
-    once = compare.dedupe(preds, [*PRED_CELL, "unit_number", "time_cycles"], ["pred"])
+    rows = compare.dedupe(results, PRED_CELL, ["rmse_clipped"], same=["rmse_clipped"])
+    once = compare.dedupe(preds, [*PRED_CELL, "unit_number", "time_cycles"], ["pred"], same=["pred"])
     hist, costs = earliness_and_cost(once, edges, ratios)
     return {
         "data_scaling": compare.data_scaling(rows), "success_map": compare.success_map(rows),

@@ -12,11 +12,14 @@ _local: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one temporary folder per process only
-    where that is unset, as in local tests."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset: one temporary folder per
+    process for a local master, and an error on a cluster, whose executors do not share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _local[0]

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..config import STORE_VERSION, content_hash
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -28,29 +30,57 @@ def _shape(schema: StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema]
 
 
+def source_key(spark: SparkSession, path: str) -> str:
+    """Key of the files under ``path`` as they are now: names, sizes and times of change."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(target, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return content_hash({"files": sorted(files), "version": STORE_VERSION})
+
+
+def _stored_schema(spark: SparkSession, path: str) -> StructType | None:
+    """Schema of the data files under ``path``, None where there are none."""
+    try:
+        return spark.read.parquet(path).schema
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_results(df: DataFrame, path: str) -> None:
-    """Append result rows in one write. A stored table with other columns is an error: mixed
-    schemas would make the rows unreadable as one table."""
-    spark = df.sparkSession
-    if _exists(spark, f"{path}/_SUCCESS"):
-        stored = _shape(spark.read.parquet(path).schema)
-        if stored != _shape(df.schema):
-            raise ValueError(f"{path} holds {stored} but the rows have {_shape(df.schema)}; "
-                             "move the old table away first")
+    """Append result rows in one write. Data files with other columns are an error, also those of a write that
+    did not finish: mixed schemas would make the rows unreadable as one table."""
+    stored = _stored_schema(df.sparkSession, path)
+    if stored is not None and _shape(stored) != _shape(df.schema):
+        raise ValueError(f"{path} holds {_shape(stored)} but the rows have {_shape(df.schema)}; move the old table away first")
     df.write.mode("append").parquet(path)
 
 
+def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV files with a header each, read by name: files are grouped by their header first."""
+    heads = (spark.read.text(path, wholetext=True)
+             .select(F.input_file_name().alias("file"), F.trim(F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1)).alias("head"))
+             .where("head <> ''").groupBy("head").agg(F.collect_list("file").alias("files")).collect())
+    out = spark.createDataFrame([], schema)
+    for row in heads:  # one plan per header, of which a result table has a few
+        part = spark.read.option("header", "true").option("inferSchema", "false").csv(row["files"])
+        own = [F.col(f"`{c}`").cast(t).alias(c) for c, t in _shape(schema) if c in part.columns]
+        out = out.unionByName(part.select(*own), allowMissingColumns=True)
+    return out
+
+
 def read_results(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
-    """Result rows from a path, folder or glob; columns absent from a file are NULL. Nothing there
-    means no rows."""
+    """Result rows from a path, folder or glob; columns absent from a file are NULL, and their order in a file
+    does not matter. Nothing there means no rows."""
     empty = spark.createDataFrame([], schema)
     try:
-        if fmt == "csv":
-            return spark.read.option("header", "true").option("inferSchema", "false").csv(path).select(
-                *[F.col(c).cast(t) if c in spark.read.option("header", "true").csv(path).columns
-                  else F.lit(None).cast(t).alias(c) for c, t in _shape(empty.schema)])
-        return spark.read.schema(empty.schema).parquet(path)
+        return _read_csv(spark, path, empty.schema) if fmt == "csv" else spark.read.schema(empty.schema).parquet(path)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise

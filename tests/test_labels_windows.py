@@ -166,3 +166,18 @@ def test_pooling_layouts(spark):
     with pytest.raises(ValueError, match="unknown pooling"):
         pool("max")
     assert arrays.head_width("emb+locscale+raw", 8, 2, 3) == 15
+
+
+def test_union_ids_stay_apart(lives):
+    both = labels.union_fleets({"x": lives({1: 1, 1370: 1}), "y": lives({1: 1, 370: 1})}, "ALL")
+    assert {r.unit_number for r in both.collect()} == {1, 1370, 10001, 10370}
+
+
+def test_window_stats_with_missing_readings(spark):
+    rows = [("A", 1, c, None if c in (2, 5) else float(c), float(c)) for c in range(1, 8)]
+    frame = spark.createDataFrame(rows, "dataset string, unit_number long, time_cycles long, s_2 double, clipped_rul double")
+    got = {r.end_cycle: r for r in windows.window_stats(frame, ["s_2"], 3).collect()}
+    assert (got[3].s_2_q25, got[3].s_2_q50, got[3].s_2_mean, got[3].s_2_last) == (1.5, 2.0, 2.0, 3.0)
+    assert got[7].s_2_q50 == 6.5 and sorted(got) == [3, 4, 5, 6, 7]
+    none = windows.window_stats(frame.withColumn("s_2", F.lit(None).cast("double")), ["s_2"], 3).first()
+    assert none.s_2_q75 is None and none.s_2_mean is None

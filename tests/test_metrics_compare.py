@@ -163,3 +163,17 @@ def test_verdict_grid_order(spark):
     rows = [("A", "x_mlp", c, v) for c, v in (("10", "win"), ("2", "tie"), ("noisy", "loss"))]
     df = spark.createDataFrame(rows, "dataset string, model string, level string, verdict string")
     assert compare.verdict_grid(df, "level", 3).select("c1", "c2", "c3").first()[:] == ("tie", "win", "loss")
+
+
+def test_verdict_grid_refuses_more_conditions_than_columns(spark):
+    df = spark.createDataFrame([("A", "m", str(i), "win") for i in range(7)], "dataset string, model string, level string, verdict string")
+    with pytest.raises(Exception, match="more than 5 conditions"):
+        compare.verdict_grid(df, "level", 5).collect()
+    assert len(compare.verdict_grid(df, "level", 7).columns) == 9
+
+
+def test_copies_that_differ_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 2.0), ("b", 1, 3.0)], "k string, run int, v double")
+    assert [r.run for r in compare.dedupe(df, ["k"], ["run"], same=["v"]).orderBy("k").collect()] == [1, 1]
+    with pytest.raises(Exception, match="differ"):
+        compare.dedupe(df.union(spark.createDataFrame([("b", 2, 4.0)], df.schema)), ["k"], ["run"], same=["v"]).collect()

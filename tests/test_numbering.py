@@ -65,3 +65,20 @@ def test_gaps_are_renumbered(lives):
         numbering.require_dense(gaps)
     dense = numbering.require_dense(numbering.dense_cycles(gaps))
     assert tuples(dense.where("unit_number = 1"), "time_cycles", "source_cycle") == list(enumerate([2, 3, 4, 6, 7, 8, 9], 1))
+
+
+def test_null_and_nan_keys_have_one_place(spark):
+    rows = [(0, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i % 13), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t double, id int")
+    whole = {r.id: r.n for r in numbering.number_rows(df, ["k"], ["t", "id"], "n").collect()}
+    cut = {r.id: r.n for r in numbering.number_rows(df, ["k"], ["t", "id"], "n", slice_rows=10).collect()}
+    assert whole == cut and sorted(cut.values()) == list(range(1, 201))
+    assert {i for i, n in cut.items() if n <= 29} == {i for i in range(0, 200, 7)}
+
+
+def test_an_outlier_does_not_fill_a_slice(spark):
+    df = spark.range(20000).selectExpr("0 AS k", "IF(id = 5, 1e15, CAST(id AS double)) AS t", "id")
+    large = numbering._large_groups(df, ["k"], F.col("t"), 1000)
+    cuts = large.first()["_cuts"]
+    slices = df.withColumn("s", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("t")))).groupBy("s").count()
+    assert slices.agg(F.max("count")).first()[0] <= 2 * 20000 / slices.count()

@@ -4,7 +4,11 @@ from pyspark.sql import functions as F
 
 from conftest import tuples
 from fleetlife import sources
-from fleetlife.config import BEARING_CHANNELS, FLIGHT_SCENARIO, FLIGHT_SENSORS, TURBOFAN_COLUMNS, RunConfig, dataset_settings
+from fleetlife.config import (
+    BEARING_CHANNELS, FLEET_SETTINGS, FLEET_SETTINGS_SCHEMA, FLIGHT_SCENARIO, FLIGHT_SENSORS, TURBOFAN_COLUMNS, content_hash,
+)
+from fleetlife.functions.hashing import content_key
+from fleetlife.plans import prepare
 from fleetlife.sources import files
 
 
@@ -103,24 +107,42 @@ def test_results_store(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("model").collect()] == [("m", 2.5, None), ("n", None, None)]
 
 
-def test_keys_change_only_when_the_data_do():
-    base = RunConfig()
-    assert base.store_key() == base.with_(win_alpha=0.1, losses=("mse",)).store_key()
-    assert base.store_key() != base.with_(window_size=40).store_key()
-    assert base.store_key() != base.with_(noise=(("kind", "drift"),)).store_key()
-    assert base.store_key("embeddings") != base.with_(channel_aggregation="mean").store_key("embeddings")
-    noisy = base.with_(noise=(("kind", "drift"),))
-    assert noisy.store_key() != noisy.with_(seed=1).store_key() and base.store_key() == base.with_(seed=1).store_key()
-
-
-def test_config_checks():
-    assert RunConfig(dataset="FD002").normalise_conditions() and not RunConfig().normalise_conditions()
-    assert len(RunConfig(dataset="DS01").channels) == 37 and len(RunConfig(dataset="XJTU-SY").channels) == 16
-    assert RunConfig().context() == 30 and RunConfig(context_length=256).context() == 256
-    for bad in ({"pooling": "max"}, {"head_features": "x"}, {"channel_aggregation": "sum"}, {"noise": (("kind", "hum"),)}, {"dataset": "Q1"}):
-        with pytest.raises(ValueError):
-            RunConfig(**bad)
-    with pytest.raises(KeyError):
-        RunConfig().with_(colour=1)
-    assert dataset_settings({}) == {} and dataset_settings()["XJTU-SY"]["max_rul"] == 125
-    assert dataset_settings({"XJTU-SY": {"max_rul": 60}})["XJTU-SY"] == {"max_rul": 60, "window_size": 30, "context_length": 256}
+def test_csv_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("model,rmse,mae\nm,2.5,1.5\n")
+    (tmp_path / "b.csv").write_text("mae,seed,model,rmse\n7,3,n,8\n9,4,o,10\n")
+    (tmp_path / "c.csv").write_text("")
+    got = sources.read_results(spark, str(tmp_path / "*.csv"), "model string, rmse double, mae double, seed int", "csv")
+    assert sorted(tuple(r) for r in got.collect()) == [("m", 2.5, 1.5, None), ("n", 8.0, 7.0, 3), ("o", 10.0, 9.0, 4)]
+    assert sources.read_results(spark, str(tmp_path / "none*.csv"), "model string", "csv").count() == 0
+
+
+def test_schema_is_checked_after_an_unfinished_write(spark, tmp_path):
+    path = str(tmp_path / "r")
+    sources.append_results(spark.createDataFrame([(1, "a")], "n int, m string"), path)
+    (tmp_path / "r" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError):
+        sources.append_results(spark.createDataFrame([(1,)], "n int"), path)
+
+
+def test_content_keys(spark):
+    parts = {"cap": 3, "model": "a", "n": 7}
+    row = spark.createDataFrame([(3, "a", 7)], "cap int, model string, n int")
+    assert row.select(content_key(F.struct("cap", "model", "n"))).first()[0] == content_hash(parts)
+    assert content_hash(parts) == content_hash(dict(reversed(parts.items()))) != content_hash(parts | {"n": 8})
+
+
+def test_source_key_follows_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    first = sources.source_key(spark, path)
+    assert first == sources.source_key(spark, path)
+    spark.range(4).write.mode("append").parquet(path)
+    assert first != sources.source_key(spark, path)
+
+
+def test_settings_rows(spark):
+    settings = spark.createDataFrame(FLEET_SETTINGS, FLEET_SETTINGS_SCHEMA)
+    frame = spark.createDataFrame([("XJTU-SY",), ("FD001",)], "dataset string")
+    got = prepare.with_settings(frame, settings, {"max_rul": 100, "window_size": 20}).collect()
+    assert {(r.dataset, r.max_rul, r.window_size) for r in got} == {("XJTU-SY", 125, 30), ("FD001", 100, 20)}
+    assert prepare.several_conditions("FD002") and not prepare.several_conditions("FD001")
