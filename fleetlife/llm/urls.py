@@ -119,7 +119,7 @@ def judge(pages: DataFrame, given: DataFrame, mined: DataFrame, url: str = "url"
     by_mined = match(pages, mined, url).withColumnRenamed("url", "_mined_url")
     facts = by_rule.join(by_mined, F.col("_url") == F.col("_mined_url"), "full").select(
         F.coalesce("_url", "_mined_url").alias("_fact_url"), "rule", "_given", "matched_rule", "confidence")
-    out = pages.join(facts, pages[url] == F.col("_fact_url"), "left")
+    out = pages.select(*own).join(facts, F.col(url) == F.col("_fact_url"), "left")
     return out.select(
         *own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), "rule",
         F.coalesce("_given", F.when(F.col("matched_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"),
