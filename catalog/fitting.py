@@ -218,14 +218,14 @@ def _windows(spark, path):
 def random_kernels_ridge(spark, path):
     train, test = (kernels.kernel_features(w, HC, WINDOW, 32, 3) for w in _windows(spark, path))
     return _scores(spark, path, train, test,
-                   lambda s: learned.make_model("minirocket", "kernels", CAP, s, alphas=(1e-3, 0.1, 10.0)), "minirocket", "native")
+                   lambda s: learned.make_model("kernel_ridge", "kernels", CAP, s, alphas=(1e-3, 0.1, 10.0)), "kernel_ridge", "native")
 
 
 @query("indicator_trees", "M7")
 def indicator_trees(spark, path):
     train, test = (indicators.window_indicators(w, HC, WINDOW) for w in _windows(spark, path))
     names = [f"{c}_{n}" for c in HC for n in indicators.INDICATORS]
-    return _scores(spark, path, train, test, lambda s: learned.make_model("catch22_gbm", names, CAP, s, rounds=10), "catch22_gbm", "native")
+    return _scores(spark, path, train, test, lambda s: learned.make_model("indicator_gbm", names, CAP, s, rounds=10), "indicator_gbm", "native")
 
 
 def head_tables(spark, path, mode="emb+locscale", aggregation="concat"):

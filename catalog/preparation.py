@@ -44,7 +44,7 @@ def _seconds(spark, path):
     return table(spark, path, "lineitem").select(
         F.lit("DS01").alias("dataset"), F.col("l_suppkey").alias(UNIT),
         (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint").alias(CYCLE),
-        (day * 1000000000000 + F.col("l_orderkey")).alias("t"), F.col("l_orderkey").alias("Fc"), *RATE)
+        (day * 1000000000000 + F.col("l_orderkey")).alias("t"), F.col("l_orderkey").alias("Fc"), F.lit(1).alias("hs"), *RATE)
 
 
 RATE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -57,7 +57,7 @@ _SECONDS = """sec AS (SELECT 'DS01' AS dataset, l_suppkey AS unit_number, (year(
   {', '.join(rnd(f'avg({c}) AS {c}_mean', f'coalesce(stddev_samp({c}), 0) AS {c}_std') for c in RATE)},
   count(*)::DOUBLE AS cycle_len_s FROM sec GROUP BY dataset, unit_number, time_cycles""")
 def high_rate_cycles(spark, path):
-    out = summaries.aggregate_cycles(_seconds(spark, path), RATE, "Fc", ["t"])
+    out = files.high_rate_cycles(_seconds(spark, path), RATE)
     return rounded(out.drop("setting_2", "setting_3"))
 
 
@@ -86,9 +86,8 @@ def snapshot_indicators(spark, path):
 @query("unknown_conditions", "S4", """SELECT DISTINCT p_brand AS condition FROM part WHERE p_brand LIKE 'Brand%'
   AND p_brand NOT IN ('Brand#11', 'Brand#12')""")
 def unknown_conditions(spark, path):
-    brands = table(spark, path, "part").select(F.col("p_brand").alias("condition")).distinct()
-    known = spark.createDataFrame([("Brand#11",), ("Brand#12",)], "condition string")
-    return brands.where(F.col("condition").rlike("^Brand")).join(known, "condition", "left_anti")
+    brands = table(spark, path, "part").select(F.col("p_brand").alias("condition"))
+    return files.unknown_conditions(brands, ("Brand#11", "Brand#12"), "^Brand")
 
 
 @query("long_and_wide", "S14", f"""WITH {FLEET_SQL} SELECT dataset, unit_number, time_cycles, {rnd(*CHANNELS)} FROM fleet""")

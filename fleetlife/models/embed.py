@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import KEYS
 from ..operators.windows import loc_scale
@@ -43,6 +44,10 @@ def embed_contexts(ctx: DataFrame, make: Callable[[], object], column: str = "ct
     handed over ``batch_size`` at a time and stay in their partition. The context column becomes
     ``emb`` and ``locscale``."""
     names = [c for c in ctx.columns if c != column]
+    kind = ctx.schema[column].dataType.elementType
+    fields = [f.name for f in kind.fields] if isinstance(kind, T.StructType) else None
+    values = F.transform(column, lambda s: F.array(*[s[f].cast("float") for f in fields])) if fields else F.col(column)
+    flat = ctx.select(*names, F.flatten(values).alias(column), F.size(column).alias("_rows"))
     schema = ctx.select(
         *names, F.array().cast("array<float>").alias("emb"), F.array().cast(LOCSCALE).alias("locscale")).schema
 
@@ -51,12 +56,11 @@ def embed_contexts(ctx: DataFrame, make: Callable[[], object], column: str = "ct
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start:start + batch_size]
-                series = [np.array([list(row.values()) if isinstance(row, dict) else list(row) for row in rows],
-                                   dtype=np.float32) for rows in part[column]]
+                series = [np.asarray(x, dtype=np.float32).reshape(n, -1) for x, n in zip(part[column], part["_rows"])]
                 emb, ls = model.embed_windows(series)
                 yield part[names].assign(
                     emb=pd.Series([e.astype(np.float32) for e in np.asarray(emb)], index=part.index, dtype=object),
                     locscale=pd.Series([[{"loc": float(a), "scale": float(b)} for a, b in w] for w in np.asarray(ls)],
                                        index=part.index, dtype=object))
 
-    return ctx.mapInPandas(run, schema)
+    return flat.mapInPandas(run, schema)

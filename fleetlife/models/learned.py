@@ -130,7 +130,7 @@ class OrdinalHead(Model):
 
 
 MODELS: dict[str, Callable[..., Model]] = {
-    "gbm": Trees, "gbm_age": Trees, "catch22_gbm": Trees, "minirocket": Ridge,
+    "gbm": Trees, "gbm_age": Trees, "indicator_gbm": Trees, "kernel_ridge": Ridge,
     "linear_mlp": LinearHead, "ordinal_mlp": OrdinalHead,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTING_DECIMALS, SETTINGS
 from ..functions.errors import guarded_std
 from ..session import small_side
+from .numbering import number_rows
 
 
 def snap(value: Column, decimals: int) -> Column:
@@ -70,7 +71,6 @@ def condition_ids(frame: DataFrame) -> DataFrame:
     """Add ``condition_id``: the rank (from 0) of the row's key among the dataset's own keys.
     Diagnostic only; the ranks of two frames are not comparable."""
     keys = _keys(frame)
-    ranked = (frame.select("dataset", *keys).distinct()
-              .withColumn("condition_id", F.dense_rank().over(
-                  Window.partitionBy("dataset").orderBy(*keys)) - 1))
+    ranked = number_rows(frame.select("dataset", *keys).distinct(), ["dataset"], keys, "condition_id")
+    ranked = ranked.withColumn("condition_id", (F.col("condition_id") - 1).cast("int"))
     return frame.join(small_side(ranked), ["dataset", *keys])

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from ..session import cut_lineage
+
+BUCKETS = 256
 
 
 def weighted_quantile(df: DataFrame, by: list[str], value: str, freq: str, q: float,
                       name: str) -> DataFrame:
     """Quantile with linear interpolation of ``value`` repeated ``freq`` times, per group.
 
-    Equal values are merged first. The value range is cut into 4096 buckets; only the one or two
-    buckets that hold the wanted ranks are sorted. ``by`` must have few distinct values (cells).
+    Equal values are merged first. Approximate quantiles of the merged values cut them into 256 buckets of
+    about the same number of values, however long their tail; only the one or two buckets that hold the wanted
+    ranks are sorted. ``by`` must have few distinct values (cells).
     """
     vals = df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(freq).alias("_f"))
     ends = vals.groupBy(*by).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), (q * (F.sum("_f") - 1)).alias("_pos"))
-    share = (F.col("_v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    placed = vals.join(F.broadcast(ends), by).withColumn(
-        "_b", F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
+        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("_cuts"),
+        (q * (F.sum("_f") - 1)).alias("_pos"))
+    placed = (vals.join(F.broadcast(cut_lineage(ends)), by)  # the same cuts in both passes below
+              .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = (placed.groupBy(*by, "_b").agg(F.sum("_f").alias("_c"), F.first("_pos").alias("_p"))
              .withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))

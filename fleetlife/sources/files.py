@@ -10,6 +10,7 @@ from ..config import (
 )
 from ..operators.labels import renumber_units
 from ..operators.numbering import number_rows
+from ..session import cut_lineage
 from ..operators.summaries import aggregate_cycles, snapshot_indicators
 
 HIGH_RATE_IDS = [UNIT, CYCLE, "t", "Fc", "hs"]
@@ -47,12 +48,20 @@ def read_truth(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     return parse_truth_lines(lines, dataset, ["_block", "_line"])
 
 
+# Fixed value: how a folder of an operating condition is named.
+CONDITION_FOLDER = r"^[\d.]+Hz\d+kN$"
+
+
 # ---- snapshot trees -----------------------------------------------------------------------------
+def unknown_conditions(folders: DataFrame, known=tuple(BEARING_CONDITIONS), pattern: str = CONDITION_FOLDER) -> DataFrame:
+    """Distinct folders (column ``condition``) that look like an operating condition but are not a known one."""
+    named = folders.select("condition").where(F.col("condition").rlike(pattern))
+    return named.where(~F.col("condition").isin(*known)).distinct()
+
+
 def check_conditions(folders: DataFrame, known=tuple(BEARING_CONDITIONS)) -> None:
-    """Error when a folder (column ``condition``) looks like an operating condition but is not a
-    known one; it would otherwise be skipped in silence."""
-    odd = (folders.select("condition").distinct().where(F.col("condition").rlike(r"^[\d.]+Hz\d+kN$"))
-           .where(~F.col("condition").isin(*known)).limit(20).collect())
+    """Error when there are unknown conditions; they would otherwise be skipped in silence."""
+    odd = unknown_conditions(folders, known).limit(20).collect()
     if odd:
         raise ValueError(f"unknown condition folders {sorted(r[0] for r in odd)}; known: {sorted(known)}")
 
@@ -60,9 +69,13 @@ def check_conditions(folders: DataFrame, known=tuple(BEARING_CONDITIONS)) -> Non
 def read_snapshot_tree(spark: SparkSession, root: str, dataset: str = "XJTU-SY") -> DataFrame:
     """``<condition>/<unit>/<n>.csv`` with two sample columns -> one canonical row per snapshot.
 
-    Samples are reduced to indicators per file before anything is numbered. Snapshots are ordered
-    by the number in their file name and renumbered 1..n; units by sorted name.
+    Folder names are checked from the listing of files. Samples are read once: reduced to indicators per file,
+    which are written before they are numbered. Snapshots are ordered by the number in their file name and
+    renumbered 1..n; units by sorted name.
     """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+             .load(root).select(F.url_decode(F.element_at(F.split("path", "/"), -3)).alias("condition")))
+    check_conditions(files)
     path = F.col("_metadata.file_path")
 
     def part(i):
@@ -73,8 +86,7 @@ def read_snapshot_tree(spark: SparkSession, root: str, dataset: str = "XJTU-SY")
                .schema("h double, v double").option("enforceSchema", "true").csv(root)
                .select("h", "v", part(-3).alias("condition"), part(-2).alias("unit_name"),
                        F.regexp_extract(part(-1), r"^(\d+)\.csv$", 1).cast("bigint").alias("_stem")))
-    rows = snapshot_indicators(samples, {"h": "h", "v": "v"}, ("condition", "unit_name", "_stem"))
-    check_conditions(rows)
+    rows = cut_lineage(snapshot_indicators(samples, {"h": "h", "v": "v"}, ("condition", "unit_name", "_stem")))
     known = {c: i for i, c in enumerate(BEARING_CONDITIONS)}
     rows = rows.where(F.col("condition").isin(*known))
     at = F.create_map(*[x for c, v in BEARING_CONDITIONS.items()
@@ -99,12 +111,15 @@ def read_high_rate(spark: SparkSession, path: str, dataset: str,
     """Parquet of one fleet's seconds -> canonical frame of per-cycle statistics. Only the id,
     scenario and sensor columns are read; simulation-only columns never are."""
     names = channels or FLIGHT_SCENARIO + FLIGHT_SENSORS
-    table = spark.read.parquet(path)
-    missing = set(HIGH_RATE_IDS + names) - set(table.columns)
+    return high_rate_cycles(spark.read.parquet(path).withColumn("dataset", F.lit(dataset)), names)
+
+
+def high_rate_cycles(table: DataFrame, names: list[str]) -> DataFrame:
+    """Per-cycle statistics of a table of seconds with its dataset; other columns are not read."""
+    missing = {"dataset", *HIGH_RATE_IDS, *names} - set(table.columns)
     if missing:
         raise ValueError(f"high-rate table lacks {sorted(missing)}")
-    rows = table.select(F.lit(dataset).alias("dataset"), *HIGH_RATE_IDS, *names)
-    return aggregate_cycles(rows, names, "Fc", ["t"])
+    return aggregate_cycles(table.select("dataset", *HIGH_RATE_IDS, *names), names, "Fc", ["t"])
 
 
 # ---- learning curves ----------------------------------------------------------------------------

@@ -76,7 +76,7 @@ def table(spark):
 
 
 @pytest.mark.parametrize("name,options,limit", [
-    ("gbm", {"rounds": 10}, 6), ("minirocket", {"alphas": (1e-3, 10.0)}, 3), ("linear_mlp", {}, 3),
+    ("gbm", {"rounds": 10}, 6), ("kernel_ridge", {"alphas": (1e-3, 10.0)}, 3), ("linear_mlp", {}, 3),
     ("ordinal_mlp", {"bins": 4}, 7), ("ordinal_mlp", {"bins": 4, "corn": "argmax"}, 9)])
 def test_learned_models(table, name, options, limit):
     train, test = table.where("end_cycle < 180"), table.where("end_cycle >= 180")
