@@ -31,7 +31,7 @@ def stored(df: DataFrame) -> DataFrame:
     it again, also after the loss of executors. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
