@@ -78,8 +78,9 @@ def repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_
     join, so that a passage in a third of all documents is one small row on that side."""
     found = stored(spans(docs, span, min_words, long_words))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "first")
-    firsts = (found.groupBy("key").agg(F.min(order).alias("at"), F.max(order).alias("top"))
-              .where("at != top").select("key", "at"))
+    # Written, so that the join below deals both sides anew and can split the places of a frequent span.
+    firsts = stored(found.groupBy("key").agg(F.min(order).alias("at"), F.max(order).alias("top"))
+                    .where("at != top").select("key", "at"))
     later = found.join(firsts, "key").where(
         ~(F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_hash") == F.col("text_hash"))
           & (F.col("at.first") == F.col("first"))))
