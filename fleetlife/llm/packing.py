@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import plain
 
 MAX_TOKENS, END_ID = 2048, 0
-BUCKET_ROWS, CACHE_WORDS = 16_000, 1_000_000
+BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 500
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -92,7 +92,8 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
 
     def run(batches):
         cache, end = WordCache(vocabulary), np.array([end_id], "<u4")
-        for batch in batches:
+        # A few documents at a time, so that a task holds the ids of these only.
+        for batch in (b.iloc[i:i + STEP] for b in batches for i in range(0, len(b), STEP)):
             rows, ids = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 found = np.concatenate([cache.ids(text or ""), end])
