@@ -66,6 +66,14 @@ def test_planted_documents(spark, tmp_path):
         assert run.select("sequence_id").distinct().count() == -(-tokens // 2048)
 
 
+def test_line_dedup_takes_the_end_of_a_repeated_run(spark, docs):
+    run = line(68) + "\n" + line(4)
+    own = [line(30), line(30)]
+    rows = docs({1: run + "\n" + own[0], 2: run + "\n" + own[1], 3: run})
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, rows, "").collect()}
+    assert left == {1: run + "\n" + own[0], 2: own[1]}
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")

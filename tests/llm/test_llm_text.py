@@ -89,6 +89,30 @@ def test_line_runs_as_by_brute_force(docs):
         assert left.get(i, "") == ("\n".join(kept) if "".join(kept).split() or not touched else "")
 
 
+def _repeated_runs(texts, need=10):
+    """Brute force: lines in any run of ``need`` words that is there at an earlier place too."""
+    kept = {i: [(k, x) for k, x in enumerate((texts[i] or "").split("\n")) if x.split()] for i in texts}
+    first, gone = {}, set()
+    for i in sorted(texts):
+        for s in range(len(kept[i])):
+            for e in range(s + 1, len(kept[i]) + 1):
+                run = tuple(x for _, x in kept[i][s:e])
+                if len(" ".join(run).split()) >= need and first.setdefault(run, (i, s)) != (i, s):
+                    gone |= {(i, k) for k, _ in kept[i][s:e]}
+    return gone
+
+
+def test_whole_line_runs_as_by_brute_force(docs):
+    rng = random.Random(2)
+    pool = [" ".join(rng.choices(WORDS[:9], k=k)) for k in (1, 2, 4, 5, 7, 11, 30)]
+    texts = {i: "\n".join(rng.choice(pool + [f"only here {i}", "  "]) for _ in range(rng.randint(0, 14))) for i in range(60)}
+    run = "\n".join((sentence(68), sentence(4)))
+    texts |= {60: "again and again\n" * 30, 61: run, 62: f"{sentence(3)}\n{run}\n{sentence(3)}"}
+    got = {(r.doc_id, k) for r in lines.repeats(docs(texts), whole_runs=True).collect() for k in r.lines}
+    assert got == _repeated_runs(texts)
+    assert {(62, 1), (62, 2)} <= got and got > _later_lines(texts)
+
+
 def test_suffix_ranks_follow_the_order_of_suffixes(docs):
     rows = lines.suffix_ranks(docs({1: "a\nb\na\nb\na", 2: "b\na\nb"}), 4).collect()
     names = {r["rank_0"] for r in rows}
