@@ -1,8 +1,9 @@
 """Substring dedup over sentence spans.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line break. From every sentence runs a
-span of consecutive sentences: at least ``SPAN`` of them with ``MIN_WORDS`` words together, or fewer when they
-have ``LONG_WORDS`` words already. Equal spans are found by a global join on their hash (64 bits of the
+A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line break. From every sentence, and to the
+end of every sentence, runs the shortest span of consecutive sentences that is long enough: at least ``SPAN`` of them
+with ``MIN_WORDS`` words together, or fewer when they have ``LONG_WORDS`` words already. Every sentence of a longer
+repeated run is in one of these spans that lies in the run, so that such a run goes as a whole. Equal spans are found by a global join on their hash (64 bits of the
 white-space-normalised, A-Z lower-cased sentences). The first place of a span, by (doc_id, text hash,
 sentence), stays; sentences covered by any later place are removed.
 
@@ -32,14 +33,18 @@ def sentences(text: str | None) -> list[bytes]:
     return [s for s in _CUT.split((text or "").encode()) if s]
 
 
-def _runs(counts: np.ndarray, span: int, min_words: int, long_words: int) -> np.ndarray:
-    """End (exclusive) of the span from each sentence, 0 where the text ends before it is long enough."""
+def _runs(counts: np.ndarray, span: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end (exclusive) of the shortest spans from each sentence and to the end of each sentence."""
     n = len(counts)
     total = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(n)
     usual = np.maximum(at + span, np.searchsorted(total, total[:-1] + min_words))
     end = np.minimum(usual, np.searchsorted(total, total[:-1] + long_words))
-    return np.where(end <= n, end, 0)
+    to = at + 1
+    usual = np.minimum(to - span, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+    first = np.maximum(usual, np.searchsorted(total, total[1:] - long_words, "right") - 1)
+    new = (first >= 0) & (end[first] != to)  # not the shortest from its first sentence too
+    return np.concatenate([at[end <= n], first[new]]), np.concatenate([end[end <= n], to[new]])
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -56,14 +61,13 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_wo
                 if not len(place):
                     continue
                 own = [digest(b" ".join(words[i])) for i in place]
-                end = _runs(np.fromiter((len(words[i]) for i in place), "int64", len(place)), span, min_words, long_words)
-                keep = np.flatnonzero(end)
+                low, end = _runs(np.fromiter((len(words[i]) for i in place), "int64", len(place)), span, min_words, long_words)
                 packed = np.array(own, "<u8").tobytes()
-                out["key"].append(np.fromiter((digest(packed[8 * i:8 * end[i]]) for i in keep), "<u8", len(keep)).view("int64"))
-                out["first"].append(place[keep])
-                out["last"].append(place[end[keep] - 1])
-                out["doc_id"] += [doc] * len(keep)
-                out["text_hash"].append(np.full(len(keep), np.uint64(digest(text.encode()))).view("int64"))
+                out["key"].append(np.fromiter((digest(packed[8 * i:8 * j]) for i, j in zip(low, end)), "<u8", len(low)).view("int64"))
+                out["first"].append(place[low])
+                out["last"].append(place[end - 1])
+                out["doc_id"] += [doc] * len(low)
+                out["text_hash"].append(np.full(len(low), np.uint64(digest(text.encode()))).view("int64"))
             flat = {k: v if k == "doc_id" else (np.concatenate(v) if v else np.array([], "int64")) for k, v in out.items()}
             yield plain(pd.DataFrame(flat), "doc_id")
 

@@ -151,6 +151,27 @@ def test_long_sentences_are_spans(docs):
     assert {r.doc_id for r in substrings.repeats(docs({1: prose(3) + " " + long, 2: long + "\n" + prose(3)})).collect()} == {2}
 
 
+def test_repeated_sentences_go_to_the_end_of_the_run(docs):
+    rng = random.Random(3)
+    pool = [sentence(n, rng) for n in (3, 5, 9, 12, 12, 19, 45)]
+    texts = {i: " ".join(rng.choice(pool + [sentence(4, rng)]) for _ in range(rng.randint(0, 9))) for i in range(40)}
+    for i, sizes in ((50, (12, 12, 5)), (60, (45, 12)), (70, (5, 12, 45, 3, 2))):
+        texts[i] = " ".join(sentence(n, rng) for n in sizes)
+        texts[i + 1] = f"{sentence(8, rng)} {texts[i]} {sentence(8, rng)}"
+    first, want = {}, set()
+    for i in sorted(texts):
+        parts = [x.lower().split() for x in substrings.sentences(texts[i])]
+        for s in range(len(parts)):
+            for e in range(s + 1, len(parts) + 1):
+                n = sum(map(len, parts[s:e]))
+                if n >= 40 or (n >= 20 and e - s >= 2):
+                    if first.setdefault(str(parts[s:e]), (i, s)) != (i, s):
+                        want |= {(i, k) for k in range(s, e)}
+    found = substrings.repeats(docs(texts))
+    assert {(r.doc_id, k) for r in found.collect() for x in r.spans for k in range(x["first"], x["last"] + 1)} == want
+    assert {(51, 3), (61, 2), (71, 5)} <= want
+
+
 def test_sentences_rebuild_the_text():
     for text in ("", "A. B!\n\nC? d", "no end", "é. ü\n", "a.b. c"):
         assert b"".join(substrings.sentences(text)).decode() == text
