@@ -36,7 +36,3 @@ def preds(spark):
         return spark.createDataFrame(rows, "model string, dataset string, max_rul double, n_units long, seed int, "
                                            "loss string, unit_number long, time_cycles long, true_rul double, pred double")
     return make
-
-
-def tuples(df, *columns):
-    return sorted(tuple(r) for r in df.select(*columns).collect())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife.functions import arrays
 from fleetlife.operators import conditions, labels, perturb, summaries, windows
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife.functions import ordinal
 from fleetlife.functions.ttest import t_pvalue
 from fleetlife.operators import compare, metrics

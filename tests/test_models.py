@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife.models import closed, embed, indicators, kernels, learned
 from fleetlife.operators import health, labels, sampling, windows
 from fleetlife.operators.features import head_features

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife.operators import labels, numbering, windows
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife.functions.hashing import digest
 from fleetlife.operators import sampling
 

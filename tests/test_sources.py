@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from rows import tuples
 from fleetlife import sources
 from fleetlife.config import (
     BEARING_CHANNELS, FLEET_SETTINGS, FLEET_SETTINGS_SCHEMA, FLIGHT_SCENARIO, FLIGHT_SENSORS, TURBOFAN_COLUMNS, content_hash,
