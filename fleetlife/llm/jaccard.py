@@ -18,7 +18,8 @@ Every link between different sets is found; links are counted and joined to comp
 
 Defined results: null or empty text, or text without words, has an empty set, no links and itself as component; with
 fewer words than a shingle has, the whole sequence is the only shingle. Rows with a null doc_id take part and count;
-a component's id is its smallest doc_id. Repeated rows are copies of each other. Extra columns are ignored.
+a component's id is its smallest doc_id. Repeated rows are copies of each other. Extra columns are ignored. A text is known
+by its doc_id (null or not) and two hashes of the text, so texts that share an id are told apart.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ from .components import components
 SIZE, AT_LEAST, OF = 4, 85, 100
 SPARE = 0.15
 BLOCK, COLUMNS, CACHE_WORDS = 256, 8192, 300_000
+TEXT = ["h1", "h2"]
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the two hashes that name the text."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
@@ -118,11 +125,11 @@ def sets(docs: DataFrame, size: int, sizes: Sizes, buckets: int) -> DataFrame:
         for batch in batches:
             rows, probes, owner, counts = [], [], [], []
             seen: set[int] = set()
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, text, h1, h2 in zip(batch["doc_id"], batch["text"], batch["h1"], batch["h2"]):
                 found = shingle_set(text, size, words)
                 n = len(found)
                 own = class_of(found) if n else None
-                rows.append({"doc_id": doc, "n": n, "class": own})
+                rows.append({"doc_id": doc, "n": n, "class": own, "h1": h1, "h2": h2})
                 if n and own not in seen:
                     seen.add(own)
                     probes.append(found[:sizes.probe(n)])
@@ -142,14 +149,14 @@ def sets(docs: DataFrame, size: int, sizes: Sizes, buckets: int) -> DataFrame:
                     m["sizes"] = np.array(counts, "<u4")[used].tobytes()
                 yield made
 
-    schema = ("doc_id string, n long, class long, bucket int, hashes binary, owners binary, classes binary, sizes binary")
+    schema = ("doc_id string, n long, class long, h1 long, h2 long, bucket int, hashes binary, owners binary, classes binary, sizes binary")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def whole(batches):
         for rows in run(batches):
             yield pd.DataFrame({k: pd.Series([r.get(k) for r in rows], dtype=object) for k in names})
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(whole, schema)
+    return _keyed(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(whole, schema)
 
 
 def _unpack(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,14 +307,16 @@ def link_blocks(members: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SIZE, at_least: int = AT_LEAST, of: int = OF) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class (equal sets; null for empty ones) and
-    n_links (other documents that link, copies included)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class (equal sets; null for empty ones), n_links
+(other documents that link, copies included), the hashes h1 and h2 of the text, and is_first (the row has the smallest
+doc_id, null last, then hashes, of its component)."""
     sizes, buckets = Sizes(at_least, of), partitions(docs)
     kind = docs.schema["doc_id"].dataType
     read = stored(sets(docs, size, sizes, buckets))
-    rows = read.where("bucket IS NULL").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "class")
+    rows = read.where("bucket IS NULL").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "class", *TEXT)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *TEXT)
     classes = stored(rows.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
+        F.min(place).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
     index = prefixes(shared_probes(read.where("bucket IS NOT NULL"), buckets), sizes, buckets)
     clusters = components(candidates(index, sizes)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     wanted = clusters.join(classes, "class")
@@ -320,8 +329,9 @@ def join(docs: DataFrame, size: int = SIZE, at_least: int = AT_LEAST, of: int =
                 if len(s := shingle_set(text, size, words)) and class_of(s) == c]
             yield pd.DataFrame(rows_, columns=["class", "cluster", "n", "copies", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    sources = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("text", "class", "cluster", "n", "copies")
+    texts = _keyed(docs)
+    same = [wanted["rep.doc_id"].eqNullSafe(texts["doc_id"]), *(wanted[f"rep.{h}"] == texts[h] for h in TEXT)]
+    sources = wanted.join(texts, same).select("text", "class", "cluster", "n", "copies")
     members = sources.mapInPandas(build, "class long, cluster long, n long, copies long, shingles binary")
     found = stored(link_blocks(members.dropDuplicates(["class"]), sizes))
     links = found.groupBy("class").agg(F.sum("linked").alias("_linked"))
@@ -330,7 +340,29 @@ def join(docs: DataFrame, size: int = SIZE, at_least: int = AT_LEAST, of: int =
     least = named.groupBy("root").agg(F.min("rep").alias("_least"))
     answer = (classes.join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
               .join(least, "root", "left")
-              .select("class", "copies", F.coalesce("_least", "rep").alias("_component"), F.coalesce("_linked", F.lit(0)).alias("_linked")))
+              .select("class", "copies", F.coalesce("_least", "rep").alias("_first"), F.coalesce("_linked", F.lit(0)).alias("_linked")))
     return rows.join(answer, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"), "class",
-        (F.coalesce("_linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_first.doc_id", "doc_id").alias("component_id"), "class",
+        (F.coalesce("_linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+        *TEXT, F.coalesce(F.col("_first") == place, F.lit(True)).alias("is_first"))
+
+
+def clean(docs: DataFrame, size: int, at_least: int, of: int) -> DataFrame:
+    """One row of each component stays, that of the smallest doc_id; the columns of ``docs``. Rows go by doc_id and text:
+    another text of the same id stays, and copies with a null id go. Texts without words all stay."""
+    found = join(docs, size, at_least, of)
+    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit("second"), "text")})
+
+    def matched(left: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        side = rows.select(F.col("doc_id").alias("_r_id"), *(F.col(h).alias(f"_r_{h}") for h in TEXT))
+        on = [left["doc_id"].eqNullSafe(side["_r_id"]), *(left[f"_{h}"] == side[f"_r_{h}"] for h in TEXT)]
+        return left.join(side, on, how)
+
+    gone = found.where("NOT is_first").select("doc_id", *TEXT).distinct()
+    # Rows repeated as they are: only these meet in an aggregation.
+    again = (found.where("is_first AND class IS NOT NULL").groupBy("doc_id", *TEXT).agg(F.count("*").alias("n"))
+             .where("n > 1"))
+    kept = matched(keyed, gone, "left_anti")
+    alone = matched(kept, again, "left_anti").select(*docs.columns)
+    shared = matched(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return alone.unionByName(shared)

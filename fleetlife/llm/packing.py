@@ -23,13 +23,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, stored
 
 MAX_TOKENS, END_ID = 2048, 0
-BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 500
+BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 100
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,11 +88,14 @@ class WordCache(dict):
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, vocabulary: str | None = None,
            with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
+    """(doc_id, piece, start, length, ids_crc32) of every document. With ids also the piece's number, the same
+    whenever its task runs again, and its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        cache, end = WordCache(vocabulary), np.array([end_id], "<u4")
+        # With ids, batches take memory of their own, and the cache is smaller.
+        cache, end = WordCache(vocabulary, CACHE_WORDS // 4 if with_ids else CACHE_WORDS), np.array([end_id], "<u4")
+        number = TaskContext.get().partitionId() << 40
         # A few documents at a time, so that a task holds the ids of these only.
         for batch in (b.iloc[i:i + STEP] for b in batches for i in range(0, len(b), STEP)):
             rows, ids = [], []
@@ -103,10 +107,13 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
                     if with_ids:
                         ids.append(part.astype("int32"))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield plain(out.assign(ids=ids) if with_ids else out, "doc_id")
+            if with_ids:
+                out = out.assign(number=np.arange(number, number + len(out)), ids=pd.Series(ids, dtype=object))
+                number += len(out)
+            yield plain(out, "doc_id")
 
     texts = docs.select(F.col("doc_id").cast("string"), "text")
-    done = texts.mapInPandas(run, f"doc_id string, {PIECES}" + (", ids array<int>" if with_ids else ""))
+    done = texts.mapInPandas(run, f"doc_id string, {PIECES}" + (", number long, ids array<int>" if with_ids else ""))
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -150,14 +157,15 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | Non
          max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
          score: str = "norm", end_id: int = END_ID, vocabulary: str | None = None,
          bucket_rows: int = BUCKET_ROWS, with_ids: bool = False) -> DataFrame:
-    """Pieces with sequence_id and offset. Limits of None do not bind: a sequence of t tokens has at
+    """Pieces with sequence_id and offset; with ids also their ids, which are written once and joined to their
+    places, so that no bucket holds them. Limits of None do not bind: a sequence of t tokens has at
     most t documents and an attention cost of at most t * t."""
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens ** 2], float)
     if capacity[2] < max_tokens ** 2:
         max_tokens = min(max_tokens, int(capacity[2] ** 0.5))  # a piece alone must fit
     buckets = max(1, -(-docs.count() // bucket_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = ", ids array<int>" if with_ids else ""
+    extra = ", number long" if with_ids else ""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
@@ -171,10 +179,13 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | Non
             sequence_id=bins + base, offset=np.concatenate([np.zeros(whole, "int64"), offsets])), "doc_id")
 
     cut = pieces(docs, max_tokens, end_id, vocabulary, with_ids)
-    spread = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(buckets)))
+    cut = stored(cut) if with_ids else cut
+    spread = cut.drop("ids").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(buckets)))
     spread = spread.withColumn("doc_id", F.col("doc_id").cast("string"))
     done = spread.groupBy("_bucket").applyInPandas(
         run, f"doc_id string, {PIECES}{extra}, sequence_id long, offset long")
+    if with_ids:
+        done = done.join(cut.select("number", "ids"), "number").drop("number")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

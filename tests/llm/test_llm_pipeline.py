@@ -74,6 +74,15 @@ def test_line_dedup_takes_the_end_of_a_repeated_run(spark, docs):
     assert left == {1: run + "\n" + own[0], 2: own[1]}
 
 
+def test_near_copies_of_shared_and_null_ids(spark, docs):
+    one, other, third = line(60), line(60), line(60)
+    rows = [(3, one), (5, one), (5, other), (None, one), (None, one), (None, third), (None, None), (9, near(other)),
+            (7, third), (7, third), (8, ""), (8, "")]
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, [
+        (3, one), (5, other), (7, third), (None, None), (8, ""), (8, "")]))
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
