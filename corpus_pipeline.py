@@ -33,15 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and one row of it."""
-    found = jaccard.join(docs, NEAR_WORDS, NEAR_AT_LEAST, NEAR_OF)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = found.where("class IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    # Rows that share an id: one for each text stays. Only these meet in an aggregation.
-    alone = kept.join(again, "doc_id", "left_anti")
-    shared = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return alone.select(*docs.columns).unionByName(shared.select(*docs.columns))
+    """Of each group of near copies the row with the smallest id (null last) stays; other texts of that id stay too."""
+    return jaccard.clean(docs, NEAR_WORDS, NEAR_AT_LEAST, NEAR_OF)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
