@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licences, lines, lm, packing, quality, substrings, urls
+from . import (chat, decontaminate, jaccard, licences, lines, lm, packing, periods, quality, simhash, substrings, urls,
+               whitening)
+from .common import words_of
 from .sql import SQL
 
 
@@ -84,7 +86,39 @@ def op10_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
     return lm.score(_table(spark, path, "documents").select("doc_id", "text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, path: str) -> DataFrame:
+    """Every whole embedding on the first 16 whitened components of the distinct ones."""
+    return whitening.whiten(_table(spark, path, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """A tenth of the texts, by their ids, repeat from some word on; a text without an id stays as it is."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + F.pmod(i - a, p)).cast("int"))).otherwise(w))
+
+    made = F.transform(F.array(words_of(text)), lambda w: F.when(F.size(w) > 0, F.array_join(planted(w), " ")).otherwise(text))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & text.isNotNull(), F.get(made, F.lit(0))).otherwise(text)
+
+
+def op12_run_detection(spark: SparkSession, path: str) -> DataFrame:
+    """The periodic runs of words of every document, some of which are made to repeat."""
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return periods.detect(docs.select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id that it reaches by near fingerprints."""
+    return simhash.join(_table(spark, path, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_license_scans, op5_line_dedup,
                                     op6_best_fit_packing, op7_benchmark_decontamination,
-                                    op8_url_filters, op9_chat_formatting, op10_lm_scoring)}
+                                    op8_url_filters, op9_chat_formatting, op10_lm_scoring, op11_embedding_whitening,
+                                    op12_run_detection, op13_simhash_near_dedup)}
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
