@@ -37,7 +37,7 @@ def truth_lines(spark, path):
     return files.parse_truth_lines(lines, "T", ["o_orderkey"])
 
 
-def _seconds(spark, path):
+def seconds(spark, path):
     """Line items as high-rate rows: a supplier is a unit, a ship month is a cycle. Rows of a cycle
     are ordered by ship day and order; the order key stands for the class."""
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint")
@@ -57,7 +57,7 @@ _SECONDS = """sec AS (SELECT 'DS01' AS dataset, l_suppkey AS unit_number, (year(
   {', '.join(rnd(f'avg({c}) AS {c}_mean', f'coalesce(stddev_samp({c}), 0) AS {c}_std') for c in RATE)},
   count(*)::DOUBLE AS cycle_len_s FROM sec GROUP BY dataset, unit_number, time_cycles""")
 def high_rate_cycles(spark, path):
-    out = files.high_rate_cycles(_seconds(spark, path), RATE)
+    out = files.high_rate_cycles(seconds(spark, path), RATE)
     return rounded(out.drop("setting_2", "setting_3"))
 
 

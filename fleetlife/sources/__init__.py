@@ -13,10 +13,8 @@ from .files import (
 )
 from .store import append_results, materialize, read_results, source_key
 
-READERS = {"turbofan": read_cycle_text, "bearing": read_snapshot_tree, "flight": read_high_rate}
-
 __all__ = [
-    "READERS", "append_results", "check_conditions", "materialize", "parse_cycle_lines",
+    "append_results", "check_conditions", "materialize", "parse_cycle_lines",
     "parse_truth_lines", "read_curves", "read_cycle_text", "read_high_rate", "read_results",
     "read_snapshot_tree", "read_truth", "require_channels", "source_key",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (
-    BEARING_CONDITIONS, CYCLE, FLIGHT_SCENARIO, FLIGHT_SENSORS, TURBOFAN_COLUMNS, UNIT,
+    BEARING_CONDITIONS, CYCLE, FLIGHT_SCENARIO, FLIGHT_SENSORS, KEYS, TURBOFAN_COLUMNS, UNIT,
 )
 from ..operators.labels import renumber_units
 from ..operators.numbering import number_rows
@@ -32,9 +32,10 @@ def read_cycle_text(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     return parse_cycle_lines(spark.read.text(path), dataset)
 
 
-def parse_truth_lines(lines: DataFrame, dataset: str, order: list[str]) -> DataFrame:
-    """One number per line; line i (in ``order``, blank lines skipped) is unit i."""
-    rows = lines.where(F.trim("value") != "").withColumn("dataset", F.lit(dataset))
+def parse_truth_lines(lines: DataFrame, dataset: str | Column, order: list[str]) -> DataFrame:
+    """One number per line; line i of a dataset (in ``order``, blank lines skipped) is unit i."""
+    name = F.lit(dataset) if isinstance(dataset, str) else dataset
+    rows = lines.where(F.trim("value") != "").withColumn("dataset", name)
     return number_rows(rows, ["dataset"], order, UNIT).select(
         "dataset", UNIT, F.trim("value").cast("double").cast("bigint").alias("rul_truth"))
 
@@ -86,6 +87,12 @@ def read_snapshot_tree(spark: SparkSession, root: str, dataset: str = "XJTU-SY")
                .schema("h double, v double").option("enforceSchema", "true").csv(root)
                .select("h", "v", part(-3).alias("condition"), part(-2).alias("unit_name"),
                        F.regexp_extract(part(-1), r"^(\d+)\.csv$", 1).cast("bigint").alias("_stem")))
+    return snapshot_frame(samples, dataset)
+
+
+def snapshot_frame(samples: DataFrame, dataset: str) -> DataFrame:
+    """Samples (condition, unit_name, _stem: number of the snapshot, h, v) -> canonical frame with ``unit_name``. The
+    indicators of a snapshot are written before they are numbered; folders of no known condition are left out."""
     rows = cut_lineage(snapshot_indicators(samples, {"h": "h", "v": "v"}, ("condition", "unit_name", "_stem")))
     known = {c: i for i, c in enumerate(BEARING_CONDITIONS)}
     rows = rows.where(F.col("condition").isin(*known))
@@ -114,12 +121,13 @@ def read_high_rate(spark: SparkSession, path: str, dataset: str,
     return high_rate_cycles(spark.read.parquet(path).withColumn("dataset", F.lit(dataset)), names)
 
 
-def high_rate_cycles(table: DataFrame, names: list[str]) -> DataFrame:
-    """Per-cycle statistics of a table of seconds with its dataset; other columns are not read."""
-    missing = {"dataset", *HIGH_RATE_IDS, *names} - set(table.columns)
+def high_rate_cycles(table: DataFrame, names: list[str], more: tuple = ()) -> DataFrame:
+    """Per-cycle statistics of a table of seconds with its dataset (and ``more`` columns that a cycle has one value of);
+    other columns are not read."""
+    missing = {"dataset", *more, *HIGH_RATE_IDS, *names} - set(table.columns)
     if missing:
         raise ValueError(f"high-rate table lacks {sorted(missing)}")
-    return aggregate_cycles(table.select("dataset", *HIGH_RATE_IDS, *names), names, "Fc", ["t"])
+    return aggregate_cycles(table.select("dataset", *more, *HIGH_RATE_IDS, *names), names, "Fc", ["t"], (*KEYS, CYCLE, *more))
 
 
 # ---- learning curves ----------------------------------------------------------------------------
