@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CYCLE, KEYS
-from ..models import closed
+from ..models import closed, gram
 from ..models.learned import Model, fit_cells
 from ..operators.metrics import PRED_CELL, evaluate
 from ..operators.sampling import CELL, cell_rows, pending_cells
@@ -65,3 +65,13 @@ def over_levels(levels: dict, run: Callable[[object], DataFrame], name: str = "l
     probes (one factor at a time), ablations and window sizes."""
     parts = [run(value).withColumn(name, F.lit(level)) for level, value in levels.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def ridge_predictions(train: DataFrame, test: DataFrame, plan: DataFrame, column: str, model: str, loss: str, max_rul: float,
+                      alphas=gram.ALPHAS, scaled=(), keep: tuple = ("end_cycle",)) -> DataFrame:
+    """Predictions of a linear model on the inputs in the array ``column`` for all cells of ``plan`` in one plan: one pass over
+    the train rows, whatever the number of cells and penalties."""
+    sums = gram.cell_grams(gram.unit_grams(train, column), plan)
+    facts = {"model": F.lit(model), "loss": F.lit(loss), "max_rul": F.lit(float(max_rul))}
+    params = gram.fit_ridge(sums, CELL, alphas, scaled).withColumns(facts)
+    return gram.predict(params, test, column, max_rul, [*PRED_CELL, KEYS[1], *keep, "true_rul"])
