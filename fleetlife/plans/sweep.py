@@ -74,4 +74,5 @@ def ridge_predictions(train: DataFrame, test: DataFrame, plan: DataFrame, column
     sums = gram.cell_grams(gram.unit_grams(train, column), plan)
     facts = {"model": F.lit(model), "loss": F.lit(loss), "max_rul": F.lit(float(max_rul))}
     params = gram.fit_ridge(sums, CELL, alphas, scaled).withColumns(facts)
-    return gram.predict(params, test, column, max_rul, [*PRED_CELL, KEYS[1], *keep, "true_rul"])
+    names = [*PRED_CELL, KEYS[1], *keep, "true_rul"]
+    return gram.predict(params, test, column, max_rul, names).select(*names, "pred")
