@@ -3,7 +3,7 @@
 
 def load():
     """All registered queries by name."""
-    from . import comparison, experiments, fitting, linear, loading, preparation, scoring, volumes, windowing  # noqa: F401
+    from . import comparison, experiments, fitting, linear, loading, preparation, scoring, trees, volumes, windowing  # noqa: F401
     from .base import CATALOG
 
     return CATALOG

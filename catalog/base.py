@@ -84,10 +84,8 @@ def cycles(spark: SparkSession, path: str) -> DataFrame:
     for name, at in POINTS.items():
         point = F.when(F.col("event_type") == name, at).otherwise(point)
     value = F.col("value")
-    rows = numbering.number_rows(ev, ["user_id"], ["ts", "event_id"], CYCLE)
-    rows = numbering.join_units(rows.withColumnRenamed("user_id", UNIT), lifetimes(spark, path),
-                                "n_full", keys=[UNIT])
-    return rows.select(
+    rows = numbering.number_rows(ev, ["user_id"], ["ts", "event_id"], CYCLE, total="n_full").withColumnRenamed("user_id", UNIT)
+    return _placed(rows, UNIT).select(
         "dataset", "split", UNIT, CYCLE, "n_full", "event_type",
         (point + (value - F.floor(value) - 0.5) * 0.8).alias("setting_1"),
         (point / 100.0 + (k - 50) / 100000.0).alias("setting_2"),

@@ -55,9 +55,10 @@ def _large_groups(df: DataFrame, keys: list[str], lead: Column, slice_rows: int)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CYCLE,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                slice_rows: int = SLICE_ROWS, total: str | None = None) -> DataFrame:
     """Add ``name``: the position 1..n of a row inside its ``keys`` group, sorted by ``order``
-    (first entry numeric or a timestamp; together the entries must identify a row).
+    (first entry numeric or a timestamp; together the entries must identify a row). ``total``: also add the size n of the
+    group, under that name.
 
     Groups above ``slice_rows`` are cut at approximate quantiles of the first order key, so that an outlier
     does not matter; rows with one and the same first key stay in one slice. The sizes of the slices give each
@@ -66,8 +67,11 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CY
     lead = _as_number(df, order[0])
     large = _large_groups(df, keys, lead, slice_rows)
     if large is None:
-        return df.withColumn(name, F.row_number().over(
-            Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        group = Window.partitionBy(*keys).orderBy(*order)
+        made = {name: F.row_number().over(group).cast("bigint")}
+        if total:  # the same order, so that one sort serves both
+            made[total] = F.count("*").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return df.withColumns(made)
     above = F.size(F.filter("_cuts", lambda c: c < lead))
     place = F.when(lead.isNull(), -1).when(F.isnan(lead), F.size("_cuts") + 1).otherwise(above)
     sliced = (
@@ -81,12 +85,17 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = CY
         .select(*keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (
+    out = (
         sliced.withColumn(name, F.row_number().over(inside).cast("bigint"))
         .join(F.broadcast(shifts), [*keys, "_slice"], "left")
         .withColumn(name, F.col(name) + F.coalesce("_shift", F.lit(0)))
-        .drop("_k", "_slice", "_shift")
     )
+    if total:  # a sliced group's size is the sum of its slices; other groups are counted where they lie
+        whole = sliced.where("_k").groupBy(*keys).agg(F.count("*").alias("_whole"))
+        here = F.count("*").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        out = (out.withColumn("_here", here).join(F.broadcast(whole), keys, "left")
+               .withColumn(total, F.coalesce("_whole", "_here")).drop("_whole", "_here"))
+    return out.drop("_k", "_slice", "_shift")
 
 
 def dense_cycles(frame: DataFrame) -> DataFrame:

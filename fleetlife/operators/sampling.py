@@ -28,35 +28,31 @@ def rows_of(frame: DataFrame, units: DataFrame) -> DataFrame:
     return frame.join(units.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
-def hash_cuts(rows: DataFrame, by: list[str], wanted: DataFrame, name: str) -> DataFrame:
-    """Exact digest at a wanted rank. ``rows`` has ``by`` and ``_d`` (hex digest); ``wanted`` has
-    ``by``, more cell columns and ``_n``, the 1-based rank; the result is ``wanted`` with ``name``.
-
-    The first three hex digits cut a group into 4096 even buckets. Bucket counts (at most 4096 rows
-    per group) locate the bucket of the rank, and only that bucket's rows are sorted.
-    """
-    extra = [c for c in wanted.columns if c not in (*by, "_n")]
-    bucket = F.substring("_d", 1, 3)
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = (rows.groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_c"))
-             .withColumn("_end", F.sum("_c").over(upto)))
-    place = (wanted.join(sizes, by)
-             .where((F.col("_n") <= F.col("_end")) & (F.col("_n") > F.col("_end") - F.col("_c")))
-             .select(*by, *extra, "_b", (F.col("_n") - F.col("_end") + F.col("_c")).alias("_k")))
-    order = Window.partitionBy(*by, *extra).orderBy("_d")
-    # one row of `place` per wanted row
-    return (rows.withColumn("_b", bucket).join(F.broadcast(place), [*by, "_b"])
-            .withColumn("_r", F.row_number().over(order)).where("_r = _k")
-            .select(*by, *extra, F.col("_d").alias(name)))
+def digest_ranks(rows: DataFrame, by: list[str], key: str, name: str, total: str | None = None) -> DataFrame:
+    """Add ``name``, the place 1..n of a row among its ``by`` group in order of its hex digest ``key``, and the size of the
+    group as ``total``. The first three digits cut a group into 4096 even buckets: these are sorted, each by itself, and
+    shifted by the sizes of the buckets before (at most 4096 rows per group)."""
+    rows = rows.withColumn("_b", F.substring(key, 1, 3))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c")).select(
+        *by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias(total or "_total"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(key)) + F.col("_before")
+    return (rows.join(F.broadcast(starts), [*by, "_b"]).withColumn(name, place)
+            .drop("_b", "_before", *([] if total else ["_total"])))
 
 
 def unit_counts(units: DataFrame, counts) -> DataFrame:
     """Data-volume grid per dataset: the requested counts below the fleet size, plus the size."""
-    available = F.col("available")
-    wanted = F.filter(F.array(*[F.lit(int(c)).cast("bigint") for c in counts]), lambda c: c < available)
     return (units.groupBy("dataset").agg(F.count_distinct(UNIT).alias("available"))
-            .select("dataset", "available", F.explode(F.array_distinct(
-                F.array_append(wanted, available))).alias("n_units")))
+            .select("dataset", "available", F.explode(_wanted(counts)).alias("n_units")))
+
+
+def _wanted(counts):
+    """The counts below ``available``, and that."""
+    available = F.col("available")
+    below = F.filter(F.array(*[F.lit(int(c)).cast("bigint") for c in counts]), lambda c: c < available)
+    return F.array_distinct(F.array_append(below, available))
 
 
 def cell_grid(units: DataFrame, counts, seeds) -> DataFrame:
@@ -85,25 +81,16 @@ def _split_key():
 
 
 def sampling_plan(units: DataFrame, counts, seeds, fraction: float) -> DataFrame:
-    """Cells with their cuts: (dataset, n_units, seed, available, sub_cut, val_cut). ``sub_cut`` is
-    NULL for the whole fleet, ``val_cut`` where no unit validates. Computed once; it has
-    |datasets| x (|counts| + 1) x |seeds| rows, all chosen by the caller."""
-    grid = _collected(cell_grid(units, counts, seeds))
-    drawn = with_levels(units.select(*KEYS), "seed", [int(s) for s in seeds])
-    partial = grid.where(F.col("n_units") < F.col("available"))
-    sub = _collected(hash_cuts(drawn.withColumn("_d", _draw_key()), ["dataset", "seed"],
-                               partial.select(*CELL, F.col("n_units").alias("_n")), "sub_cut"))
-    cells = grid.join(F.broadcast(sub), CELL, "left")
-    members = _drawn(units, cells).withColumn("_d", _split_key())
-    size = validation_size(F.col("n_units"), fraction)
-    val = hash_cuts(members.select(*CELL, "_d"), CELL,
-                    grid.select(*CELL, size.alias("_n")).where("_n > 0"), "val_cut")
-    return _collected(cells.join(val, CELL, "left").select(*CELL, "available", "sub_cut", "val_cut"))
-
-
-def _collected(cells: DataFrame) -> DataFrame:
-    """A table of cells, computed now."""
-    return cells.sparkSession.createDataFrame(cells.collect(), cells.schema)
+    """Cells with their cuts: (dataset, n_units, seed, available, sub_cut, val_cut). ``units`` has one row per unit. ``sub_cut``
+    is NULL for the whole fleet, ``val_cut`` where no unit validates. It has |datasets| x (|counts| + 1) x |seeds| rows, all
+    chosen by the caller. Nothing runs until the plan is used."""
+    drawn = with_levels(units.select(*KEYS), "seed", [int(s) for s in seeds]).withColumns({"_s": _draw_key(), "_v": _split_key()})
+    ranked = digest_ranks(drawn, ["dataset", "seed"], "_s", "_r", "available")
+    inside = F.filter(_wanted(counts), lambda n: F.col("_r") <= n)
+    members = digest_ranks(ranked.withColumn("n_units", F.explode(inside)), CELL, "_v", "_q")
+    return members.groupBy(*CELL).agg(
+        F.max("available").alias("available"), F.max(F.when(F.col("n_units") < F.col("available"), F.col("_s"))).alias("sub_cut"),
+        F.max(F.when(F.col("_q") <= validation_size(F.col("n_units"), fraction), F.col("_v"))).alias("val_cut"))
 
 
 def _drawn(rows: DataFrame, cells: DataFrame) -> DataFrame:

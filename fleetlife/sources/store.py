@@ -26,6 +26,12 @@ def materialize(df: DataFrame, base: str, key: str, overwrite: bool = False,
     return spark.read.parquet(path).select(*df.columns)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, or a folder of them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _shape(schema: StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema]
 
