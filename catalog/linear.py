@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlife.config import CYCLE
+from fleetlife.config import CYCLE, UNIT
 from fleetlife.functions.arrays import flatten_locscale
-from fleetlife.models import embed, gram, kernels
+from fleetlife.models import embed, gram, kernels, ordinal
 from fleetlife.operators import metrics, windows
-from fleetlife.plans import sweep
+from fleetlife.operators.sampling import CELL
+from fleetlife.plans import sweep, transfer
 
 from .base import CAP, FEATURES_SQL, FLEET_SQL, MEMBERS_SQL, PCELL, WINDOW, cells, features, fleet, query, rnd, rounded, s_metrics
 from .fitting import DIMS, HC, SCALE, _projection
@@ -23,11 +24,10 @@ def scores(train, test, plan, column, model, loss, **options):
 
 
 # ---- SQL: sums per cell, elimination, choice of the penalty --------------------------------------
-def ridge_sql(d: int, model: str, loss: str, alphas, scaled=()) -> str:
-    """CTEs after ``hx`` (dataset, split, unit_number, end_cycle, n_obs, y: label, truth, x_0 .. x_{d-1}) and ``members`` that
-    end in ``preds``. The elimination of a symmetric matrix needs no pivots."""
+def solve_sql(d: int, cell: str, alphas, scaled=()) -> str:
+    """CTEs from ``tr`` (the columns of ``cell``, role, y, x_0 .. x_{d-1}) to ``best`` (cell, w_0 .., ic). The elimination of a
+    symmetric matrix needs no pivots."""
     x = range(d)
-    cell = "dataset, n_units, seed"
     sums = ", ".join([f"sum(x_{i}) AS s_{i}, sum(x_{i} * y) AS c_{i}" for i in x]
                      + [f"sum(x_{i} * x_{j}) AS q_{i}_{j}" for i in x for j in x if j >= i])
     unit = [f"(CASE WHEN n > 1 AND sqrt(greatest(q_{i}_{i} - s_{i} * s_{i} / n, 0) / (n - 1)) > {gram.STD_GUARD!r}::DOUBLE "
@@ -50,17 +50,23 @@ def ridge_sql(d: int, model: str, loss: str, alphas, scaled=()) -> str:
     side = lambda p: (f"{p}.syy - 2 * ic * {p}.sy + {p}.n * ic * ic"
                       + "".join(f" - 2 * f.w_{i} * {p}.c_{i} + 2 * ic * f.w_{i} * {p}.s_{i}" for i in x)
                       + "".join(f" + {'' if i == j else '2 * '}f.w_{i} * f.w_{j} * {p}.q_{i}_{j}" for i in x for j in x if j >= i))
-    values = " + ".join(f"w_{i} * x_{i}" for i in x)
-    return f"""tr AS (SELECT h.*, m.n_units, m.seed, m.role FROM hx h JOIN members m ON m.dataset = h.dataset AND m.unit_number = h.unit_number
-  WHERE h.split = 'train'),
-g AS (SELECT {cell}, role, count(*)::DOUBLE AS n, sum(y) AS sy, sum(y * y) AS syy, {sums} FROM tr GROUP BY {cell}, role),
+    return f"""g AS (SELECT {cell}, role, count(*)::DOUBLE AS n, sum(y) AS sy, sum(y * y) AS syy, {sums} FROM tr GROUP BY {cell}, role),
 t AS (SELECT *, {units} FROM g WHERE role = 'train'),
 e0 AS (SELECT *, {system} FROM t, (SELECT unnest([{', '.join(repr(float(a)) + '::DOUBLE' for a in alphas)}]) AS alpha)),
 {', '.join(steps)},
 fitted AS (SELECT *, (sy - ({inner})) / n AS ic FROM (SELECT *, {weights} FROM {last})),
 judged AS (SELECT f.*, CASE WHEN v.n IS NULL THEN {side('f')} ELSE {side('v')} END AS err
   FROM fitted f LEFT JOIN (SELECT * FROM g WHERE role = 'val') v USING ({cell})),
-best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY {cell} ORDER BY err, alpha) = 1),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY {cell} ORDER BY err, alpha) = 1)"""
+
+
+def ridge_sql(d: int, model: str, loss: str, alphas, scaled=()) -> str:
+    """CTEs after ``hx`` (dataset, split, unit_number, end_cycle, n_obs, y: label, truth, x_0 .. x_{d-1}) and ``members`` that
+    end in ``preds``."""
+    values = " + ".join(f"w_{i} * x_{i}" for i in range(d))
+    return f"""tr AS (SELECT h.*, m.n_units, m.seed, m.role FROM hx h JOIN members m ON m.dataset = h.dataset AND m.unit_number = h.unit_number
+  WHERE h.split = 'train'),
+{solve_sql(d, 'dataset, n_units, seed', alphas, scaled)},
 preds AS (SELECT '{model}' AS model, h.dataset, {CAP}::DOUBLE AS max_rul, b.n_units, b.seed, '{loss}' AS loss, h.truth AS true_rul,
   greatest(0e0, least(ic + {values}, {CAP}::DOUBLE)) AS pred FROM hx h JOIN best b ON b.dataset = h.dataset
   WHERE h.split = 'test' AND h.end_cycle = h.n_obs)"""
@@ -129,3 +135,53 @@ def kernel_ridge_cells(spark, path):
     test = windows.last_windows(fleet(spark, path, "test"), channels, WINDOW).withColumnRenamed("label", "true_rul")
     made = [kernels.kernel_features(w, channels, WINDOW, seed=3) for w in (train, test)]
     return scores(*made, cells(spark, path), "kernels", "kernel_ridge", "native")
+
+
+# ---- transfer -----------------------------------------------------------------------------------
+PAIRS, SHOTS = [("north", "south"), ("south", "north")], [2, 5, 10, 25]
+_ARM = "mode, source_dataset, target_dataset, n_target_units, seed"
+_X = ", ".join(f"x_{i}" for i in range(8))
+
+
+def _transfer_sql() -> str:
+    values = " + ".join(f"w_{i} * x_{i}" for i in range(8))
+    return f"""WITH {_head_sql([e for v in _EMB for e in v] + _LOCSCALE)}, {MEMBERS_SQL},
+pairs AS (SELECT * FROM (VALUES {', '.join(map(str, PAIRS))}) AS p(source_dataset, target_dataset)),
+src AS (SELECT p.*, m.seed, m.role, y, {_X} FROM pairs p JOIN avail a ON a.dataset = p.source_dataset
+  JOIN members m ON m.dataset = a.dataset AND m.n_units = a.available JOIN hx h ON h.dataset = m.dataset AND h.unit_number = m.unit_number AND h.split = 'train'),
+tgt AS (SELECT p.*, m.n_units AS n_target_units, m.seed, m.role, y, {_X} FROM pairs p JOIN members m ON m.dataset = p.target_dataset
+  AND m.n_units IN ({', '.join(map(str, SHOTS))}) JOIN hx h ON h.dataset = m.dataset AND h.unit_number = m.unit_number AND h.split = 'train'),
+ks AS (SELECT DISTINCT target_dataset, seed, n_target_units FROM tgt),
+tr AS (SELECT 'zero_shot' AS mode, 0::BIGINT AS n_target_units, * FROM src UNION ALL BY NAME SELECT 'target_only' AS mode, * FROM tgt
+  UNION ALL BY NAME SELECT 'source+target' AS mode, * FROM tgt UNION ALL BY NAME SELECT 'source+target' AS mode, src.*, n_target_units FROM src JOIN ks USING (target_dataset, seed)),
+{solve_sql(8, _ARM, L2, range(4, 8))},
+preds AS (SELECT {', '.join('b.' + c for c in _ARM.split(', '))}, h.truth AS true_rul, greatest(0e0, least(ic + {values}, {CAP}::DOUBLE)) AS pred
+  FROM hx h JOIN best b ON b.target_dataset = h.dataset WHERE h.split = 'test' AND h.end_cycle = h.n_obs)
+SELECT 'linear_mlp' AS model, 'mse' AS loss, {_ARM}, n, {rnd(*metrics.METRICS, digits=4)} FROM (SELECT {_ARM}, {s_metrics()} FROM preds GROUP BY {_ARM})"""
+
+
+@query("transfer_heads", "X9 U2 M8", _transfer_sql())
+def transfer_heads(spark, path):
+    column = F.concat(F.flatten("emb"), flatten_locscale(F.col("locscale")))
+    train, test = _heads(spark, path, column)
+    return rounded(transfer.head_transfer(train, test, cells(spark, path), PAIRS, SHOTS, "x", "linear_mlp", "mse", CAP, L2, range(4, 8)), 4)
+
+
+# ---- ordinal head -------------------------------------------------------------------------------
+BINS = 25
+
+
+@query("ordinal_head_cells", "M9 M11", f"""WITH {FLEET_SQL}, {MEMBERS_SQL}, t AS (SELECT dataset, count(DISTINCT unit_number) AS n FROM fleet
+  WHERE split = 'test' GROUP BY dataset)
+SELECT 'ordinal_mlp' AS model, 'corn' AS loss, c.dataset, c.n_units, c.seed, {BINS - 1}::BIGINT AS n_tasks, t.n, true AS in_range, true AS fits
+FROM cells c JOIN t ON t.dataset = c.dataset""")
+def ordinal_head_cells(spark, path):
+    """Per cell: test units predicted, all predictions in range, and no task's loss above that of its classes' shares."""
+    column = F.concat(F.flatten("emb"), flatten_locscale(F.col("locscale")))
+    train, test = _heads(spark, path, column)
+    head = ordinal.fit(train, cells(spark, path), "x", CAP, bins=BINS)
+    preds = ordinal.predict(head, test, "x", CAP, [UNIT])
+    fits = spark.createDataFrame([(*c, bool((a <= b + 1e-9).all()), len(a)) for c, a, b in zip(head.cells, head.loss, head.base)],
+                                 "dataset string, n_units long, seed int, fits boolean, n_tasks long")
+    found = preds.groupBy(*CELL).agg(F.count("*").alias("n"), F.expr(f"min(pred) >= 0 AND max(pred) <= {CAP}").alias("in_range"))
+    return found.join(fits, CELL).select(F.lit("ordinal_mlp").alias("model"), F.lit("corn").alias("loss"), *CELL, "n_tasks", "n", "in_range", "fits")

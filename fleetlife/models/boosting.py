@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEYS
-from ..operators.sampling import CELL, cell_rows
+from ..operators.sampling import CELL, cell_codes
 from ..session import work_dir
 from ..sources.store import materialize, remove
 
@@ -184,12 +184,7 @@ def fit(rows: DataFrame, plan: DataFrame, inputs: list[str], label: str = "label
     if not 2 <= bins <= 256:
         raise ValueError(f"bins fit in a byte: 2 to 256, got {bins}")
     edges, width = bin_edges(rows, inputs, bins), len(inputs)
-    names = plan.select(*CELL).orderBy(*CELL).collect()
-    cells = [tuple(r) for r in names]
-    numbers = F.broadcast(rows.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cells)], f"{plan.select(*CELL).schema.simpleString()[7:-1].replace(':', ' ')}, _c int"))
-    units = rows.select(*KEYS).distinct()
-    drawn = cell_rows(units, plan).join(numbers, CELL).groupBy(*KEYS).agg(F.sort_array(F.collect_list(
-        F.col("_c") * 2 + F.when(F.col("role") == "val", 1).otherwise(0))).alias("codes"))  # at most one entry per cell
+    cells, drawn = cell_codes(rows.select(*KEYS).distinct(), plan)
     state = binned(rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double")), inputs, edges, [*KEYS, "_y"])
     base = f"{work_dir(rows.sparkSession)}/boosting_{uuid.uuid4().hex}"
     state = materialize(state.join(drawn, KEYS).select("bins", F.col("_y").alias("label"), "codes"), base, "rows")

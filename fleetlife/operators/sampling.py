@@ -106,6 +106,17 @@ def cell_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return _drawn(rows, plan).withColumn("role", role).drop("available", "sub_cut", "val_cut")
 
 
+def cell_codes(units: DataFrame, plan: DataFrame) -> tuple[list[tuple], DataFrame]:
+    """The cells of a plan by number, and (dataset, unit_number, codes): for each unit the cells that drew it, as twice the
+    cell's number, plus one where the unit validates. A unit has one entry per cell at most."""
+    found = [tuple(r) for r in plan.select(*CELL).orderBy(*CELL).collect()]
+    kinds = plan.select(*CELL).schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    numbers = plan.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(found)], f"{kinds}, _c int")
+    code = F.col("_c") * 2 + F.when(F.col("role") == "val", 1).otherwise(0)
+    codes = cell_rows(units.select(*KEYS), plan).join(F.broadcast(numbers), CELL).groupBy(*KEYS).agg(F.sort_array(F.collect_list(code)).alias("codes"))
+    return found, codes
+
+
 def subsample_units(units: DataFrame, plan: DataFrame) -> DataFrame:
     """Units drawn without replacement for every cell: (dataset, n_units, seed, unit_number). The
     draw of a smaller count is part of the draw of a larger one with the same seed."""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CYCLE, UNIT
-from ..models import closed
+from ..models import closed, gram
 from ..operators.metrics import evaluate
-from ..operators.sampling import cell_rows
+from ..operators.sampling import CELL, cell_rows
 
 ARM = ["mode", "source_dataset", "target_dataset", "n_target_units", "seed"]
 TRANSFER_KEYS = ["model", *ARM, "loss"]
@@ -48,3 +48,38 @@ def line_transfer(source: DataFrame, target: DataFrame, test: DataFrame, source_
     rows = test.withColumnRenamed("dataset", "target_dataset")
     preds = closed.predict_lines(params, rows, lines, max_rul, [UNIT, CYCLE, "true_rul"], ("target_dataset",))
     return evaluate(preds, TRANSFER_KEYS, max_rul)
+
+
+def arm_grams(grams: DataFrame, plan: DataFrame, pairs: list[tuple[str, str]], shots: list[int]) -> DataFrame:
+    """(arm, role, at, s): sums of products of every arm's train and validation units, for each (source, target) of ``pairs``.
+    Units are added up once per cell of the plan; arms add up cells, so rows and units are never read again. ``zero_shot`` has
+    the source's units, ``target_only`` k units of the target, ``source+target`` both, in training and validation."""
+    if any(k < 2 for k in shots):
+        raise ValueError("shots must be at least 2")
+    used = plan.where(F.col("n_units").isin(*shots) | (F.col("n_units") == F.col("available")))
+    drawn = grams.join(F.broadcast(used.groupBy("dataset").agg(F.max("available").alias("_all"))), "dataset")
+    sums = gram.add_up(cell_rows(drawn, used), [*CELL, "_all", "role"])
+    spark = grams.sparkSession
+    names = F.broadcast(spark.createDataFrame(pairs, "source_dataset string, target_dataset string"))
+    source = sums.where("n_units = _all").withColumnRenamed("dataset", "source_dataset").join(names, "source_dataset")
+    target = (sums.where(F.col("n_units").isin(*shots)).withColumnRenamed("dataset", "target_dataset").join(names, "target_dataset")
+              .withColumnRenamed("n_units", "n_target_units"))
+    few = F.broadcast(used.where(F.col("n_units").isin(*shots)).select(
+        F.col("dataset").alias("target_dataset"), "seed", F.col("n_units").alias("n_target_units")))
+    source = source.drop("n_units", "_all")
+    arms = (source.withColumn("n_target_units", F.lit(0).cast("bigint")).withColumn("mode", F.lit("zero_shot"))
+            .unionByName(target.drop("_all").withColumn("mode", F.lit("target_only")))
+            .unionByName(target.drop("_all").withColumn("mode", F.lit("source+target")))
+            .unionByName(source.join(few, ["target_dataset", "seed"]).withColumn("mode", F.lit("source+target"))))
+    return arms.groupBy(*ARM, "role", "at").agg(F.sum("s").alias("s"))
+
+
+def head_transfer(train: DataFrame, test: DataFrame, plan: DataFrame, pairs: list[tuple[str, str]], shots: list[int], column: str,
+                  model: str, loss: str, max_rul: float, alphas=gram.ALPHAS, scaled=()) -> DataFrame:
+    """Result rows of a linear head on the inputs in the array ``column`` for every arm, in all directions at once. An arm's
+    standardizer and its penalty come from the sums of its own units."""
+    sums = arm_grams(gram.unit_grams(train, column), plan, pairs, shots)
+    params = gram.fit_ridge(sums, ARM, alphas, scaled).withColumns({"model": F.lit(model), "loss": F.lit(loss)})
+    rows = test.withColumnRenamed("dataset", "target_dataset")
+    preds = gram.predict(params, rows, column, max_rul, [UNIT, "true_rul"], ("target_dataset",))
+    return evaluate(preds, TRANSFER_KEYS, max_rul)
