@@ -120,32 +120,26 @@ def present_quantile(values: Column, q: float) -> Column:
     return a + (F.coalesce(F.get(values, low + 1), a) - a) * (place - low)
 
 
-def sorted_quantile(values: Column, size: int, q: float) -> Column:
-    """Quantile by linear interpolation of a sorted array of known size."""
-    place = (size - 1) * q
-    low = int(place)
-    a = F.element_at(values, low + 1)
-    if place == low:
-        return a
-    return a + (F.element_at(values, low + 2) - a) * (place - low)
-
-
 def array_stats(win: Column, channel: str, window: int) -> dict[str, Column]:
-    """The nine statistics of one channel from a window array (padded windows included)."""
-    x = F.transform(win, lambda s: s[channel].cast("double"))
+    """The nine statistics of one channel from a window array (padded windows included). NULL readings are left out, as
+    ``window_stats`` does: both halves of the features agree."""
+    placed = F.filter(F.transform(win, lambda s, i: F.struct(s[channel].cast("double").alias("v"), i.cast("double").alias("i"))),
+                      lambda p: p["v"].isNotNull())
+    x = F.transform(placed, lambda p: p["v"])
     ordered = F.array_sort(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    mean = total / window
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    middle = (window - 1) / 2
-    spread = sum((i - middle) ** 2 for i in range(window)) or 1.0
-    tilt = F.aggregate(
-        F.transform(x, lambda v, i: (v - mean) * (i - F.lit(middle))), F.lit(0.0), lambda a, v: a + v)
+    n = F.nullif(F.size(x), F.lit(0))
+
+    def over(value):
+        return F.aggregate(placed, F.lit(0.0), lambda a, p: a + value(p))
+
+    mean, middle = over(lambda p: p["v"]) / n, over(lambda p: p["i"]) / n
+    square = over(lambda p: (p["v"] - mean) * (p["v"] - mean))
+    spread = over(lambda p: (p["i"] - middle) * (p["i"] - middle))
+    tilt = over(lambda p: (p["v"] - mean) * (p["i"] - middle))
     return {
-        "mean": mean, "std": F.sqrt(square / window), "min": F.element_at(ordered, 1),
-        "max": F.element_at(ordered, window),
-        **{f"q{q}": sorted_quantile(ordered, window, q / 100) for q in (25, 50, 75)},
-        "slope": tilt / spread, "last": F.element_at(x, -1),
+        "mean": mean, "std": F.sqrt(square / n), "min": F.array_min(x), "max": F.array_max(x),
+        **{f"q{q}": present_quantile(ordered, q / 100) for q in (25, 50, 75)},
+        "slope": tilt / F.nullif(spread, F.lit(0.0)), "last": F.element_at(win, -1)[channel].cast("double"),
     }
 
 

@@ -181,3 +181,16 @@ def test_window_stats_with_missing_readings(spark):
     assert got[7].s_2_q50 == 6.5 and sorted(got) == [3, 4, 5, 6, 7]
     none = windows.window_stats(frame.withColumn("s_2", F.lit(None).cast("double")), ["s_2"], 3).first()
     assert none.s_2_q75 is None and none.s_2_mean is None
+
+
+def test_statistics_of_train_and_test_windows_agree_on_nulls(spark):
+    readings = [[1.0, None, 3.0, 4.0, 5.0], [None] * 5, [2.0, 7.0, 1.0, 9.0, None], [None, None, 6.0, None, None], [1.0, 2.0, 4.0, 8.0, 16.0]]
+    rows = [("A", u, c, v) for u, vs in enumerate(readings) for c, v in enumerate(vs, 1)]
+    frame = labels.label_train(spark.createDataFrame(rows, "dataset string, unit_number long, time_cycles long, s_2 double"), 100)
+    left = windows.window_stats(frame, ["s_2"], 5).collect()
+    right = {r.unit_number: r for r in windows.last_window_stats(frame, ["s_2"], 5).collect()}
+    assert len(left) == len(right) == 5
+    for r in left:
+        for s in windows.STATS:
+            a, b = r[f"s_2_{s}"], right[r.unit_number][f"s_2_{s}"]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b)), (r.unit_number, s)
