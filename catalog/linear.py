@@ -9,7 +9,7 @@ from fleetlife.functions.arrays import flatten_locscale
 from fleetlife.models import embed, gram, kernels, ordinal
 from fleetlife.operators import metrics, windows
 from fleetlife.operators.sampling import CELL
-from fleetlife.plans import sweep, transfer
+from fleetlife.plans import ablation, sweep, transfer
 
 from .base import CAP, FEATURES_SQL, FLEET_SQL, MEMBERS_SQL, PCELL, WINDOW, cells, features, fleet, query, rnd, rounded, s_metrics
 from .fitting import DIMS, HC, SCALE, _projection
@@ -185,3 +185,56 @@ def ordinal_head_cells(spark, path):
                                  "dataset string, n_units long, seed int, fits boolean, n_tasks long")
     found = preds.groupBy(*CELL).agg(F.count("*").alias("n"), F.expr(f"min(pred) >= 0 AND max(pred) <= {CAP}").alias("in_range"))
     return found.join(fits, CELL).select(F.lit("ordinal_mlp").alias("model"), F.lit("corn").alias("loss"), *CELL, "n_tasks", "n", "in_range", "fits")
+
+
+# ---- ablation -----------------------------------------------------------------------------------
+LENGTHS, PATCH = [12, 24, 36], 12
+
+
+def _ablation_sql() -> str:
+    over = lambda a, b: f"OVER (PARTITION BY unit_number ORDER BY time_cycles ROWS BETWEEN {a} PRECEDING AND {b})"
+    patches = ", ".join(f"avg({c}) {over(PATCH * (j + 1) - 1, f'{PATCH * j} PRECEDING' if j else 'CURRENT ROW')} AS p{i}_{j}"
+                        for i, c in enumerate(HC) for j in range(max(LENGTHS) // PATCH))
+    whole = ", ".join(f"avg({c}) {over(n - 1, 'CURRENT ROW')} AS m{i}_{n}, stddev_pop({c}) {over(n - 1, 'CURRENT ROW')} AS d{i}_{n}"
+                      for i, c in enumerate(HC) for n in LENGTHS)
+    patch = lambda i, j: f"tanh(p{i}_{j} / {SCALE!r}::DOUBLE)"
+    ctx = []
+    for n in LENGTHS:
+        means = [f"list_avg([{', '.join(patch(i, j) for j in range(n // PATCH))}])" for i in range(2)]
+        ctx.append(f"SELECT {n} AS context_length, *, {', '.join(f'{m} AS e{i}' for i, m in enumerate(means))}, "
+                   f"{', '.join(f'm{i}_{n} AS m{i}, d{i}_{n} AS d{i}' for i in range(2))} FROM pr")
+    pool = ", ".join(f"CASE pooling WHEN 'mean' THEN e{i} WHEN 'last_content' THEN {patch(i, 0)} ELSE tanh({c} / {SCALE!r}::DOUBLE) END AS x_{i}"
+                     for i, c in enumerate(HC))
+    ls = ", ".join(f"CASE WHEN head_features LIKE '%locscale%' THEN {v} ELSE 0 END AS x_{2 + k}" for k, v in enumerate(("m0", "d0", "m1", "d1")))
+    raw = ", ".join(f"CASE WHEN head_features LIKE '%raw' THEN {c} ELSE 0 END AS x_{6 + k}" for k, c in enumerate(HC))
+    cell = "dataset, n_units, seed, context_length, head_features, pooling"
+    values = " + ".join(f"w_{i} * x_{i}" for i in range(8))
+    return f"""WITH {FLEET_SQL}, {MEMBERS_SQL},
+pr AS (SELECT * FROM (SELECT *, {patches}, {whole} FROM fleet) WHERE time_cycles >= {WINDOW}),
+ctx AS ({' UNION ALL '.join(ctx)}),
+arms AS (SELECT context_length, head_features, pooling FROM (SELECT unnest({LENGTHS}) AS context_length),
+  (SELECT unnest(['emb', 'emb+locscale', 'emb+locscale+raw']) AS head_features), (SELECT unnest(['mean', 'forecast_token', 'last_content']) AS pooling)
+  WHERE head_features <> 'emb+locscale+raw' OR pooling = 'mean'),
+ax AS (SELECT c.dataset, split, unit_number, time_cycles, n_obs, clipped_rul AS y, actual_rul AS truth, a.*, {pool}, {ls}, {raw}
+  FROM ctx c JOIN arms a ON a.context_length = c.context_length),
+tr AS (SELECT ax.*, m.n_units, m.seed, m.role FROM ax JOIN members m ON m.dataset = ax.dataset AND m.unit_number = ax.unit_number
+  JOIN avail v ON v.dataset = m.dataset AND v.available = m.n_units WHERE ax.split = 'train'),
+{solve_sql(8, cell, L2, range(2, 8))},
+preds AS (SELECT {', '.join('b.' + c for c in cell.split(', '))}, truth AS true_rul, greatest(0e0, least(ic + {values}, {CAP}::DOUBLE)) AS pred
+  FROM best b JOIN ax ON ax.dataset = b.dataset AND ax.context_length = b.context_length AND ax.head_features = b.head_features AND ax.pooling = b.pooling
+  WHERE ax.split = 'test' AND ax.time_cycles = ax.n_obs),
+res AS (SELECT {cell}, {s_metrics()} FROM preds GROUP BY {cell}),
+winner AS (SELECT context_length, head_features, avg(rmse_clipped) AS m FROM res WHERE pooling = 'mean' AND head_features <> 'emb+locscale+raw'
+  GROUP BY ALL ORDER BY m, context_length, head_features LIMIT 1)
+SELECT 1 AS phase, {cell}, n, {rnd(*metrics.METRICS, digits=4)} FROM res WHERE pooling = 'mean' AND head_features <> 'emb+locscale+raw'
+UNION ALL SELECT 2, {', '.join('r.' + c for c in cell.split(', '))}, n, {rnd(*metrics.METRICS, digits=4)} FROM res r JOIN winner w ON r.context_length = w.context_length
+  AND (r.head_features = 'emb+locscale+raw' OR (r.head_features = w.head_features AND r.pooling <> 'mean'))"""
+
+
+@query("ablation_phases", "X3 A13 F9 F10 F11", _ablation_sql())
+def ablation_phases(spark, path):
+    rows = ablation.patch_rows(fleet(spark, path), HC, LENGTHS, PATCH, SCALE, WINDOW, ("split", "n_obs", "clipped_rul", "actual_rul"))
+    rows = rows.withColumnsRenamed({"clipped_rul": "label", "actual_rul": "true_rul"})
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test' AND end_cycle = n_obs")
+    out = ablation.two_phases(train, test, sweep.whole_fleet(cells(spark, path)), LENGTHS, len(HC), CAP, L2[0])
+    return rounded(out, 4)
