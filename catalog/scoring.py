@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetlife.config import CYCLE, UNIT, content_hash
@@ -10,10 +12,14 @@ from fleetlife.functions import ordinal
 from fleetlife.functions.errors import cap, nasa
 from fleetlife.functions.names import bin_label, series_label
 from fleetlife.operators import compare, metrics
+from fleetlife.plans import scoring
+from fleetlife.session import work_dir
 
 from .base import (
-    CAP, EDGES, HORIZON_SQL, PCELL, PKEYS, PREDS_SQL, horizon, predictions, query, rnd, rounded, s_nasa, table,
+    CAP, EDGES, HORIZON_SQL, PCELL, PKEYS, PREDS_SQL, RESULTS_SQL, horizon, predictions, query, results, rnd, rounded, s_nasa,
+    table,
 )
+from .comparison import LABEL
 
 ERROR_EDGES = [-20.0, -10.0, -5.0, 0.0, 5.0, 10.0, 20.0]
 RATIOS = [1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
@@ -80,6 +86,36 @@ def cost_curve(spark, path):
     return rounded(metrics.cost_curve(predictions(spark, path), PCELL, RATIOS), 4)
 
 
+def _restarted(spark, path):
+    """Both tables after a first run over some cells and a second over all."""
+    base, preds = f"{work_dir(spark)}/study_{uuid.uuid4().hex}", predictions(spark, path)
+    scoring.restart(preds.where("n_units < 10"), base, ERROR_EDGES, RATIOS)
+    return scoring.restart(preds, base, ERROR_EDGES, RATIOS)
+
+
+@query("restarted_costs", "X8 X14 J4 S10", f"WITH {COST_SQL} SELECT {PKEYS}, cost_ratio, {rnd('cost', digits=4)} FROM costs")
+def restarted_costs(spark, path):
+    return rounded(_restarted(spark, path)[1], 4)
+
+
+def _study(spark, path, name):
+    """A table of the study over two runs, the second of which repeats some cells."""
+    rows, preds = rounded(results(spark, path), 7), predictions(spark, path).withColumn("pred", F.round("pred", 9))
+    twice = [t.unionByName(t.where("loss = 'native'")) for t in (rows, preds)]
+    return scoring.study_tables(*twice, ERROR_EDGES, RATIOS)[name]
+
+
+@query("study_data_scaling", "X14 U3 A12", f"""WITH {RESULTS_SQL} SELECT dataset, {LABEL} AS label, n_units,
+  {rnd('avg(rmse_clipped) AS mean', 'stddev_pop(rmse_clipped) AS std', digits=3)} FROM results GROUP BY ALL""")
+def study_data_scaling(spark, path):
+    return rounded(_study(spark, path, "data_scaling"), 3)
+
+
+@query("study_costs", "X14 X8 U3", f"WITH {COST_SQL} SELECT {PKEYS}, cost_ratio, {rnd('cost', digits=3)} FROM costs")
+def study_costs(spark, path):
+    return rounded(_study(spark, path, "cost"), 3)
+
+
 @query("earliness_summary", "A24", f"""WITH {EARLY_SQL} SELECT dataset, max_rul, model,
   {rnd('avg(frac_late) AS frac_late', 'avg(frac_early) AS frac_early')} FROM tot GROUP BY dataset, max_rul, model""")
 def earliness_summary(spark, path):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import compare, metrics
 from ..operators.sampling import finished_cells, pending_cells
 from ..operators.metrics import PRED_CELL
+from ..sources.store import commit_cells, committed
 
 
 def horizon_rows(preds: DataFrame, max_rul: float, edges: list[float] | None = None) -> DataFrame:
@@ -40,3 +41,17 @@ def study_tables(results: DataFrame, preds: DataFrame, edges, ratios) -> dict[st
         "data_scaling": compare.data_scaling(rows), "success_map": compare.success_map(rows),
         "earliness": hist, "cost": costs, "roster": compare.roster(rows),
     }
+
+
+def restart(preds: DataFrame, base: str, edges, ratios) -> tuple[DataFrame, DataFrame]:
+    """Histogram and cost tables under ``base``, brought up to the cells of ``preds``: cells that a table holds are not run again,
+    each table by itself, and what an earlier run left undone is. Returns both tables as stored."""
+    spark = preds.sparkSession
+    makers = {"earliness": lambda p: metrics.earliness(p, PRED_CELL, edges), "cost": lambda p: metrics.cost_curve(p, PRED_CELL, ratios)}
+    out = []
+    for name, make in makers.items():
+        path, schema = f"{base}/{name}", make(preds).schema
+        todo = pending_cells(preds, committed(spark, path, schema), PRED_CELL)
+        commit_cells(make(todo), path, PRED_CELL)
+        out.append(committed(spark, path, schema))
+    return tuple(out)

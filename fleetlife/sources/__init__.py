@@ -11,10 +11,10 @@ from .files import (
     read_truth,
     require_channels,
 )
-from .store import append_results, materialize, read_results, source_key
+from .store import append_results, commit_cells, committed, materialize, read_results, source_key
 
 __all__ = [
-    "append_results", "check_conditions", "materialize", "parse_cycle_lines",
+    "append_results", "check_conditions", "commit_cells", "committed", "materialize", "parse_cycle_lines",
     "parse_truth_lines", "read_curves", "read_cycle_text", "read_high_rate", "read_results",
     "read_snapshot_tree", "read_truth", "require_channels", "source_key",
 ]

@@ -90,3 +90,19 @@ def read_results(spark: SparkSession, path: str, schema: StructType | str, fmt:
         if error.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
+
+
+def commit_cells(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write result rows with one partition per cell of ``keys``. Partitions replace those of the same cells and leave others
+    alone; they are staged and moved into place as wholes when the job has ended, so a run that is killed leaves whole
+    cells or none. The number of cells is the caller's; a cell's rows are dealt to as many tasks as they need."""
+    name = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    (rows.withColumn("_cell", F.substring(name, 1, 16)).hint("rebalance", F.col("_cell")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_cell").parquet(path))
+
+
+def committed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows committed under ``path``; none where nothing is yet."""
+    if _stored_schema(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).select(*schema.fieldNames())
