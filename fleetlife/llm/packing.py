@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import plain, stored
 
 MAX_TOKENS, END_ID = 2048, 0
-BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 100
+BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 500
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -97,7 +97,8 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
         cache, end = WordCache(vocabulary, CACHE_WORDS // 4 if with_ids else CACHE_WORDS), np.array([end_id], "<u4")
         number = TaskContext.get().partitionId() << 40
         # A few documents at a time, so that a task holds the ids of these only.
-        for batch in (b.iloc[i:i + STEP] for b in batches for i in range(0, len(b), STEP)):
+        step = STEP // 5 if with_ids else STEP
+        for batch in (b.iloc[i:i + step] for b in batches for i in range(0, len(b), step)):
             rows, ids = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 found = np.concatenate([cache.ids(text or ""), end])
