@@ -252,4 +252,4 @@ def test_pipeline_stages(spark):
         ids = left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, PATH)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
-    assert set(queries.QUERIES) >= {f for f in queries.QUERIES if f.startswith("op")} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) >= {f for f in queries.QUERIES if f.startswith("op")} and len(queries.QUERIES) == 13
