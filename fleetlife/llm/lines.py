@@ -9,11 +9,11 @@ prefix is at least the length.
 A repeated run must have ``min_words`` words. For each suffix that fixes a least number of lines, at most
 ``min_words``, so doubling stops at the power of two below that; two overlapping ranks name any length in between.
 Suffixes with one name form the interval of the suffix array whose common prefix reaches that length. Its first
-member by (doc_id, text hash, line) stays; the lines of all others are later copies. These shortest windows from
-each line leave the end of a repeated run where the lines after the last whole window have fewer words. With
-``whole_runs`` the shortest windows that end at each line are compared too. Each line of a repeated run of
-``min_words`` words is in a window of one of the two kinds that lies in the run, so that overlapping copies then are
-the maximal repeated runs.
+member by (doc_id, text hash, line) stays; the lines of all others are later copies. Shortest windows from each line
+would leave the end of a repeated run where the lines after the last whole window have fewer words, so the shortest
+windows that end at each line are compared too. Each line of a repeated run of ``min_words`` words is in a window of one
+of the two kinds that lies in the run (take lines off either end while the words suffice), so that overlapping copies
+are the maximal repeated runs.
 
 Defined results: null or empty text has no lines; a null doc_id comes last in the order; rows equal in doc_id and
 text count as one document; lines without a word are never removed and do not break a run. Extra columns are
@@ -88,21 +88,19 @@ def _window(n_lines: Column, min_words: int, to_end: bool) -> Column:
     return F.struct((1 - n_lines if to_end else F.lit(0)).alias("shift"), n_lines.alias("length"), first.alias("a"), second.alias("b"))
 
 
-def copies(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines that are later copies: (doc_id, text_hash, place, line_no, run_start)."""
     rows = suffix_ranks(docs, min_words)
     w = _in_doc()
     words = lambda low, high: F.sum("n_words").over(w.rowsBetween(low, high))
     there = lambda by: F.lead("place", by).over(w) == F.col("place") + by if by else F.lit(True)
     sizes = range(1, min_words + 1)
-    named = rows.withColumn("_from", F.coalesce(*[F.when((words(0, n - 1) >= min_words) & there(n - 1), n) for n in sizes]))
-    windows = F.array(_window(F.col("_from"), min_words, False))
-    if whole_runs:
-        to_end = F.coalesce(*[F.when((words(1 - n, 0) >= min_words) & there(1 - n), n) for n in sizes])
-        # One that falls short without its last line is the shortest from its first line too.
-        new = F.coalesce(*[F.when(to_end == n, words(1 - n, -1) >= min_words) for n in sizes if n > 1], F.lit(False))
-        named = named.withColumn("_to", F.when(new, to_end))
-        windows = F.array(_window(F.col("_from"), min_words, False), _window(F.col("_to"), min_words, True))
+    from_here = F.coalesce(*[F.when((words(0, n - 1) >= min_words) & there(n - 1), n) for n in sizes])
+    to_end = F.coalesce(*[F.when((words(1 - n, 0) >= min_words) & there(1 - n), n) for n in sizes])
+    # One that falls short without its last line is the shortest from its first line too.
+    new = F.coalesce(*[F.when(to_end == n, words(1 - n, -1) >= min_words) for n in sizes if n > 1], F.lit(False))
+    named = rows.withColumns({"_from": from_here, "_to": F.when(new, to_end)})
+    windows = F.array(_window(F.col("_from"), min_words, False), _window(F.col("_to"), min_words, True))
     named = named.withColumn("_windows", windows).select(*DOC, "place", "line_no", F.posexplode("_windows").alias("_kind", "_w"))
     named = named.where("_kind = 0 OR _w.length IS NOT NULL").select(
         *DOC, "place", "line_no", "_kind", (F.col("place") + F.col("_w.shift")).alias("_start"),
@@ -124,9 +122,9 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False
     return covered.select(*DOC, "place", "line_no", fresh.alias("run_start"))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with lines to remove: doc_id, text_hash, n_removed, n_runs (runs of removed lines) and the line numbers."""
-    return copies(docs, min_words, whole_runs).groupBy(*DOC).agg(
+    return copies(docs, min_words).groupBy(*DOC).agg(
         F.count("*").alias("n_removed"), F.sum(F.col("run_start").cast("long")).alias("n_runs"),
         F.sort_array(F.collect_list("line_no")).alias("lines"))
 

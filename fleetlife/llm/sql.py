@@ -41,6 +41,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM base"""
 SQL["op2_quality_rules"] = QUALITY
 
+# Every run of ten words or more that an earlier place has; a longer run is made of such runs of at most ten lines.
 SQL["op5_line_dedup"] = f"""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM t),
@@ -48,8 +49,8 @@ n AS (SELECT doc_id, line_no, line, len(regexp_extract_all(line, {_WORD})) AS w
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM n WHERE w > 0),
 d AS (SELECT doc_id, list(line ORDER BY place) AS ls, list(w ORDER BY place) AS ws FROM s GROUP BY doc_id),
 i AS (SELECT doc_id, ls, ws, unnest(range(len(ls))) AS place FROM d),
-r AS (SELECT *, list_min(list_filter(range(1, 11), lambda k: place + k <= len(ls) AND list_sum(ws[place + 1:place + k]) >= 10)) AS k FROM i),
-spans AS (SELECT doc_id, place, k, array_to_string(ls[place + 1:place + k], chr(10)) AS body FROM r WHERE k IS NOT NULL),
+r AS (SELECT *, unnest(range(1, 1 + least(10, len(ls) - place))) AS k FROM i),
+spans AS (SELECT doc_id, place, k, array_to_string(ls[place + 1:place + k], chr(10)) AS body FROM r WHERE list_sum(ws[place + 1:place + k]) >= 10),
 later AS (SELECT doc_id, place, k FROM spans QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, place) > 1),
 covered AS (SELECT DISTINCT doc_id, place + unnest(range(k)) AS place FROM later),
 gone AS (SELECT c.doc_id, c.place, s.line_no, coalesce(lag(c.place) OVER (PARTITION BY c.doc_id ORDER BY c.place) + 1 <> c.place, true) AS fresh

@@ -57,36 +57,13 @@ def test_quality_of_odd_rows(odd, none):
     assert quality.clean(odd).columns == odd.columns
 
 
-def _later_lines(texts, need=10):
-    """Brute force: minimal windows of ``need`` words that are not the first of their kind."""
-    first, gone = {}, set()
-    for i in sorted(texts):
-        kept = [(k, x) for k, x in enumerate((texts[i] or "").split("\n")) if x.split()]
-        for s in range(len(kept)):
-            total, e = 0, s
-            while e < len(kept) and total < need:
-                total, e = total + len(kept[e][1].split()), e + 1
-            if total >= need:
-                key = tuple(x for _, x in kept[s:e])
-                if key in first:
-                    gone |= {(i, k) for k, _ in kept[s:e]}
-                first.setdefault(key, i)
-    return gone
-
-
-def test_line_runs_as_by_brute_force(docs):
-    rng = random.Random(1)
-    pool = [" ".join(rng.choices(WORDS[:9], k=rng.randint(1, 5))) for _ in range(7)]
-    texts = {i: "\n".join(rng.choice(pool + ["", "  "]) for _ in range(rng.randint(0, 14))) for i in range(60)}
-    texts[60] = "again and again\n" * 90
-    frame = docs(texts)
-    got = {(r.doc_id, k) for r in lines.repeats(frame).collect() for k in r.lines}
-    assert got == _later_lines(texts)
-    left = {r.doc_id: r.text for r in lines.remove(frame, lines.repeats(frame)).collect()}
+def _left(texts, gone):
+    out = {}
     for i, text in texts.items():
-        kept = [x for k, x in enumerate(text.split("\n")) if (i, k) not in got]
-        touched = any(d == i for d, _ in got)
-        assert left.get(i, "") == ("\n".join(kept) if "".join(kept).split() or not touched else "")
+        kept = "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
+        if kept.split() or not any(d == i for d, _ in gone):
+            out[i] = kept
+    return out
 
 
 def _repeated_runs(texts, need=10):
@@ -102,15 +79,17 @@ def _repeated_runs(texts, need=10):
     return gone
 
 
-def test_whole_line_runs_as_by_brute_force(docs):
+def test_line_runs_as_by_brute_force(docs):
     rng = random.Random(2)
     pool = [" ".join(rng.choices(WORDS[:9], k=k)) for k in (1, 2, 4, 5, 7, 11, 30)]
-    texts = {i: "\n".join(rng.choice(pool + [f"only here {i}", "  "]) for _ in range(rng.randint(0, 14))) for i in range(60)}
+    texts = {i: "\n".join(rng.choice(pool + [f"only here {i}", "  ", ""]) for _ in range(rng.randint(0, 14))) for i in range(60)}
     run = "\n".join((sentence(68), sentence(4)))
     texts |= {60: "again and again\n" * 30, 61: run, 62: f"{sentence(3)}\n{run}\n{sentence(3)}"}
-    got = {(r.doc_id, k) for r in lines.repeats(docs(texts), whole_runs=True).collect() for k in r.lines}
-    assert got == _repeated_runs(texts)
-    assert {(62, 1), (62, 2)} <= got and got > _later_lines(texts)
+    frame = docs(texts)
+    found = lines.repeats(frame)
+    got = {(r.doc_id, k) for r in found.collect() for k in r.lines}
+    assert got == _repeated_runs(texts) and {(62, 1), (62, 2)} <= got
+    assert {r.doc_id: r.text for r in lines.remove(frame, found).collect()} == _left(texts, got)
 
 
 def test_suffix_ranks_follow_the_order_of_suffixes(docs):
