@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -130,12 +131,29 @@ def test_mined_rules_as_by_brute_force(spark):
     pages = spark.createDataFrame(rows, "url string, bad boolean")
     mined = urls.mine(pages)
     rules = mined.collect()
-    assert any(set(r.tokens) == {"key=a", "label=spam"} or set(r.tokens) == {"host=spam.example.com", "key=a"} for r in rules)
     bags = {r.url: set(r.t) for r in pages.select("url", urls.tokens_of(F.col("url")).alias("t")).collect()}
     known = [(u, b) for u, b in rows if b is not None]
+    base = sum(b for _, b in known) / len(known)
+
+    def facts(tokens):
+        of = [b for u, b in known if tokens <= bags[u]]
+        p, n, z = sum(of) / len(of), len(of), urls.SIGMAS
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return p, sum(of) >= urls.MIN_ROWS and p >= urls.MIN_CONFIDENCE and low > base
+
     for r in rules:
-        of = [b for u, b in known if set(r.tokens) <= bags[u]]
-        assert sum(of) >= 20 and abs(sum(of) / len(of) - r.confidence) < 1e-9 and r.confidence >= 0.6
+        p, good = facts(set(r.tokens))
+        assert good and abs(p - r.confidence) < 1e-9
+    # All that qualifies is said by a rule that holds wherever it does and is as confident.
+    seen = [frozenset(u for u, _ in known if set(r.tokens) <= bags[u]) for r in rules]
+    sets = {frozenset(x) for u, b in known if b for k in range(1, 6) for x in itertools.combinations(sorted(bags[u] - {"scheme=http"}), k)}
+    checked = 0
+    for x in sets:
+        of = {u for u, _ in known if x <= bags[u]}
+        if len(of) >= urls.MIN_ROWS and facts(x)[1]:
+            checked += 1
+            assert any(of <= where and r.confidence >= facts(x)[0] for r, where in zip(rules, seen))
+    assert checked > 20
     want = {}
     for u, bag in bags.items():
         fit = [(-r.confidence, -r.support, r.rule) for r in rules if set(r.tokens) <= bag]
@@ -143,6 +161,23 @@ def test_mined_rules_as_by_brute_force(spark):
             want[u] = min(fit)[2]
     assert {r.url: r.matched_rule for r in urls.match(pages, mined).collect()} == want
     assert urls.mine(pages.where("bad IS NULL")).count() == 0
+    assert urls.mine(pages.where("bad")).count() == 0  # nothing is above a share of one
+
+
+def test_rules_of_five_tokens_are_found(spark):
+    every = list(itertools.product("ab", repeat=5)) * 40
+    pages = spark.createDataFrame([("http://h.org/" + "/".join(p) + f"/{i}", p == ("a",) * 5) for i, p in enumerate(every)],
+                                  "url string, bad boolean")
+    assert [r.rule for r in urls.mine(pages).collect()] == [" & ".join(f"path{i}=a" for i in range(5))]
+
+
+def test_no_pages_and_very_long_urls(spark):
+    given = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    long = "http://x.example.com/de/" + "a/" * 20_000 + "?" + "k&" * 20_000
+    pages = spark.createDataFrame([(1, long), (2, long)], "page_id long, url string")
+    rules = urls.mine(pages.withColumn("bad", F.lit(True)))
+    assert {(r.page_id, r.verdict) for r in urls.judge(pages, given, rules).collect()} == {(1, "block"), (2, "block")}
+    assert urls.judge(pages.where("false"), given, rules).count() == 0
 
 
 def _turns(spark, convs):
