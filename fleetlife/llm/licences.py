@@ -1,15 +1,22 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class.
 
-Training rows are made from the licence templates and a bounded sample of the corpus's own paragraphs
-(``SAMPLE_ROWS``, the smallest by hash): half of them, without licence words, are examples of ``none``; the
-others carry a template, with words dropped, inside or beside the paragraph. Sparse binary word n-grams feed
-a multinomial logistic regression with an elastic net. One fifth of the rows, held out, gives the temperature
-of the probabilities and the probability below which a prediction is ``unknown``. A prediction is confirmed by
-comparing the paragraph with the templates of the family; one without enough of any template is ``unknown``.
-
-Every paragraph (line) of every text is scored. Defined results: null or empty text has no paragraphs; a
-paragraph without known n-grams is ``none``; repeated rows are scanned each for itself; no documents give no
-rows. Other columns are not carried.
+A paragraph is a block of lines between blank lines, so that a notice may be wrapped. It is read in windows of
+``WINDOW`` words that start every ``STEP`` words: each run of words as long as the longest template lies whole in one
+of them.
+
+Training rows are made from the licence templates and a bounded sample of the corpus's own distinct windows
+(``SAMPLE_ROWS``, those with the smallest hashes, none above ``LONGEST`` characters): two fifths of them, without licence
+words, are examples of ``none``; a fifth has licence words but little of any template, and is ``none`` too; the others
+carry a template, with words dropped, between the words of the window. Sparse binary word n-grams feed a
+multinomial logistic regression with an elastic net. One fifth of the rows, held out, gives the temperature of
+the probabilities and, for a licence and for ``none``, the probability below which a prediction is not sure. A sure
+prediction is confirmed by comparing the window with the templates of the family; one that is not sure, or without enough
+of any template, is ``unknown``. A ``none`` that is not sure is ``unknown`` where half as much of a template is there.
+
+Every window of every text is scored; a paragraph has a row for each family confirmed in it, by its most probable
+window, or else one for ``unknown``. Defined results: null or empty text has no paragraphs; a paragraph without known
+n-grams is ``none``; repeated rows are scanned each for itself; no documents give no rows. Other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import plain, stored
 
-SAMPLE_ROWS, MAX_FEATURES, CONFIRM_SHARE, KEEP_RATE = 6000, 20_000, 0.6, 0.995
+SAMPLE_ROWS, LONGEST, MAX_FEATURES, CONFIRM_SHARE, KEEP_RATE = 6000, 20_000, 20_000, 0.6, 0.995
 NONE, UNKNOWN = "none", "unknown"
 
 # Wordings of licence notices by family.
@@ -58,8 +66,16 @@ TEMPLATES = [
 ]
 PLAIN = ("The weather was fine and the train left on time.", "She read the second chapter aloud to the children.",
          "Add the flour and stir until the dough is smooth.", "The committee will meet again at the end of the month.")
+MENTIONS = ("He lost his driving license on the way home.", "The pub was granted a licence to sell beer until midnight.",
+            "An apache scout rode ahead of the herd.", "She studied physics at MIT before she moved to Geneva.",
+            "The gnu and the zebra graze together in the dry season.", "The singer owns the copyright of her early songs.",
+            "Permission is needed to climb the tower.", "The fishing licences of the village are sold at the post office.")
 CUE = "licen[cs]|copyright|rights reserved|public domain|redistribut|permission is|creative commons|gnu|mit|apache|bsd"
 _WORD = re.compile(r"\w+")
+_CUE = re.compile(rf"\b(?:{CUE})", re.IGNORECASE)
+_BLANK = re.compile(r"\n[ \t\r\x0b\x0c]*(?=\n)")
+_LONGEST_TEMPLATE = max(len(_WORD.findall(wording)) for _, wording in TEMPLATES)
+WINDOW, STEP = 3 * _LONGEST_TEMPLATE, 2 * _LONGEST_TEMPLATE
 
 
 def grams(text: str) -> list[str]:
@@ -68,11 +84,58 @@ def grams(text: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-def _examples(kept: pd.Series, rank: pd.Series) -> list[tuple[str, str]]:
-    """Training rows from carrier paragraphs. What is dropped and added follows from the carrier's rank."""
-    out = []
-    for text, i in zip(kept, rank):
-        words = text.split()
+def windows(text: str | None):
+    """(paragraph, window) of a text, paragraphs with words counted from 0."""
+    number = 0
+    for block in _BLANK.split(text or ""):
+        words = block.split()
+        for at in range(0, max(1, len(words) - WINDOW + STEP), STEP) if words else ():
+            yield number, " ".join(words[at:at + WINDOW])
+        number += bool(words)
+
+
+_TEMPLATE_GRAMS: dict[str, list[frozenset]] = {}
+for _family, _wording in TEMPLATES:
+    _TEMPLATE_GRAMS.setdefault(_family, []).append(frozenset(grams(_wording)))
+
+
+def template_share(found: set[str], family: str | None = None) -> float:
+    """The largest share of a template's n-grams that is there, of one family or of all."""
+    return max(len(t & found) / len(t) for f, ts in _TEMPLATE_GRAMS.items() if family in (None, f) for t in ts)
+
+
+def _sample(docs: DataFrame, rows: int) -> list[tuple[str, bool]]:
+    """At most ``rows`` distinct windows (text, has a licence word), a quarter of them with one: the smallest by hash.
+    The first pass counts, the second brings those below a hash that some four times as many are expected to pass."""
+    def read(batches, limits=None):
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                for _, window in windows(text):
+                    h, cue = xxhash.xxh3_64_intdigest(window) >> 1, bool(_CUE.search(window))
+                    if len(window) <= LONGEST and (limits is None or h <= limits[cue]):
+                        out.append((h, cue, window if limits else None))
+            yield plain(pd.DataFrame(out, columns=["h", "cue", "window"]), "window")
+
+    shape = "h long, cue boolean, window string"
+    counts = docs.select("text").mapInPandas(read, shape).groupBy("cue").agg(F.approx_count_distinct("h").alias("n"))
+    there = {r["cue"]: r["n"] for r in counts.collect()}
+    want = {False: rows - rows // 4, True: rows // 4}
+    limits = {cue: int(min(1.0, 4 * n / max(1, there.get(cue, 0))) * (2 ** 63 - 1)) for cue, n in want.items()}
+    near = stored(docs.select("text").mapInPandas(lambda b: read(b, limits), shape).distinct())
+    picked = [near.where(F.col("cue") == cue).orderBy("h", "window").limit(n).collect() for cue, n in want.items()]
+    return [(r["window"], r["cue"]) for part in picked for r in part]
+
+
+def _examples(sample: list[tuple[str, bool]]) -> list[tuple[str, str]]:
+    """Training rows from windows. What is dropped and added follows from the window's place in the sample."""
+    out, i = [], 0
+    for text, cue in sample:
+        if cue:
+            if template_share(set(grams(text))) < CONFIRM_SHARE / 2:
+                out.append((text, NONE))
+            continue
+        words, i = text.split(), i + 1
         if i % 2:
             out.append((text, NONE))
             continue
@@ -81,20 +144,17 @@ def _examples(kept: pd.Series, rank: pd.Series) -> list[tuple[str, str]]:
         notice = wording.split()
         if len(notice) > 6:
             notice = [w for w in notice if rng.random() > 0.08]
-        before, after = rng.integers(0, 12, 2) * (rng.random(2) < 0.4)
-        out.append((" ".join([*words[:before], *notice, *words[len(words) - after:]]), family))
+        room = rng.integers(0, WINDOW - len(notice)) * (rng.random() < 0.7)
+        before = rng.integers(0, room + 1)
+        out.append((" ".join([*words[:before], *notice, *words[before:room]]), family))
     return out
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(grams, label, held_out) from a bounded sample of the paragraphs, the same for the same corpus."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    usual = lines.where(~F.lower("line").rlike(f"\\b({CUE})"))
-    picked = usual.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 2000).alias("line")).orderBy("h", "line").limit(rows)
-    found = picked.toPandas()  # at most ``rows`` rows of at most 2000 characters
-    text = pd.Series([*found["line"], *PLAIN * 2 * len(TEMPLATES)])
-    made = _examples(text, pd.Series(range(len(text))))
-    table = [(grams(t), label, i % 10 in (3, 8)) for i, (t, label) in enumerate(made)]
+    """(grams, label, held_out) from a bounded sample of the windows, the same for the same corpus."""
+    always = [(x, False) for x in PLAIN * 2 * len(TEMPLATES)] + [(x, True) for x in MENTIONS * 4]
+    made = _examples(_sample(docs, rows) + always)
+    table = [(grams(t), label, xxhash.xxh3_64_intdigest(f"{i} {t}") % 5 == 0) for i, (t, label) in enumerate(made)]
     return docs.sparkSession.createDataFrame(table, "grams array<string>, label string, held_out boolean")
 
 
@@ -112,14 +172,11 @@ class Classifier:
     """Weights of the fitted model in a form that a task can use: a bounded vocabulary."""
 
     def __init__(self, vocabulary: list[str], labels: list[str], weights: np.ndarray, bias: np.ndarray,
-                 temperature: float = 1.0, least: float = 0.0):
+                 temperature: float = 1.0, least: float = 0.0, least_none: float = 0.0):
         self.place = {g: i for i, g in enumerate(vocabulary)}
         self.labels, self.weights, self.bias = labels, np.ascontiguousarray(weights.T), bias
-        self.temperature, self.least = temperature, least
+        self.temperature, self.least, self.least_none = temperature, least, least_none
         self.none = labels.index(NONE)
-        self.templates = {}
-        for family, wording in TEMPLATES:
-            self.templates.setdefault(family, []).append(frozenset(grams(wording)))
 
     def scores(self, found: list[str]) -> np.ndarray:
         at = {self.place[g] for g in found if g in self.place}
@@ -129,15 +186,29 @@ class Classifier:
         """(family or unknown, predicted family, probability, template share), None for ``none``."""
         found = grams(text)
         z = self.scores(found) / self.temperature
-        best = int(z.argmax())
-        if best == self.none:
-            return None
         p = np.exp(z - z.max())
-        probability = float(p[best] / p.sum())
-        family, own = self.labels[best], set(found)
-        share = max(len(t & own) / len(t) for t in self.templates[family])
-        sure = probability >= self.least and share >= CONFIRM_SHARE
-        return (family if sure else UNKNOWN), family, probability, share
+        p /= p.sum()
+        none = bool(p.argmax() == self.none)
+        if none and p[self.none] >= self.least_none:
+            return None
+        p[self.none] = 0
+        best = int(p.argmax())
+        family = self.labels[best]
+        share = template_share(set(found), family)
+        if none and share < CONFIRM_SHARE / 2:
+            return None
+        sure = not none and p[best] >= self.least and share >= CONFIRM_SHARE
+        return (family if sure else UNKNOWN), family, float(p[best]), share
+
+    def families(self, text: str | None) -> list[tuple]:
+        """(paragraph, family or unknown, predicted family, probability, template share) of a whole text."""
+        best: dict[tuple[int, str], tuple] = {}
+        for number, window in windows(text):
+            said = self.judge(window)
+            if said and (old := best.get((number, said[0]))) is None or said and said[2:] > old[2:]:
+                best[number, said[0]] = said
+        sure = {number for number, family in best if family != UNKNOWN}
+        return [(number, *said) for (number, family), said in sorted(best.items()) if family != UNKNOWN or number not in sure]
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
@@ -156,23 +227,21 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
     truth = held["y"].to_numpy("int64")
     made.temperature = _temperature(scores, truth)
     z = np.exp(scores / made.temperature - (scores / made.temperature).max(axis=1, keepdims=True))
-    right = (scores.argmax(axis=1) == truth) & (truth != made.none)
-    top = (z.max(axis=1) / z.sum(axis=1))[right]
-    made.least = float(np.quantile(top, 1 - KEEP_RATE)) if len(top) else 0.5
+    right, top = scores.argmax(axis=1) == truth, z.max(axis=1) / z.sum(axis=1)
+    keep = lambda p: float(np.quantile(p, 1 - KEEP_RATE)) if len(p) else 0.5
+    made.least, made.least_none = keep(top[right & (truth != made.none)]), keep(top[right & (truth == made.none)])
     return made
 
 
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """One row per licence paragraph: doc_id, paragraph (from 0), family, predicted, probability, template_share."""
+    """A row per paragraph and licence: doc_id, paragraph (from 0), family, predicted, probability, template_share."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                for i, line in enumerate((text or "").split("\n")):
-                    if line and (said := classifier.judge(line)):
-                        rows.append((doc, i, *said))
+                rows += [(doc, *said) for said in classifier.families(text)]
             names = ["doc_id", "paragraph", "family", "predicted", "probability", "template_share"]
             yield plain(pd.DataFrame(rows, columns=names), "doc_id", "family", "predicted")
 

@@ -23,13 +23,50 @@ def test_licences_are_found_and_prose_is_not(spark):
     rows = docs.collect()
     made = licences.fit(docs, 1500)
     got = {(r.doc_id, r.paragraph): r.family for r in licences.scan(docs, made).collect()}
-    want = {(r.doc_id, i) for r in rows for i, x in enumerate((r.text or "").split("\n"))
-            if re.search("licen[sc]|rights reserved", x, re.I)}
+    want = {(r.doc_id, i) for r in rows for i, x in licences.windows(r.text) if re.search("licen[sc]|rights reserved", x, re.I)}
     assert want and set(got) == want
-    plain = spark.createDataFrame([(1, "Licensed under the MIT License.\nThe train left on time."), (2, None), (2, ""),
+    plain = spark.createDataFrame([(1, "Licensed under the MIT License.\n\nThe train left on time."), (2, None), (2, ""),
                                    (None, "All rights reserved.")], "doc_id long, text string")
     found = licences.scan(plain, made).collect()
     assert sorted((str(r.doc_id), r.paragraph, r.family) for r in found) == [("1", 0, "MIT"), ("None", 0, "proprietary")]
+    # The same rows as by looking at each window alone.
+    every = {}
+    for r in rows:
+        for i, x in licences.windows(r.text):
+            if said := made.judge(x):
+                every.setdefault((r.doc_id, i), set()).add(said[0])
+    assert {k: {v} for k, v in got.items()} == {k: (v - {"unknown"} or v) for k, v in every.items()}
+
+
+def test_wrapped_and_buried_notices(spark, odd):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{PATH}/documents.parquet").select("doc_id", "text")
+    made = licences.fit(docs, 1500)
+    prose = " ".join(r.text or "" for r in docs.limit(40).collect() if not licences._CUE.search(r.text or "")).split()
+    for family, wording in licences.TEMPLATES:
+        words = wording.split()
+        if len(words) >= 8:
+            wrapped = "".join(w + ("\n * " if k % 7 == 6 else " ") for k, w in enumerate(words))
+            assert [x[1] for x in made.families(wrapped)] == [family]
+        at = rng.randrange(len(prose) - 300)
+        assert family in [x[1] for x in made.families(" ".join([*prose[at:at + 150], *words, *prose[at + 150:at + 300]]))]
+    assert not [x for m in licences.MENTIONS for x in made.families(m) if x[1] != "unknown"]
+    more = odd.unionByName(spark.createDataFrame([(8, "Licensed under the MIT License.", "MIT", 1, "h")] * 2, odd.schema))
+    assert [(r.doc_id, r.family) for r in licences.scan(more, made).collect()] == [(8, "MIT")] * 2
+
+
+def test_windows_hold_every_word():
+    text = " ".join(map(str, range(1000))) + "\n \t\n" + "x\ny" + "\n\n\n" + " " + "\n\nz"
+    found = list(licences.windows(text))
+    assert [w for i, w in found if i] == ["x y", "z"] and {w for i, x in found for w in x.split() if not i} == set(map(str, range(1000)))
+    runs = [" ".join(map(str, range(k, k + licences._LONGEST_TEMPLATE))) for k in range(1000 - licences._LONGEST_TEMPLATE)]
+    assert all(any(f" {run} " in f" {x} " for i, x in found if not i) for run in runs)
+
+
+def test_sample_is_of_distinct_windows(spark, docs):
+    frame = docs(["the same line in every text\n\n" + f"only {i} here and the licence of {i}" for i in range(400)])
+    sample = licences._sample(frame, 100)
+    assert len({t for t, _ in sample}) == len(sample) and sum(c for _, c in sample) == 25
 
 
 def test_held_out_accuracy_and_unknown(spark):
