@@ -31,6 +31,7 @@ from .common import plain, stored
 
 MAX_TOKENS, END_ID = 2048, 0
 BUCKET_ROWS, CACHE_WORDS, STEP = 8_000, 600_000, 100
+WEIGHTS = (1.0, 0.3, 0.3)  # of tokens, documents and attention in the residual
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -154,7 +155,7 @@ def best_fit(need: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score:
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | None = None,
-         max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+         max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS,
          score: str = "norm", end_id: int = END_ID, vocabulary: str | None = None,
          bucket_rows: int = BUCKET_ROWS, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; with ids also their ids, which are written once and joined to their
