@@ -10,16 +10,18 @@ backslash more if there are some), so that no control string comes from a text,
 
 Defined results: null text or role is empty; turns are ordered by (turn, role, text) with nulls first;
 equal rows are separate turns; rows with a null conversation id form one conversation. A turn longer
-than the budget has a window of its own, whole, with ``over_budget`` set. A conversation is one
-training example family and is handled as one row; other columns are not carried.
+than the budget has a window of its own, whole, with ``over_budget`` set. Other columns are not carried.
+
+A conversation passes through its task turn by turn: held are its system turns, the turns of the window that is open and
+those that the next may repeat, however long the conversation is. Windows are rows. Turn tokens are counted word by
+word with a bounded cache: the tokenizer never joins across a single space between two words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import plain
 
-BUDGET, HISTORY = 1024, 128
+BUDGET, HISTORY, CACHE_WORDS, ROWS = 1024, 128, 200_000, 500
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
 _TO, _FROM = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
-WINDOW = ("struct<text:string,n_tokens:long,n_system:long,n_history:long,n_new:long,over_budget:boolean,"
-          "loss:array<struct<start:long,end:long>>>")
+_BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
+
+WINDOW = ("conv_id string, window long, text string, n_tokens long, n_system long, n_history long, n_new long, "
+          "over_budget boolean, loss array<struct<start:long,end:long>>")
 
 
 def escape(text: str) -> str:
@@ -52,43 +56,74 @@ def _read_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def spans(costs: list[int], n_system: int, budget: int, history: int) -> list[tuple[int, int, int]]:
-    """(first repeated turn, first new turn, end) of each window over the turns after the system turns."""
-    total = [0, *accumulate(costs)]
-    base, out, at, n = total[n_system], [], n_system, len(costs)
-    if n == n_system:
-        return [(0, 0, n)] if n else []
-    while at < n:
-        back = at
-        if out:
-            back = max(n_system, bisect_right(total, total[at] - history - 1))
-            while back < at and base + total[at + 1] - total[back] > budget:
-                back += 1  # less history before a turn is put over the budget
-        end = max(at + 1, bisect_right(total, total[back] + budget - base) - 1)
-        out.append((back, at, end))
-        at = end
-    return out
-
-
-def windows_of(roles: list[str], texts: list[str], costs: list[int], budget: int, history: int) -> list[dict]:
-    """The windows of one conversation, with loss spans in characters of the window's text."""
-    n_system = next((i for i, r in enumerate(roles) if r != "system"), len(roles))
-    out = []
-    for back, at, end in spans(costs, n_system, budget, history):
-        first = not out
+class Windows:
+    """The windows of one conversation, from its turns in order."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
+        self.system: list[tuple[str, str, int]] = []  # (role, text, tokens)
+        self.repeated: list[tuple[str, str, int]] = []
+        self.new: list[tuple[str, str, int]] = []
+        self.recent: deque[tuple[str, str, int]] = deque()  # the latest turns that fit the history
+        self.base = self.spent = self.kept = self.number = 0
+        self.leading = True
+
+    def push(self, role: str, text: str, cost: int):
+        """Take a turn; the window that it closes, if it does."""
+        turn, closed = (role, text, cost), None
+        self.leading = self.leading and role == "system"
+        if self.leading:
+            self.system.append(turn)
+            self.base += cost
+            return None
+        if self.new and self.base + self.spent + cost > self.budget:
+            closed = self._close()
+            self.repeated = list(self.recent)
+            self.spent = self.kept
+            while self.repeated and self.base + self.spent + cost > self.budget:
+                self.spent -= self.repeated.pop(0)[2]  # less history before a turn is put over the budget
+        self.new.append(turn)
+        self.spent += cost
+        self.recent.append(turn)
+        self.kept += cost
+        while self.kept > self.history:
+            self.kept -= self.recent.popleft()[2]
+        return closed
+
+    def last(self):
+        return self._close() if self.new or self.system and not self.number else None
+
+    def _close(self) -> dict:
         parts, loss, size = [], [], 0
-        turns = [*range(n_system), *range(max(back, n_system), end)]
-        for i in turns:
-            head, body = f"{START}{_role(roles[i])}\n", escape(texts[i])
-            if roles[i] == TARGET and i >= at and (i >= n_system or first):
+        masked = (len(self.system) if self.number else 0), len(self.system), len(self.system) + len(self.repeated)
+        for i, (role, text, _) in enumerate([*self.system, *self.repeated, *self.new]):
+            head, body = f"{START}{_role(role)}\n", escape(text)
+            if role == TARGET and (i >= masked[2] or masked[0] <= i < masked[1]):
                 loss.append({"start": size + len(head), "end": size + len(head) + len(body)})
             parts += [head, body, f"{END}\n"]
             size += len(head) + len(body) + len(END) + 1
-        cost = sum(costs[i] for i in turns)
-        out.append({"text": "".join(parts), "n_tokens": cost, "n_system": n_system,
-                    "n_history": at - max(back, n_system) if at > n_system else 0, "n_new": end - max(at, n_system),
-                    "over_budget": cost > budget, "loss": loss})
-    return out
+        cost = self.base + self.spent
+        made = {"window": self.number, "text": "".join(parts), "n_tokens": cost, "n_system": len(self.system),
+                "n_history": len(self.repeated), "n_new": len(self.new), "over_budget": cost > self.budget, "loss": loss}
+        self.number, self.new, self.repeated = self.number + 1, [], []
+        return made
+
+
+class Costs(dict):
+    """Word, with the space before it -> number of its tokens."""
+
+    def __init__(self, vocabulary: str | None = None, words: int = CACHE_WORDS):
+        super().__init__()
+        self.tokenizer, self.limit = _tokenizer(vocabulary), words
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return n
+
+    def of(self, text: str) -> int:
+        return sum(map(self.__getitem__, _BETWEEN_WORDS.split(text)))
 
 
 def _tokenizer(vocabulary: str | None):
@@ -102,30 +137,37 @@ def _tokenizer(vocabulary: str | None):
 
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
                          vocabulary: str | None = None) -> DataFrame:
-    """(conv_id, windows): one row per conversation. ``vocabulary`` is the path of a tokenizer file."""
+    """One row per window: conv_id, window (from 0) and what it holds. A conversation's windows are in one partition, one
+    after the other. ``vocabulary`` is the path of a tokenizer file."""
     kind = turns.schema["conv_id"].dataType.simpleString()
-    talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    talks = talks.withColumn("conv_id", F.col("conv_id").cast("string"))  # exact also beside nulls
+    order = ["conv_id", "turn", "role", "text"]
+    talks = turns.select(*order).repartition("conv_id").sortWithinPartitions(*order)
 
     def run(batches):
-        tokenizer = _tokenizer(vocabulary)
+        costs, now, windows, out = Costs(vocabulary), ..., None, []
         for batch in batches:
-            done = []
-            for turns_ in batch["turns"]:
-                roles = [t["role"] or "" for t in turns_]
-                texts = [t["text"] or "" for t in turns_]
-                shown = [f"{START}{_role(r)}\n{escape(x)}{END}\n" for r, x in zip(roles, texts)]
-                costs = [len(e.ids) for e in tokenizer.encode_batch(shown, add_special_tokens=False)]
-                done.append(windows_of(roles, texts, costs, budget, history))
-            yield plain(pd.DataFrame({"conv_id": batch["conv_id"], "windows": done}), "conv_id", "windows")
-
-    done = talks.mapInPandas(run, f"conv_id string, windows array<{WINDOW}>")
+            for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"]):
+                if conv != now:
+                    out.append((now, windows and windows.last()))
+                    now, windows = conv, Windows(budget, history)
+                role, text = role or "", text or ""
+                cost = costs.of(f"{START}{_role(role)}\n{escape(text)}{END}\n")
+                out.append((now, windows.push(role, text, cost)))
+                if len(out) >= ROWS:
+                    yield _framed(out)
+                    out = []
+        out.append((now, windows and windows.last()))
+        yield _framed(out)
+
+    # As text, exact also beside nulls.
+    done = talks.withColumn("conv_id", F.col("conv_id").cast("string")).select("conv_id", "role", "text").mapInPandas(run, WINDOW)
     return done.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
-def training_rows(formatted: DataFrame) -> DataFrame:
-    """One row per window: conv_id, window and the fields of the window."""
-    return formatted.select("conv_id", F.posexplode("windows").alias("window", "_w")).select("conv_id", "window", "_w.*")
+def _framed(found: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )", WINDOW)]
+    rows = [{"conv_id": conv, **made} for conv, made in found if made]
+    return plain(pd.DataFrame(rows, columns=names), "conv_id", "text", "loss")
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -141,34 +183,49 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted windows say, read back: turns and loss of each conversation."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+def digests(windows: DataFrame) -> DataFrame:
+    """What the windows say, read back: turns and loss of each conversation. The rows must be as ``format_conversations``
+    leaves them, or be brought together by conversation and sorted by window within partitions."""
+    kind = windows.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
 
     def run(batches):
+        now, read, out = ..., None, []
         for batch in batches:
-            rows = []
-            for windows in batch["windows"]:
-                turns, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
-                n_turns = loss_chars = 0
-                for i, w in enumerate(windows):
-                    text, repeated = w["text"], (w["n_system"] if i else 0) + w["n_history"]
-                    kept = read_turns(text)
-                    kept = kept[repeated:] if i else kept
-                    for role, said in kept:
-                        turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                    for s in w["loss"]:
-                        said = unescape(text[s["start"]:s["end"]])
-                        loss.update(said.encode("utf-8", "surrogatepass"))
-                        loss_chars += len(said)
-                    n_turns, chars = n_turns + len(kept), chars + len(text)
-                rows.append((n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, len(windows)))
-            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "conv_id", list(batch["conv_id"]))
-            yield plain(out, "conv_id", "turns_sha256", "loss_sha256")
-
-    read = formatted.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(
-        run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-             "formatted_chars long, n_windows long")
-    return read.withColumn("conv_id", F.col("conv_id").cast(kind))
+            for conv, number, text, n_system, n_history, loss in zip(*(batch[c] for c in (
+                    "conv_id", "window", "text", "n_system", "n_history", "loss"))):
+                if conv != now:
+                    if read:
+                        out.append((now, *read.row()))
+                    now, read = conv, _Digest()
+                if number != read.n_windows:
+                    raise ValueError(f"window {number} of a conversation comes after {read.n_windows} others")
+                read.add(text, n_system + n_history if number else 0, loss)
+            yield plain(pd.DataFrame(out, columns=names), "conv_id", "turns_sha256", "loss_sha256")
+            out = []
+        if read:
+            yield plain(pd.DataFrame([(now, *read.row())], columns=names), "conv_id", "turns_sha256", "loss_sha256")
+
+    read = windows.select(F.col("conv_id").cast("string").alias("conv_id"), "window", "text", "n_system", "n_history", "loss")
+    done = read.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+                                 "formatted_chars long, n_windows long")
+    return done.withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
+class _Digest:
+    def __init__(self):
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = self.n_windows = 0
+
+    def add(self, text: str, repeated: int, loss) -> None:
+        kept = read_turns(text)[repeated:]
+        for role, said in kept:
+            self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        for s in loss:
+            said = unescape(text[s["start"]:s["end"]])
+            self.loss.update(said.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(said)
+        self.n_turns, self.chars, self.n_windows = self.n_turns + len(kept), self.chars + len(text), self.n_windows + 1
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n_windows

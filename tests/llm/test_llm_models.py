@@ -111,6 +111,17 @@ def test_bins_hold_every_constraint(score):
         at = np.flatnonzero(bins == b)
         at = at[np.argsort(offsets[at])]
         assert (offsets[at] == np.concatenate([[0], np.cumsum(size[at])[:-1]])).all()
+    left, weights = [], np.array([1, 0.3, 0.3])  # every choice again, by looking at all bins
+    for item, b in zip(need, bins):
+        fits = [k for k, r in enumerate(left) if (r >= item).all()]
+        if b == len(left):
+            assert not fits
+            left.append(capacity.copy())
+        else:
+            value = {k: (weights * ((left[k] - item) / capacity) ** 2).sum() if score == "norm"
+                     else -(weights * item * left[k] / capacity ** 2).sum() for k in fits}
+            assert value[b] <= min(value.values()) + 1e-12
+        left[b] = left[b] - item
     tokens_only, _ = packing.best_fit(need[:, :1], capacity[:1], np.ones(1))
     assert tokens_only.max() + 1 <= math.ceil(size.sum() / 500) * 1.01 + 1
 
@@ -231,10 +242,19 @@ def test_chat_round_trip_and_windows(spark):
     convs[101] = [("system", "only")]
     turns = _turns(spark, convs)
     formatted = chat.format_conversations(turns, budget=300, history=80)
-    for r in formatted.collect():
-        roles, texts = [x[0] or "" for x in convs[r.conv_id]], [x[1] or "" for x in convs[r.conv_id]]
+    plain_tokens = lambda x: [t for part in re.findall(r"(?s)<\|im_start\|>.*?<\|im_end\|>\n", x)
+                              for t in counter.encode(part, add_special_tokens=False).ids]
+    counter = chat._tokenizer(None)
+    by = collections.defaultdict(list)
+    for r in formatted.orderBy("conv_id", "window").collect():
+        by[r.conv_id].append(r)
+    assert set(by) == set(convs)
+    for conv, made in by.items():
+        roles, texts = [x[0] or "" for x in convs[conv]], [x[1] or "" for x in convs[conv]]
         n_system, at, loss = int(roles[0] == "system"), 0, []
-        for k, w in enumerate(r.windows):
+        for k, w in enumerate(made):
+            assert w.window == k and w.n_new == len(chat.read_turns(w.text)) - w.n_system - w.n_history
+            assert w.n_tokens == len(plain_tokens(w.text))
             got = chat.read_turns(w.text)
             repeated = (n_system if k else 0) + w.n_history
             assert w.n_tokens <= 300 or w.over_budget
@@ -258,6 +278,48 @@ def test_chat_edge_rows(spark):
     assert chat.digests(chat.format_conversations(turns.where("false"))).count() == 0
 
 
+def test_windows_as_by_whole_lists():
+    """Each window takes what fits: checked against the costs of the whole conversation."""
+    rng = random.Random(9)
+    for _ in range(300):
+        costs = [rng.choice([1, 5, 20, 60, 130]) for _ in range(rng.randint(1, 40))]
+        n_system, made = rng.randint(0, 2), chat.Windows(100, 30)
+        roles = ["system"] * n_system + ["user"] * (len(costs) - n_system)
+        found = [w for r, c in zip(roles, costs) if (w := made.push(r, "", c))]
+        found += [w] if (w := made.last()) else []
+        base, at, costs = sum(costs[:n_system]), 0, costs[n_system:]
+        for k, w in enumerate(found):
+            back = at
+            while k and back and sum(costs[back - 1:at]) <= 30:
+                back -= 1
+            while back < at and base + sum(costs[back:at + 1]) > 100:
+                back += 1
+            end = min(at + 1, len(costs))
+            while end < len(costs) and base + sum(costs[back:end + 1]) <= 100:
+                end += 1
+            assert (w["n_history"], w["n_new"], w["n_tokens"]) == (at - back, end - at, base + sum(costs[back:end]))
+            at = end
+        assert at == len(costs) and len(found) >= 1
+
+
+def test_very_long_conversation(spark):
+    turns = spark.range(30_000).selectExpr("NULL AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role",
+                                           "concat('turn ', id, ' of many') AS text").withColumn("conv_id", F.col("conv_id").cast("long"))
+    row, = chat.digests(chat.format_conversations(turns)).collect()
+    said = [f"turn {i} of many" for i in range(30_000)]
+    want = "".join(f"{('user', 'assistant')[i % 2]}\n{x}\n" for i, x in enumerate(said))
+    assert row.n_turns == 30_000 and row.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert row.loss_sha256 == hashlib.sha256("".join(said[1::2]).encode()).hexdigest()
+
+
+def test_cached_costs_are_the_tokenizers():
+    costs, rng = chat.Costs(words=40), random.Random(5)
+    letters = "abÉß中 '  \t\n\x1c\xa0.,12<|>\\´s"
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+        assert costs.of(text) == len(costs.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_escape_is_reversible():
     rng = random.Random(8)
     for _ in range(3000):
