@@ -81,7 +81,7 @@ WINDOW, STEP = 3 * _LONGEST_TEMPLATE, 2 * _LONGEST_TEMPLATE
 def grams(text: str) -> list[str]:
     """Words and word pairs of a paragraph, lower-cased; a hyphen or point ends a word."""
     words = _WORD.findall(text.lower())
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return [*words, *map(" ".join, zip(words, words[1:]))]
 
 
 def windows(text: str | None):
@@ -106,20 +106,24 @@ def template_share(found: set[str], family: str | None = None) -> float:
 
 def _sample(docs: DataFrame, rows: int) -> list[tuple[str, bool]]:
     """At most ``rows`` distinct windows (text, has a licence word), a quarter of them with one: the smallest by hash.
-    The first pass counts, the second brings those below a hash that some four times as many are expected to pass."""
-    def read(batches, limits=None):
+    The first pass counts those in the lowest sixteenth of the hashes, the second brings those below a hash that some four
+    times as many are expected to pass."""
+    lowest = {False: 2 ** 59 - 1, True: 2 ** 59 - 1}
+
+    def read(batches, limits):
+        widest = max(limits.values())
         for batch in batches:
             out = []
             for text in batch["text"]:
                 for _, window in windows(text):
-                    h, cue = xxhash.xxh3_64_intdigest(window) >> 1, bool(_CUE.search(window))
-                    if len(window) <= LONGEST and (limits is None or h <= limits[cue]):
-                        out.append((h, cue, window if limits else None))
+                    h = xxhash.xxh3_64_intdigest(window) >> 1
+                    if h <= widest and len(window) <= LONGEST and h <= limits[cue := bool(_CUE.search(window))]:
+                        out.append((h, cue, window))
             yield plain(pd.DataFrame(out, columns=["h", "cue", "window"]), "window")
 
     shape = "h long, cue boolean, window string"
-    counts = docs.select("text").mapInPandas(read, shape).groupBy("cue").agg(F.approx_count_distinct("h").alias("n"))
-    there = {r["cue"]: r["n"] for r in counts.collect()}
+    counts = docs.select("text").mapInPandas(lambda b: read(b, lowest), shape).groupBy("cue").agg(F.approx_count_distinct("h").alias("n"))
+    there = {r["cue"]: 16 * r["n"] for r in counts.collect()}
     want = {False: rows - rows // 4, True: rows // 4}
     limits = {cue: int(min(1.0, 4 * n / max(1, there.get(cue, 0))) * (2 ** 63 - 1)) for cue, n in want.items()}
     near = stored(docs.select("text").mapInPandas(lambda b: read(b, limits), shape).distinct())
@@ -174,13 +178,14 @@ class Classifier:
     def __init__(self, vocabulary: list[str], labels: list[str], weights: np.ndarray, bias: np.ndarray,
                  temperature: float = 1.0, least: float = 0.0, least_none: float = 0.0):
         self.place = {g: i for i, g in enumerate(vocabulary)}
+        self.known = frozenset(vocabulary)
         self.labels, self.weights, self.bias = labels, np.ascontiguousarray(weights.T), bias
         self.temperature, self.least, self.least_none = temperature, least, least_none
         self.none = labels.index(NONE)
 
     def scores(self, found: list[str]) -> np.ndarray:
-        at = {self.place[g] for g in found if g in self.place}
-        return self.bias + self.weights[list(at)].sum(axis=0) if at else self.bias
+        at = [self.place[g] for g in self.known.intersection(found)]
+        return self.bias + self.weights[at].sum(axis=0) if at else self.bias
 
     def judge(self, text: str) -> tuple[str, str, float, float] | None:
         """(family or unknown, predicted family, probability, template share), None for ``none``."""
