@@ -150,11 +150,16 @@ def finished_cells(metrics: DataFrame, preds: DataFrame, keys: list[str]) -> Dat
     orphan = orphan_cells(metrics, preds, keys).limit(1).collect()
     if orphan:
         raise ValueError(f"metrics without predictions, e.g. {orphan[0]}; regenerate both tables")
-    return metrics.select(*keys).intersect(preds.select(*keys))
+    return metrics.select(*keys).intersect(_present(preds, keys))
 
 
 def orphan_cells(metrics: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:
-    return metrics.select(*keys).subtract(preds.select(*keys))
+    return metrics.select(*keys).subtract(_present(preds, keys))
+
+
+def _present(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of a table, a row each, reduced before any shuffle: a cell has many predictions."""
+    return preds.select(*keys).distinct()
 
 
 def longest_units(preds: DataFrame, k: int) -> DataFrame:

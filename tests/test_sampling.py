@@ -63,6 +63,13 @@ def test_restart_guards(spark):
         sampling.finished_cells(grid, done, ["k"])
 
 
+def test_restart_guards_move_cells_not_predictions(spark):
+    grid = spark.createDataFrame([(1,), (3,)], "k long")
+    preds = spark.range(100_000).select((F.col("id") % 2).alias("k"))
+    plan = sampling.orphan_cells(grid, preds, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and tuples(sampling.orphan_cells(grid, preds, ["k"]), "k") == [(3,)]
+
+
 def test_longest(preds):
     many = preds([1] * 3, [1] * 3).withColumn("unit_number", F.lit(4)).unionByName(preds([1, 2], [1, 2]))
     assert tuples(sampling.longest_units(many, 2), "unit_number", "n_rows") == [(0, 1), (4, 3)]
