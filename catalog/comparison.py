@@ -164,18 +164,17 @@ def roster(spark, path):
 
 @query("dedupe_results", "A23 U3", f"""WITH {RESULTS_SQL} SELECT {PKEYS}, {rnd(*METRIC_NAMES)}, n FROM results""")
 def dedupe_results(spark, path):
-    # Rounded first: sums of two runs may differ in their last digits.
-    rows = rounded(results(spark, path)).withColumn("run", F.lit(1))
+    rows = results(spark, path).withColumn("run", F.lit(1))
     both = rows.unionByName(rows.where("loss = 'native'").withColumn("run", F.lit(2)))
-    return compare.dedupe(both, PCELL, ["run"], same=["n", *METRIC_NAMES]).drop("run")
+    return rounded(compare.dedupe(both, PCELL, ["run"], same=["n", *METRIC_NAMES]).drop("run"))
 
 
 @query("dedupe_predictions", "A23 U3", f"""WITH {PREDS_SQL} SELECT {PKEYS}, count(*) AS n, {rnd('sum(pred) AS total')}
 FROM preds GROUP BY {PKEYS}""")
 def dedupe_predictions(spark, path):
-    rows = predictions(spark, path).withColumns({"shown": F.round("pred", 6), "run": F.lit(1)})
+    rows = predictions(spark, path).withColumn("run", F.lit(1))
     both = rows.unionByName(rows.where("loss = 'native'").withColumn("run", F.lit(2)))
-    once = compare.dedupe(both, [*PCELL, UNIT, "time_cycles"], ["run"], same=["shown"])
+    once = compare.dedupe(both, [*PCELL, UNIT, "time_cycles"], ["run"], same=["pred"])
     return rounded(once.groupBy(*PCELL).agg(F.count("*").alias("n"), F.sum("pred").alias("total")))
 
 

@@ -29,13 +29,23 @@ def _cells_only(results: DataFrame, cell: list[str]) -> DataFrame:
     return results.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cell]))
 
 
-def dedupe(df: DataFrame, keys: list[str], order: list[str], same: list[str] | None = None) -> DataFrame:
+def _differs(df: DataFrame, name: str, whole, tolerance: float) -> Column:
+    """Whether a column has several values in a window: NULL is one, and so are numbers within the tolerance."""
+    low, high, n = F.min(name).over(whole), F.max(name).over(whole), F.count(name).over(whole)
+    apart = high != low
+    if df.schema[name].dataType.typeName() in ("double", "float"):
+        apart &= high - low > tolerance * F.greatest(F.lit(1.0), F.least(F.abs(low), F.abs(high), F.lit(1e300)))
+    return F.coalesce(apart, F.lit(False)) | ((n > 0) & (n < F.count("*").over(whole)))
+
+
+def dedupe(df: DataFrame, keys: list[str], order: list[str], same: list[str] | None = None, tolerance: float = 1e-9) -> DataFrame:
     """First row of each key in ``order``, the order of the runs. Copies that differ in ``same`` are an error:
-    which of them is right cannot be told from the rows."""
+    which of them is right cannot be told from the rows. Sums of two runs differ in their last digits, so floating columns
+    may differ by ``tolerance`` (relative above 1). Rounding first would not do: values next to an edge fall to both sides."""
     first = Window.partitionBy(*keys).orderBy(*order)
-    if same:
-        facts, whole = F.struct(*same), Window.partitionBy(*keys)
-        differ = F.min(facts).over(whole) != F.max(facts).over(whole)
+    if same:  # the same order, so that one sort serves both
+        whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        differ = reduce(Column.__or__, [_differs(df, c, whole, tolerance) for c in same])
         df = df.withColumn("_d", F.when(differ, F.raise_error(F.lit(f"copies of a row differ in {same}")))).where(
             "_d IS NULL").drop("_d")
     return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")

@@ -177,3 +177,14 @@ def test_copies_that_differ_are_refused(spark):
     assert [r.run for r in compare.dedupe(df, ["k"], ["run"], same=["v"]).orderBy("k").collect()] == [1, 1]
     with pytest.raises(Exception, match="differ"):
         compare.dedupe(df.union(spark.createDataFrame([("b", 2, 4.0)], df.schema)), ["k"], ["run"], same=["v"]).collect()
+
+
+def test_copies_may_differ_in_their_last_digits(spark):
+    schema = "k string, run int, v double"
+    near = [("a", 1, 2.0000005), ("a", 2, 2.0000005 - 4e-16), ("n", 1, float("nan")), ("n", 2, float("nan")), ("i", 1, float("inf")), ("i", 2, float("inf"))]
+    got = compare.dedupe(spark.createDataFrame(near, schema), ["k"], ["run"], same=["v"])
+    assert [tuple(r)[:2] for r in got.orderBy("k").collect()] == [("a", 1), ("i", 1), ("n", 1)]
+    for odd in (float("nan"), float("inf"), None, 2.00001):
+        rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, odd)], schema)
+        with pytest.raises(Exception, match="differ"):
+            compare.dedupe(rows, ["k"], ["run"], same=["v"]).collect()
