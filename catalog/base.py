@@ -143,12 +143,15 @@ LINES = (("predict_mean", "native", None), ("cycle_reg", "native", CYCLE),
 
 
 @plan
-def predictions(spark: SparkSession, path: str, lines=LINES, last_only: bool = False) -> DataFrame:
-    """Every cell's prediction of every test window (or of each unit's last one)."""
+def predictions(spark: SparkSession, path: str, lines=LINES, last_only: bool = False, spread: bool = False) -> DataFrame:
+    """Every cell's prediction of every test window (or of each unit's last one). ``spread``: dealt by unit and cycle to
+    tasks of a bounded size, for queries that sort all of them."""
     feats = features(spark, path).withColumn("true_rul", F.col("actual_rul"))
     train, test = feats.where("split = 'train'"), feats.where("split = 'test'")
     if last_only:
         test = test.where(F.col(CYCLE) == F.col("n_obs"))
+    if spread:
+        test = sweep.dealt(test, (len(COUNTS) + 1) * len(SEEDS) * len(lines))
     return sweep.line_predictions(train, test, cells(spark, path), lines, CAP)
 
 

@@ -172,7 +172,7 @@ def dedupe_results(spark, path):
 @query("dedupe_predictions", "A23 U3", f"""WITH {PREDS_SQL} SELECT {PKEYS}, count(*) AS n, {rnd('sum(pred) AS total')}
 FROM preds GROUP BY {PKEYS}""")
 def dedupe_predictions(spark, path):
-    rows = predictions(spark, path).withColumn("run", F.lit(1))
+    rows = predictions(spark, path, spread=True).withColumn("run", F.lit(1))
     both = rows.unionByName(rows.where("loss = 'native'").withColumn("run", F.lit(2)))
     once = compare.dedupe(both, [*PCELL, UNIT, "time_cycles"], ["run"], same=["pred"])
     return rounded(once.groupBy(*PCELL).agg(F.count("*").alias("n"), F.sum("pred").alias("total")))

@@ -100,7 +100,7 @@ def restarted_costs(spark, path):
 
 def _study(spark, path, name):
     """A table of the study over two runs, the second of which repeats some cells."""
-    rows, preds = results(spark, path), predictions(spark, path)
+    rows, preds = results(spark, path), predictions(spark, path, spread=True)
     twice = [t.unionByName(t.where("loss = 'native'")) for t in (rows, preds)]
     return scoring.study_tables(*twice, ERROR_EDGES, RATIOS)[name]
 

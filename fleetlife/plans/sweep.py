@@ -18,6 +18,14 @@ from ..models.learned import Model, fit_cells
 from ..operators.metrics import PRED_CELL, evaluate
 from ..operators.sampling import CELL, cell_rows, pending_cells
 
+ROWS_PER_TASK = 1_000_000
+
+
+def dealt(rows: DataFrame, copies: int, keys: tuple = (KEYS[1], CYCLE), per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows dealt by ``keys`` to so many tasks that each has about ``per_task`` rows once every row has become ``copies``. Rows
+    that are sorted by cell after that need no other shuffle, and their tasks grow in number, not in size."""
+    return rows.repartition(max(1, -(-rows.count() * copies // per_task)), *keys)
+
 
 def line_predictions(train: DataFrame, test: DataFrame, plan: DataFrame, lines, max_rul: float,
                      keep: tuple = (CYCLE,)) -> DataFrame:
