@@ -7,6 +7,7 @@ or member taken from the path. A loaded ``Fleet`` has whole train lives, and tes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from ..operators.conditions import normalize_conditions
 from ..operators.labels import label_test, label_train, truncate_units, union_stride
 from ..operators.numbering import number_rows
 from ..operators.perturb import inject_split
+from ..session import work_dir
 from ..sources import files
 from ..sources.store import materialize, source_key
 
@@ -80,10 +82,16 @@ def bearing(frame: DataFrame, test_units: Sequence[str], fraction: float, window
     return Fleet("bearing", frame.where(~named), test, truth)
 
 
-def flight(cycles: DataFrame, fraction: float, window: int, union: str | None = None, stride: int = 1000) -> Fleet:
+def flight(cycles: DataFrame, fraction: float, window: int, union: str | None = None, stride: int = 1000,
+           written: bool = False) -> Fleet:
     """Cycles of whole lives with ``split`` (dev or test); gaps in a unit's cycles are closed. With ``union`` the datasets become
     one of that name: unit ids are ``stride * position + unit``, by the sorted names of the members (as ``member``), where
-    ``stride`` is above every unit id. Test units are cut, all members in one plan."""
+    ``stride`` is above every unit id. Test units are cut, all members in one plan. The cycles are written once, unless
+    they are a ``written`` table already, and again with their numbers: sizes, places, lengths and both parts are read
+    from these tables, not made from the seconds or sorted each time."""
+    base, key = work_dir(cycles.sparkSession), uuid.uuid4().hex
+    if not written:
+        cycles = materialize(cycles, base, f"cycles_{key}")
     rows = number_rows(cycles.withColumnRenamed(CYCLE, "source_cycle"), KEYS, ["source_cycle"], CYCLE)
     if union:
         names = rows.select("dataset").distinct()
@@ -91,6 +99,7 @@ def flight(cycles: DataFrame, fraction: float, window: int, union: str | None =
         place = number_rows(names.withColumn("_all", F.lit(0)), ["_all"], ["dataset"], "_at").select("dataset", "_at")
         rows = (rows.join(F.broadcast(place), "dataset").withColumnRenamed("dataset", "member")
                 .withColumns({"dataset": F.lit(union), UNIT: F.col(UNIT) + (F.col("_at") - 1) * stride}).drop("_at"))
+    rows = materialize(rows, base, f"numbered_{key}")
     train, test = rows.where("split = 'dev'"), rows.where("split = 'test'")
     cut, truth = truncate_units(test, fraction, window)
     return Fleet("flight", train.drop("split"), cut.drop("split"), truth)
@@ -136,8 +145,8 @@ def read_flight(spark: SparkSession, root: str, datasets: Sequence[str], setting
     if store:
         key = "_".join(sorted(source_key(spark, p) for p in paths))
         cycles = materialize(cycles, store, f"cycles_{content_hash({'files': key, 'channels': list(channels)})}")
-    stride = union_stride({"all": seconds}) if union else 1000
-    return flight(cycles, settings.fraction, settings.window, union, stride)
+    stride = union_stride({"all": cycles if store else seconds}) if union else 1000
+    return flight(cycles, settings.fraction, settings.window, union, stride, bool(store))
 
 
 LOADERS: dict[str, Callable[..., Fleet]] = {"turbofan": read_turbofan, "bearing": read_bearing, "flight": read_flight}

@@ -114,3 +114,11 @@ def test_flight_union(spark, flight_root, tmp_path):
         families.load(spark, flight_root, "DSALL", families.Settings(members=("DS01", "DS99")))
     with pytest.raises(Exception, match="DS03"):
         families.load(spark, flight_root, "DSALL", families.Settings(members=("DS01", "DS03")))
+
+
+def test_flight_reads_the_seconds_once(spark, flight_root):
+    settings = families.Settings(max_rul=3, window=2)
+    for names in (["DS01", "DS02"], "DSALL"):
+        fleet = families.load(spark, flight_root, names, families.Settings(max_rul=3, window=2, members=("DS01", "DS02")), channels=["a", "b"])
+        for frame in (*families.prepared(fleet, settings, ["a_mean", "b_std"]), fleet.truth):
+            assert not any("_dev.parquet" in f or "_test.parquet" in f for f in frame.inputFiles())
