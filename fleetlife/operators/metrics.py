@@ -75,15 +75,23 @@ def horizon_bins(preds: DataFrame, cell: list[str], max_rul: float, edges: list[
 def earliness(preds: DataFrame, cell: list[str], edges) -> DataFrame:
     """Histogram of the signed error per cell, empty bins included, with the late and early
     shares. One aggregation; the bins are exploded from the aggregated row."""
+    return earliness_of(preds.groupBy(*cell).agg(*earliness_sums(edges)), cell, edges)
+
+
+def earliness_sums(edges) -> list[Column]:
+    """What a cell's histogram is made from."""
     inner = sorted(float(e) for e in edges)
-    all_edges = [float("-inf"), *inner, float("inf")]
     d = F.col("pred") - F.col("true_rul")
     at = bin_index(d, [*inner, float("inf")])
     below = F.count_if(d < inner[0])
     counts = F.array(below, *[F.count_if(at == i) for i in range(len(inner))])
-    rows = preds.groupBy(*cell).agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean_signed_error"),
-        F.count_if(d >= 0).alias("_late"), F.count_if(d < 0).alias("_early"), counts.alias("_counts"))
+    return [F.count("*").alias("n"), F.avg(d).alias("mean_signed_error"), F.count_if(d >= 0).alias("_late"),
+            F.count_if(d < 0).alias("_early"), counts.alias("_counts")]
+
+
+def earliness_of(rows: DataFrame, cell: list[str], edges) -> DataFrame:
+    """Histograms from ``earliness_sums``, a row per cell."""
+    all_edges = [float("-inf"), *sorted(float(e) for e in edges), float("inf")]
     lo = _edge(all_edges, F.col("_i"), 0)
     return rows.select("*", F.posexplode("_counts").alias("_i", "n_bin")).select(
         *cell, lo.alias("lo"), _edge(all_edges, F.col("_i"), 1).alias("hi"),
@@ -101,11 +109,19 @@ def require_predictions(preds: DataFrame) -> DataFrame:
 
 def cost_curve(preds: DataFrame, cell: list[str], ratios) -> DataFrame:
     """Cost per late:early ratio: early cycles lost plus ratio times late cycles."""
+    return cost_of(preds.groupBy(*cell).agg(*cost_sums()), cell, ratios)
+
+
+def cost_sums() -> list[Column]:
+    """What a cell's costs are made from."""
     d = F.col("pred") - F.col("true_rul")
-    sums = preds.groupBy(*cell).agg(
-        F.sum(F.greatest(d, F.lit(0.0))).alias("_late"), F.sum(F.greatest(-d, F.lit(0.0))).alias("_early"))
+    return [F.sum(F.greatest(d, F.lit(0.0))).alias("_late_sum"), F.sum(F.greatest(-d, F.lit(0.0))).alias("_early_sum")]
+
+
+def cost_of(sums: DataFrame, cell: list[str], ratios) -> DataFrame:
+    """Cost curves from ``cost_sums``, a row per cell."""
     return (sums.withColumn("cost_ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-            .select(*cell, "cost_ratio", (F.col("_early") + F.col("cost_ratio") * F.col("_late")).alias("cost")))
+            .select(*cell, "cost_ratio", (F.col("_early_sum") + F.col("cost_ratio") * F.col("_late_sum")).alias("cost")))
 
 
 def pinball_loss(preds: DataFrame, cell: list[str], quantiles: str, levels) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import compare, metrics
 from ..operators.sampling import finished_cells, pending_cells
 from ..operators.metrics import PRED_CELL
+from ..session import cut_lineage
 from ..sources.store import commit_cells, committed
 
 
@@ -45,13 +46,17 @@ def study_tables(results: DataFrame, preds: DataFrame, edges, ratios) -> dict[st
 
 def restart(preds: DataFrame, base: str, edges, ratios) -> tuple[DataFrame, DataFrame]:
     """Histogram and cost tables under ``base``, brought up to the cells of ``preds``: cells that a table holds are not run again,
-    each table by itself, and what an earlier run left undone is. Returns both tables as stored."""
+    each table by itself, and what an earlier run left undone is. The predictions of cells that a table lacks are read once,
+    for the sums of both tables, which are a row per cell. Returns both tables as stored."""
     spark = preds.sparkSession
-    makers = {"earliness": lambda p: metrics.earliness(p, PRED_CELL, edges), "cost": lambda p: metrics.cost_curve(p, PRED_CELL, ratios)}
-    out = []
+    makers = {"earliness": lambda s: metrics.earliness_of(s, PRED_CELL, edges), "cost": lambda s: metrics.cost_of(s, PRED_CELL, ratios)}
+
+    def sums(rows):
+        return rows.groupBy(*PRED_CELL).agg(*metrics.earliness_sums(edges), *metrics.cost_sums())
+
+    schemas = {name: make(sums(preds)).schema for name, make in makers.items()}
+    done = {name: committed(spark, f"{base}/{name}", schema).select(*PRED_CELL).distinct() for name, schema in schemas.items()}
+    found = cut_lineage(sums(pending_cells(preds, done["earliness"].intersect(done["cost"]), PRED_CELL)))
     for name, make in makers.items():
-        path, schema = f"{base}/{name}", make(preds).schema
-        todo = pending_cells(preds, committed(spark, path, schema), PRED_CELL)
-        commit_cells(make(todo), path, PRED_CELL)
-        out.append(committed(spark, path, schema))
-    return tuple(out)
+        commit_cells(make(pending_cells(found, done[name], PRED_CELL)), f"{base}/{name}", PRED_CELL)
+    return tuple(committed(spark, f"{base}/{name}", schema) for name, schema in schemas.items())

@@ -57,3 +57,15 @@ def test_tables_of_several_runs(runs, spark):
     tables = scoring.study_tables(rows.unionByName(rows.where("seed = 0")), runs(0, 1, 0), EDGES, RATIOS)
     assert set(tables) == {"data_scaling", "success_map", "earliness", "cost", "roster"}
     assert tables["cost"].count() == 4 and tables["data_scaling"].count() == 1
+
+
+def test_predictions_are_read_once_for_both_tables(spark, runs, tmp_path):
+    rows, read = runs(0, 1), spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    counted = spark.createDataFrame(rows.rdd.map(seen), rows.schema)
+    hist, cost = scoring.restart(counted, str(tmp_path), EDGES, RATIOS)
+    assert read.value == 6 and cost.count() == 4 and hist.count() == 8
