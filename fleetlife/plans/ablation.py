@@ -1,7 +1,7 @@
 """Ablation in two phases, in one plan: contexts x feature sets, then raw values and poolings at the winner.
 
 The second phase depends on the results of the first: the winner is a table of one row, from which the arms of the second
-phase are made and joined to the rows by context length. Nothing is collected in between.
+phase are made and joined to the rows by context length. The results of the first phase are written; nothing is collected.
 
 All arms have inputs of one width: blocks that an arm lacks are zeros, which the penalty gives no weight.
 """
@@ -18,6 +18,7 @@ from ..operators.compare import best_cell
 from ..operators.metrics import evaluate
 from ..operators.numbering import BLOCK_ROWS, block_window, blocked, unblocked
 from ..operators.sampling import CELL
+from ..session import cut_lineage
 
 ARM = ["context_length", "head_features", "pooling"]
 SPECIAL = 2
@@ -82,7 +83,7 @@ def two_phases(train: DataFrame, test: DataFrame, plan: DataFrame, lengths: list
     context of the cell with the lowest mean error: raw values added, and the winner's features in other poolings."""
     spark = train.sparkSession
     first = spark.createDataFrame([(n, f, "mean") for n in lengths for f in FEATURE_SETS], "context_length int, head_features string, pooling string")
-    one = run(train, test, plan, first, channels, max_rul, alpha)
+    one = cut_lineage(run(train, test, plan, first, channels, max_rul, alpha))  # a row per cell and arm; the winner reads it too
     name = lambda f, p: F.struct("context_length", f.alias("head_features"), F.lit(p).alias("pooling"))
     second = best_cell(one).select(F.inline(F.array(
         name(F.lit("emb+locscale+raw"), "mean"), *[name(F.col("head_features"), p) for p in POOLINGS])))
