@@ -37,20 +37,22 @@ def aggregate_cycles(rows: DataFrame, channels: list[str], flight_class: str, or
 def snapshot_indicators(samples: DataFrame, axes: dict[str, str], by: tuple) -> DataFrame:
     """Time-domain indicators of each axis of a snapshot: rms, excess kurtosis, skewness, peak,
     peak to peak, crest, impulse and shape factor. ``axes``: output prefix -> sample column.
-    A flat snapshot has kurtosis -3 and skewness 0; zero denominators become 1e-12."""
+    A flat snapshot has kurtosis -3 and skewness 0, which its range tells: merged moments of equal
+    values are not always zero. Zero denominators become 1e-12."""
     tiny = F.lit(1e-12)
     base, cols = [], []
     for p, c in axes.items():
         x = F.col(c).cast("double")
         base += [F.sqrt(F.avg(x * x)).alias(f"{p}_rms"), F.kurtosis(x).alias(f"{p}_k"),
                  F.skewness(x).alias(f"{p}_s"), F.max(F.abs(x)).alias(f"{p}_peak"),
-                 F.avg(F.abs(x)).alias(f"{p}_abs"), (F.max(x) - F.min(x)).alias(f"{p}_p2p")]
-        rms, peak = F.col(f"{p}_rms"), F.col(f"{p}_peak")
+                 F.avg(F.abs(x)).alias(f"{p}_abs"), (F.max(x) - F.min(x)).alias(f"{p}_p2p"),
+                 (F.max(x) == F.min(x)).alias(f"{p}_flat")]
+        rms, peak, flat = (F.col(f"{p}_{n}") for n in ("rms", "peak", "flat"))
         safe_rms = F.when(rms > 0, rms).otherwise(tiny)
         safe_abs = F.when(F.col(f"{p}_abs") > 0, F.col(f"{p}_abs")).otherwise(tiny)
         values = {
-            "rms": rms, "kurtosis": F.coalesce(F.nanvl(F.col(f"{p}_k"), F.lit(None)), F.lit(-3.0)),
-            "skewness": F.coalesce(F.nanvl(F.col(f"{p}_s"), F.lit(None)), F.lit(0.0)),
+            "rms": rms, "kurtosis": F.coalesce(F.when(~flat, F.nanvl(F.col(f"{p}_k"), F.lit(None))), F.lit(-3.0)),
+            "skewness": F.coalesce(F.when(~flat, F.nanvl(F.col(f"{p}_s"), F.lit(None))), F.lit(0.0)),
             "peak": peak, "p2p": F.col(f"{p}_p2p"), "crest": peak / safe_rms,
             "impulse": peak / safe_abs, "shape": safe_rms / safe_abs,
         }

@@ -132,6 +132,13 @@ def test_flat_snapshot(spark):
     assert (rows["z"]["h_rms"], rows["z"]["h_impulse"], rows["z"]["h_shape"]) == (0.0, 0.0, 1.0)
 
 
+def test_flat_snapshot_in_several_tasks(spark):
+    rows = spark.range(0, 3 * 11 * 500, 1, 3).select((F.col("id") % 500).alias("id"))  # 11 copies of each in each task
+    df = rows.withColumn("x", 19653.43 + F.col("id") * 167.77)
+    found = summaries.snapshot_indicators(df, {"h": "x"}, ("id",)).select("h_kurtosis", "h_skewness").distinct().collect()
+    assert [tuple(r) for r in found] == [(-3.0, 0.0)]
+
+
 def test_union_ids(lives):
     both = labels.union_fleets({"y": lives({1: 1, 2: 1}), "x": lives({1: 1, 2: 1, 3: 1})}, "ALL")
     assert [r[0] for r in tuples(both, "unit_number")] == [1, 2, 3, 1001, 1002]
