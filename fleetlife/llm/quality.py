@@ -36,18 +36,21 @@ def _count(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, marks, ""))
 
 
-def line_fails(line: Column, short: int = SHORT_LINE, notice: int = NOTICE_LINE,
-               punctuation: int = PUNCTUATION_PERCENT) -> Column:
-    """Whether a line with a word fails a rule. A line without a word never fails."""
-    body = F.regexp_replace(line, GAP, "")
-    n = F.size(words_of(line))
+def _fails(line: Column, body: Column, n: Column, short: int, notice: int, punctuation: int) -> Column:
+    """``line_fails`` with the line's text without gaps and its number of words at hand."""
     bars = _count(body, SEPARATORS)
     closed = F.lit(CLOSING).contains(F.substring(body, -1, 1))
     unpunctuated = ~closed & (n < short)
     shouting = F.lit(100) * _count(body, PUNCTUATION) > F.lit(punctuation) * F.length(body)
     navigation = (bars >= 2) & (bars * 4 >= n)
     boilerplate = (n <= notice) & F.lower(line).rlike(NOTICES)
-    return (n > 0) & (navigation | unpunctuated | shouting | boilerplate)
+    return (n > 0) & (unpunctuated | navigation | shouting | boilerplate)
+
+
+def line_fails(line: Column, short: int = SHORT_LINE, notice: int = NOTICE_LINE,
+               punctuation: int = PUNCTUATION_PERCENT) -> Column:
+    """Whether a line with a word fails a rule. A line without a word never fails."""
+    return _fails(line, F.regexp_replace(line, GAP, ""), F.size(words_of(line)), short, notice, punctuation)
 
 
 def repeated_words(words: Column, hashes: Column, order: Column, span: int = REPEAT_SPAN) -> Column:
@@ -64,23 +67,29 @@ def assess(docs: DataFrame, text: str = "text", short: int = SHORT_LINE, notice:
     text and what was removed. Steps are projections; helper columns start with ``_q_``."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(*[c for c in docs.columns if c != "quality"], body.alias("_q_text"))
-    df = df.withColumns({"_q_words": words_of(F.col("_q_text")), "_q_lines": F.split("_q_text", "\n")})
+    # Lines are cut into words once; a line's text without gaps, its number of words and the text's words follow from these.
+    df = df.withColumn("_q_cut", F.transform(F.split("_q_text", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))))
+    df = df.withColumns({
+        "_q_words": F.flatten("_q_cut.words"),
+        "_q_lines": F.transform("_q_cut", lambda x: F.struct(
+            x["line"].alias("line"), F.concat_ws("", x["words"]).alias("body"), F.size(x["words"]).alias("n"))),
+    })
     df = df.withColumns({
         "_q_n": F.size("_q_words"),
-        "_q_full": F.filter("_q_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-        "_q_left": F.filter("_q_lines", lambda x: ~line_fails(x, short, notice, punctuation)),
+        "_q_full": F.filter("_q_lines", lambda x: x["n"] > 0)["line"],
+        "_q_left": F.filter("_q_lines", lambda x: ~_fails(x["line"], x["body"], x["n"], short, notice, punctuation)),
         "_q_hash": F.when(F.size("_q_words") >= REPEAT_SPAN, F.transform(
             F.sequence(F.lit(1), F.size("_q_words") - (REPEAT_SPAN - 1)),
             lambda i: F.xxhash64(F.slice("_q_words", i, REPEAT_SPAN)))),
     })
     df = df.withColumns({
-        "_q_clean": F.concat_ws("\n", "_q_left"),
+        "_q_clean": F.concat_ws("\n", "_q_left.line"),
         "_q_order": F.when(F.size(F.array_distinct("_q_hash")) < F.size("_q_hash"), F.sort_array(
             F.transform("_q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))),
     })
     df = df.withColumns({
         "_q_at": repeated_words(F.col("_q_words"), F.col("_q_hash"), F.col("_q_order")),
-        "_q_rest": F.size(words_of(F.col("_q_clean"))),
+        "_q_rest": F.aggregate("_q_left.n", F.lit(0), lambda a, n: a + n),
     })
     covered = F.aggregate(
         F.transform("_q_at", lambda p, i: F.least(F.lit(REPEAT_SPAN), F.coalesce(
@@ -94,7 +103,7 @@ def assess(docs: DataFrame, text: str = "text", short: int = SHORT_LINE, notice:
     enough = lost.cast("long") * 100 <= F.col("_q_n").cast("long") * lost_percent
     quality = F.struct(
         F.col("_q_n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_q_text", GAP, "")).cast("long").alias("word_chars"),
+        F.aggregate("_q_lines.body", F.lit(0).cast("long"), lambda a, b: a + F.length(b)).alias("word_chars"),
         _count(F.col("_q_text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size("_q_full") - F.size(F.array_distinct("_q_full"))).cast("long").alias("n_dup_lines"),
         F.col("_q_repeat").cast("long").alias("n_repeat_words"),

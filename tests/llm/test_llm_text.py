@@ -57,6 +57,15 @@ def test_quality_of_odd_rows(odd, none):
     assert quality.clean(odd).columns == odd.columns
 
 
+def test_quality_cuts_a_text_into_words_once(docs):
+    rows = docs({1: "a b\n\n \t\nc\x0bd | e. \nMenu | b | c\n", 2: None})
+    got = {r.doc_id: r.quality for r in quality.assess(rows).collect()}
+    assert (got[1].n_words, got[1].word_chars, got[1].n_removed_lines, got[1].clean_text) == (11, 15, 3, "\n \t\n")
+    assert (got[2].n_words, got[2].word_chars, got[2].clean_text) == (0, 0, "")
+    plan = quality.assess(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\x20\\x09-\\x0D") == 1
+
+
 def _left(texts, gone):
     out = {}
     for i, text in texts.items():
