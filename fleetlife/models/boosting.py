@@ -105,7 +105,7 @@ def _histograms(state: DataFrame, tree: Tree, level: int, width: int, bins: int,
     first, nodes = 2 ** level - 1, 2 ** level
 
     def run(batches):
-        total = np.zeros((2, cells * nodes * width * bins))
+        total = np.zeros((2, width, cells * nodes * bins))  # an input at a time: a count is as long as one input's histogram
         check = np.zeros((2, 2, cells))
         seen = False
         for batch in batches:
@@ -119,14 +119,14 @@ def _histograms(state: DataFrame, tree: Tree, level: int, width: int, bins: int,
             at = tree.nodes(code, row, cell, level)
             inside = at >= first  # others rest in leaves above
             row, cell, rest, at = row[inside], cell[inside], rest[inside], at[inside] - first
-            base = (cell * nodes + at) * width
-            for i in range(width):
-                place = (base + i) * bins + code[row, i]
-                total[0] += np.bincount(place, rest, total.shape[1])
-                total[1] += np.bincount(place, minlength=total.shape[1])
+            base = (cell * nodes + at) * bins
+            for i, column in enumerate(np.ascontiguousarray(code.T)):
+                place = base + column[row]
+                total[0, i] += np.bincount(place, rest, total.shape[2])
+                total[1, i] += np.bincount(place, minlength=total.shape[2])
             seen = True
         if seen:
-            sums, counts = total.reshape(2, cells, nodes, width * bins)
+            sums, counts = np.moveaxis(total.reshape(2, width, cells, nodes, bins), 1, 3)
             for c in np.flatnonzero(active):
                 out = [(n, sums[c, n], counts[c, n]) for n in range(nodes) if counts[c, n].any()]
                 out += [(-1 - k, check[k, 0, c:c + 1], check[k, 1, c:c + 1]) for k in (0, 1) if check[k, 1, c]]
@@ -183,10 +183,12 @@ def fit(rows: DataFrame, plan: DataFrame, inputs: list[str], label: str = "label
     trees: 2 ** depth nodes per cell and round."""
     if not 2 <= bins <= 256:
         raise ValueError(f"bins fit in a byte: 2 to 256, got {bins}")
+    base = f"{work_dir(rows.sparkSession)}/boosting_{uuid.uuid4().hex}"
+    # Written once: the edges, the units and the bins are read from it, not made from the windows each time.
+    rows = materialize(rows.select(*KEYS, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in inputs]), base, "inputs")
     edges, width = bin_edges(rows, inputs, bins), len(inputs)
     cells, drawn = cell_codes(rows.select(*KEYS).distinct(), plan)
-    state = binned(rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double")), inputs, edges, [*KEYS, "_y"])
-    base = f"{work_dir(rows.sparkSession)}/boosting_{uuid.uuid4().hex}"
+    state = binned(rows.where("_y IS NOT NULL"), inputs, edges, [*KEYS, "_y"])
     state = materialize(state.join(drawn, KEYS).select("bins", F.col("_y").alias("label"), "codes"), base, "rows")
     means = state.select("label", F.explode("codes").alias("k")).where("k % 2 = 0").groupBy("k").agg(F.avg("label").alias("m")).collect()
     start = np.zeros(len(cells))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlife.models import boosting
 from fleetlife.operators import sampling
@@ -104,3 +105,15 @@ def test_no_signal_and_nulls(spark):
     model = boosting.fit(frame, plan, NAMES, rounds=2)
     got = boosting.predict(model, frame, NAMES, 4.0, ["unit_number"]).collect()
     assert len(got) == 18 and {r.pred for r in got} == {4.0}
+
+
+def test_inputs_are_made_once(spark, frame, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    plan = sampling.sampling_plan(frame.select("dataset", "unit_number").distinct(), (4,), (0,), 0.25)
+    boosting.fit(frame.withColumn("a", F.udf(counted, "double")("a")), plan, NAMES, rounds=1, depth=1)
+    assert made.value == len(rows)
