@@ -1,24 +1,30 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Restaurants: one for each context, whose parent is one root restaurant shared by all; the root's base is uniform
-over the training vocabulary and one unknown word. The context of a token is the word before it: each of the
-``CONTEXTS`` most frequent training words has a restaurant, all other words share one, and the text start has one
-(a size of the model: every token has a context and is learned from). Customers are training tokens; tables of the
-context restaurants are the customers of the root.
+over the training vocabulary and one unknown word. The context of a token is the word before it, whichever word that
+is; the text start has a restaurant too. Customers are training tokens; tables of the context restaurants are the
+customers of the root.
 
 Gibbs sampling: a sweep seats every customer anew, one dish (word) of a restaurant at a time, with the Chinese
 restaurant's probabilities given the others: an occupied table in proportion to its customers less the discount, a
-new one in proportion to the strength, the tables of the restaurant and the parent's probability of the word. Dishes
-live in buckets by hash, so all counts of a word are together and a sweep needs no shuffle; what the restaurants
-share (tables per context, totals of the root: a few hundred numbers) is summed after each sweep and used in the
-next. Beyond ``EXACT`` customers at a dish, customers are seated in groups of a sixteenth of those there, with the
-probability at the start of the group. Each sweep can be repeated from these sums alone, so no state is kept.
-Scores average the predictive probabilities of the sweeps after the first ``BURN_IN``.
+new one in proportion to the strength, the tables of the restaurant and the parent's probability of the word. What
+restaurants share is summed after each sweep and used in the next. Beyond ``EXACT`` customers at a dish, customers are
+seated in groups of a sixteenth of those there, with the probability at the start of the group. Each sweep can be
+repeated from these sums alone, so no state is kept. Scores average the predictive probabilities of the sweeps after
+the first ``BURN_IN``.
+
+The ``CONTEXTS`` most frequent words are a fast path and not a part of the model: counts among them are a table of fixed
+size, and their tables and the root's customers of them are sums that every task gets. All other words live in buckets by
+hash. Words of a bucket are seated there after any context; frequent words after a rare one in the bucket of that context.
+A rare context has dishes in many buckets. They get the number of its dishes once, from the bucket of the context, and a sweep
+seats them given one table for each other dish (frequent contexts: given the tables of the sweep before). After the last
+sweep its bucket gets the tables of each sample, so that every predictive distribution adds up to one.
 
 Tokens are words with A-Z lower-cased, then one end token. A word is known by a 64-bit hash.
 
-Reading makes packed rows: occurrences of rarer words by bucket, and of frequent words by batch of documents, because
-the model of frequent words in frequent contexts is a table of fixed size. Occurrences come back as sums per document.
+Reading makes packed rows of the different pairs of word and context of a batch of documents, by bucket. Training pairs are
+counted first; all pairs are asked for after the sweeps, and the answers met with the batch's tokens. The texts are read
+for each of the three, and must give the same batches; else the answers don't fit and the query fails.
 
 Defined results: null or empty text is one end token; a null doc_id is a training document; repeated rows count and are
 scored each for itself; without training tokens all words are unknown. Extra columns are ignored.
@@ -26,6 +32,8 @@ scored each for itself; without training tokens all words are unknown. Extra col
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,9 +45,8 @@ from .common import partitions, stored
 
 CONTEXTS, BURN_IN, SAMPLES, SEED = 512, 2, 4, 7
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 2.0, 0.6, 2.0
-EXACT, MIN_BUCKETS, DOCS_PER_ROW, CACHE_WORDS = 256, 64, 5_000, 200_000
+EXACT, MIN_BUCKETS, TOKENS_PER_BUCKET, DOCS_PER_ROW, CACHE_WORDS = 256, 64, 4_000_000, 5_000, 200_000
 END = b"\n"  # no word is a line break
-TRAIN = 1 << 15
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,17 +71,24 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(word, count) over the training texts; added up per batch before the shuffle."""
+def most_frequent(docs: DataFrame, number: int) -> tuple[list, int]:
+    """(word, count) of the ``number`` words met most often in the training texts, and the number of training tokens. A batch
+    counts its own most frequent words only: the choice decides what is kept where, not what is learned."""
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             h = [hashes.of(text) for text in batch["text"]]
-            words, count = np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, "<u8"), [])
-            yield pd.DataFrame({"word": words.view("int64"), "count": count})
+            words, count = np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, "<u8"), np.empty(0, "int64"))
+            most = np.argsort(-count, kind="stable")[:8 * number]
+            yield pd.DataFrame({"word": words[most].view("int64"), "count": count[most], "tokens": 0})
+            yield pd.DataFrame({"word": [0], "count": [0], "tokens": [count.sum()]})
 
     train = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return train.mapInPandas(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    met = train.mapInPandas(run, "word long, count long, tokens long").groupBy("word").agg(
+        F.sum("count").alias("count"), F.sum("tokens").alias("tokens"))
+    top = met.orderBy(F.desc("tokens"), F.desc("count"), "word").limit(number + 1).collect()  # number + 1 rows
+    tokens_ = sum(r["tokens"] for r in top)
+    return sorted(((r["word"], r["count"]) for r in top if r["count"]), key=lambda r: -r[1])[:number], tokens_
 
 
 class Frequent:
@@ -94,53 +108,71 @@ class Frequent:
         return at
 
 
-READ = ("kind int, batch string, bucket int, words binary, lengths binary, contexts binary, docs binary, "
-        "hot_words binary, hot_contexts binary, hot_counts binary, doc_ids array<string>, held binary, n_tokens binary, "
-        "n_hot binary, codes binary")
+READ = ("kind int, batch string, bucket int, words binary, lengths binary, contexts binary, others binary, hot_words binary, "
+        "hot_contexts binary, hot_counts binary, codes binary, code_counts binary, doc_ids array<string>, held binary, "
+        "n_tokens binary, n_words int, docs binary")
+CHUNK = ["batch", "words", "lengths", "contexts", "others", "hot_words", "hot_contexts", "hot_counts", "codes", "code_counts"]
 
 
-def read(docs: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
-    """Packed rows of kind 0 (a batch of documents with its frequent words) and 1 (a batch's other words and training
-    counts of frequent words, by bucket)."""
-    names = [c.split()[0] for c in READ.split(", ")]
-    wide = np.uint64(buckets)
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype("int64")
+
+
+def _pairs(code: np.ndarray, n: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and contexts of the different pairs in documents of n tokens each, and the pair of each token."""
+    context = np.concatenate([[start], code[:-1]])
+    context[np.cumsum(n) - n] = start
+    pair, at = np.unique(code * (start + 1) + context, return_inverse=True)
+    return pair // (start + 1), pair % (start + 1), at
+
 
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return (((h >> np.uint64(32)) * wide) >> np.uint64(32)).astype("int64")
+def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> DataFrame:
+    """Packed rows of a batch of documents. Kind 1: by bucket, its rarer words, with the contexts and training count of
+    each pair, and the frequent words after them; counts of pairs of frequent words in one of the rows. Kind 0: one row with
+    the documents' tokens: a frequent word's id, or the place among the batch's rarer words after these."""
+    names = [c.split()[0] for c in READ.split(", ")]
+    many = frequent.n
 
     def packed(part: pd.DataFrame, batch: str, hashes: Hashes):
         found = [hashes.of(t) for t in part["text"]]
         n = np.array([len(f) for f in found])
         h = np.concatenate(found)
         del found
-        doc = np.repeat(np.arange(len(n), dtype="<u2"), n)
-        own = frequent.ids(h)
-        context = np.concatenate([own[:1], own[:-1]])
-        context[np.cumsum(n) - n] = frequent.n + 1
+        code = frequent.ids(h).astype("int64")
+        rare = code == many
+        words, place = np.unique(h[rare], return_inverse=True)
+        code[rare] += place
         held = part["held"].to_numpy(bool)
-        train = ~held[doc]
-        hot = own < frequent.n
-        codes = own[hot] * frequent.contexts + context[hot]  # below (CONTEXTS + 2) squared
-        yield {"kind": 0, "batch": batch, "doc_ids": list(part["doc_id"]), "held": held.tobytes(),
-               "n_tokens": n.astype("<u4").tobytes(), "n_hot": np.bincount(doc[hot], minlength=len(n)).astype("<u4").tobytes(),
-               "codes": codes.astype("<u4").tobytes()}
-        pair, count = np.unique(codes[train[hot]], return_counts=True)
-        hot_words = frequent.words[pair // frequent.contexts] if len(pair) else np.empty(0, "<u8")
-        hot_bucket = bucket_of(hot_words)
-        h, doc, mark = h[~hot], doc[~hot], (context + TRAIN * train)[~hot]
-        order = np.argsort(h, kind="stable")
-        h, doc, mark = h[order], doc[order], mark[order]
-        edge = np.searchsorted(bucket_of(h), np.arange(buckets + 1))
-        order = np.argsort(hot_bucket, kind="stable")
-        hot_edge = np.searchsorted(hot_bucket[order], np.arange(buckets + 1))
+        if kind == 0:
+            yield {"kind": 0, "batch": batch, "doc_ids": list(part["doc_id"]), "held": held.tobytes(), "n_words": len(words),
+                   "n_tokens": n.astype("<u4").tobytes(), "docs": code.astype("<u4").tobytes()}
+            return
+        start = many + len(words)
+        word, context, at = _pairs(code, n, start)
+        count = np.bincount(at, np.repeat(~held, n), len(word)).astype("<u4")
+        own = word >= many
+        after = ~own & (context >= many) & (context < start)
+        both = ~own & ~after & (count > 0)
+        fixed = np.where(context < many, context, np.where(context == start, many + 1, many)).astype("<u2")
+        codes = word[both] * frequent.contexts + fixed[both]
+        swapped = np.flatnonzero(after)[np.lexsort((word[after], context[after]))]
+        per_word = np.bincount(word[own] - many, minlength=len(words)).astype("<u4")
+        per_context = np.bincount(context[after] - many, minlength=len(words)).astype("<u4")
+        edge = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
+        first = np.concatenate([[0], np.cumsum(per_word, dtype="int64")])[edge]
+        second = np.concatenate([[0], np.cumsum(per_context, dtype="int64")])[edge]
+        own = np.flatnonzero(own)
+        keeper = zlib.crc32(batch.encode()) % min(buckets, MIN_BUCKETS)
         for b in range(buckets):
-            s, g = slice(edge[b], edge[b + 1]), order[hot_edge[b]:hot_edge[b + 1]]
-            if s.start < s.stop or len(g):
-                words, lengths = np.unique(h[s], return_counts=True)
-                yield {"kind": 1, "batch": batch, "bucket": b, "words": words.tobytes(), "lengths": lengths.astype("<u4").tobytes(),
-                       "contexts": mark[s].astype("<u2").tobytes(), "docs": doc[s].astype("<u2").tobytes(),
-                       "hot_words": hot_words[g].tobytes(), "hot_contexts": (pair[g] % frequent.contexts).astype("<u2").tobytes(),
-                       "hot_counts": count[g].astype("<u4").tobytes()}
+            s, mine, theirs = slice(edge[b], edge[b + 1]), own[first[b]:first[b + 1]], swapped[second[b]:second[b + 1]]
+            if s.start == s.stop and b != keeper:
+                continue
+            ids = fixed[mine]
+            yield {"kind": 1, "batch": batch, "bucket": b, "words": words[s].tobytes(), "lengths": per_word[s].tobytes(),
+                   "contexts": ids.tobytes() + count[mine].tobytes(), "others": words[context[mine][ids == many] - many].tobytes(),
+                   "hot_words": word[theirs].astype("<u2").tobytes(), "hot_contexts": per_context[s].tobytes(),
+                   "hot_counts": count[theirs].tobytes()} | (
+                {"codes": codes.astype("<u4").tobytes(), "code_counts": count[both].tobytes()} if b == keeper else {})
 
     def run(batches):
         hashes, k = Hashes(), 0
@@ -154,24 +186,51 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
     return texts.mapInPandas(run, READ)
 
 
-def _counted(chunks, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, key, count): the bucket's training words, and for each pair of word and context, as place of the word
-    times contexts plus context, the number of training tokens."""
-    words, marks, hot, hot_context, hot_count = [], [], [], [], []
-    for c in chunks:
-        words.append(np.repeat(np.frombuffer(c["words"], "<u8"), np.frombuffer(c["lengths"], "<u4")))
-        marks.append(np.frombuffer(c["contexts"], "<u2"))
-        hot.append(np.frombuffer(c["hot_words"], "<u8"))
-        hot_context.append(np.frombuffer(c["hot_contexts"], "<u2"))
-        hot_count.append(np.frombuffer(c["hot_counts"], "<u4"))
-    words, marks = np.concatenate(words), np.concatenate(marks).astype("int64")
-    train = marks >= TRAIN
-    word = np.concatenate([words[train], *hot])
-    context = np.concatenate([marks[train] - TRAIN, *hot_context]).astype("int64")
-    count = np.concatenate([np.ones(int(train.sum()), "int64"), *hot_count]).astype("int64")
-    names, place = np.unique(word, return_inverse=True)
-    key, at = np.unique(place * contexts + context, return_inverse=True)
-    return names, key, np.bincount(at, weights=count, minlength=len(key)).astype("int64")
+def _array(row, name: str, kind: str) -> np.ndarray:
+    """A packed column; empty where there is none."""
+    return np.frombuffer(row.get(name) or b"", kind)
+
+
+class Counted:
+    """The pairs of a bucket's chunks in three groups: words after frequent contexts, the start or a shared context; after rare
+    contexts told apart; and frequent words after the bucket's words. Of each group the pairs as asked for (``at``: their places
+    among the different ones) and the training count of each different one, in the order of the bucket's words."""
+
+    def __init__(self, chunks, contexts: int):
+        words = [_array(c, "words", "<u8") for c in chunks]
+        self.words, place = np.unique(np.concatenate(words), return_inverse=True)
+        self.places = np.split(place, np.cumsum([len(w) for w in words])[:-1])
+        fixed, far, near = [], [], []
+        self.told = []
+        for c, p in zip(chunks, self.places):
+            raw = c["contexts"]
+            ids, count = np.frombuffer(raw, "<u2", len(raw) // 6), np.frombuffer(raw, "<u4", offset=len(raw) // 3)
+            word = np.repeat(p, _array(c, "lengths", "<u4"))
+            told = (ids == contexts - 2) & (c.get("others") is not None)
+            self.told.append(told)
+            fixed.append((word[~told] * contexts + ids[~told], count[~told]))
+            far.append((word[told], _array(c, "others", "<u8"), count[told]))
+            near.append((np.repeat(p, _array(c, "hot_contexts", "<u4")) * contexts + _array(c, "hot_words", "<u2"),
+                         _array(c, "hot_counts", "<u4")))
+        self.key, self.fixed_at, self.fixed = self._summed(*map(np.concatenate, zip(*fixed)))
+        word, other, count = map(np.concatenate, zip(*far))
+        order = np.lexsort((other, word))
+        w, o = word[order], other[order]
+        new = np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])])[:len(w)]
+        self.far_at = np.empty(len(w), "int64")
+        self.far_at[order] = np.cumsum(new) - 1
+        self.far_word, self.far_context = w[new], o[new]
+        self.far = np.bincount(self.far_at, count, len(self.far_word)).astype("int64")
+        self.near_key, self.near_at, self.near = self._summed(*map(np.concatenate, zip(*near)))
+        self.code, _, self.code_count = self._summed(np.concatenate([_array(c, "codes", "<u4") for c in chunks]),
+                                                     np.concatenate([_array(c, "code_counts", "<u4") for c in chunks]))
+        self.customers = (np.bincount(self.key // contexts, self.fixed, len(self.words))
+                          + np.bincount(self.far_word, self.far, len(self.words))).astype("int64")
+
+    @staticmethod
+    def _summed(key: np.ndarray, count: np.ndarray):
+        names, at = np.unique(key.astype("int64"), return_inverse=True)
+        return names, at, np.bincount(at, count, len(names)).astype("int64")
 
 
 def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -191,207 +250,376 @@ def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.ra
     return out
 
 
-class Sampler:
-    """Seating of one bucket's words. ``history`` holds what all buckets shared after each sweep before."""
+def parts(state: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Tables per fixed context, the root's customers and tables of each frequent word, its customers and tables in all."""
+    n = contexts - 2
+    return state[:contexts], state[contexts:contexts + n], state[contexts + n:contexts + 2 * n], state[-2], state[-1]
 
-    def __init__(self, bucket: int, key: np.ndarray, count: np.ndarray, n_words: int, contexts: int, vocabulary: int):
-        self.bucket, self.count, self.n_words = bucket, count, n_words
-        self.word, self.context = key // contexts, key % contexts
-        self.contexts, self.base = contexts, 1.0 / (vocabulary + 1)
-        self.t = np.ones(len(key))
-        self.root = np.bincount(self.word, minlength=n_words).astype(float)
-        self.root_t = np.ones(n_words)
 
-    def shared(self) -> np.ndarray:
-        """Tables per context, then customers and tables of the root."""
-        return np.concatenate([np.bincount(self.context, self.t, self.contexts), [self.root.sum(), self.root_t.sum()]])
+def parent(root, root_t, state: np.ndarray, vocabulary: int):
+    """The root's probability of words with so many customers and tables there."""
+    return (root - ROOT_DISCOUNT * root_t + (ROOT_STRENGTH + ROOT_DISCOUNT * state[-1]) / (vocabulary + 1)) / (ROOT_STRENGTH + state[-2])
+
+
+class Sampler:
+    """Seating of one bucket's words."""
+
+    def __init__(self, row, contexts: int, vocabulary: int):
+        self.bucket, self.n_words, self.contexts, self.vocabulary = int(row["bucket"]), int(row["n_words"]), contexts, vocabulary
+        key = _array(row, "keys", "<i8")
+        self.word, self.context, self.count = key // contexts, key % contexts, _array(row, "counts", "<u4").astype("int64")
+        self.single = np.zeros(self.n_words) + (_array(row, "single", "<u4") if row.get("single") else 0)
+        self.far_word, self.far_count = _array(row, "far_word", "<u4"), _array(row, "far_count", "<u4").astype("int64")
+        self.near_word, self.near_count = _array(row, "near_word", "<u2"), _array(row, "near_count", "<u4").astype("int64")
+        self.far_dishes, self.near_dishes = _array(row, "far_dishes", "<u4"), _array(row, "near_dishes", "<u4")
+        self.hot_single = np.zeros(contexts - 2) + (_array(row, "hot_single", "<u4") if row.get("hot_single") else 0)
+        self.t, self.far_t, self.near_t = np.ones(len(key)), np.ones(len(self.far_word)), np.ones(len(self.near_word))
+        self.root_t = np.ones(self.n_words)
+        self._to_root()
+
+    def _to_root(self) -> None:
+        self.root = (np.bincount(self.word, self.t, self.n_words) + self.single
+                     + np.bincount(self.far_word, self.far_t, self.n_words))
 
-    def parent(self, state: np.ndarray) -> np.ndarray:
-        """The root's probability of each word."""
-        customers, tables = state[-2:]
-        return (self.root - ROOT_DISCOUNT * self.root_t + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) * self.base) / (
-            ROOT_STRENGTH + customers)
+    def shared(self) -> np.ndarray:
+        hot = self.hot_single + np.bincount(self.near_word, self.near_t, self.contexts - 2)
+        return np.concatenate([np.bincount(self.context, self.t, self.contexts), hot, np.zeros(self.contexts - 2),
+                               [self.root.sum(), self.root_t.sum()]])
 
     def sweep(self, number: int, state: np.ndarray) -> None:
         rng = np.random.default_rng([SEED, self.bucket, number])
-        p, many = self.parent(state), self.count > 1
-        fresh = (STRENGTH + DISCOUNT * state[self.context[many]]) * p[self.word[many]]
-        self.t[many] = seated(self.count[many], fresh, DISCOUNT, rng)
-        self.root = np.bincount(self.word, self.t, self.n_words)
-        new = np.full(self.n_words, (ROOT_STRENGTH + ROOT_DISCOUNT * state[-1]) * self.base)
+        tables, hot, hot_t, _, total = parts(state, self.contexts)
+        p, many = parent(self.root, self.root_t, state, self.vocabulary), self.count > 1
+        fresh = np.concatenate([(STRENGTH + DISCOUNT * tables[self.context[many]]) * p[self.word[many]],
+                                (STRENGTH + DISCOUNT * self.far_dishes) * p[self.far_word],
+                                (STRENGTH + DISCOUNT * self.near_dishes) * parent(hot, hot_t, state, self.vocabulary)[self.near_word]])
+        t = seated(np.concatenate([self.count[many], self.far_count, self.near_count]), fresh, DISCOUNT, rng)
+        first, second = int(many.sum()), int(many.sum()) + len(self.far_word)
+        self.t[many], self.far_t, self.near_t = t[:first], t[first:second], t[second:]
+        self._to_root()
+        new = np.full(self.n_words, (ROOT_STRENGTH + ROOT_DISCOUNT * total) / (self.vocabulary + 1))
         self.root_t = seated(self.root.astype("int64"), new, ROOT_DISCOUNT, rng)
 
 
-TYPES = "bucket int, n_words long, known binary, keys binary, counts binary"
+class Table:
+    """Seating of the frequent words after frequent ones and the start, and of the frequent words at the root."""
+
+    def __init__(self, count: np.ndarray, vocabulary: int):
+        self.count, self.vocabulary = count, vocabulary  # words x contexts
+        self.t = (count > 0).astype(float)
+        self.sum = np.zeros(count.shape)  # of the samples
+        self.number = -1
+
+    def complete(self, state: np.ndarray) -> np.ndarray:
+        """The state with this table's share."""
+        contexts, n, rng = self.count.shape[1], len(self.count), np.random.default_rng([SEED, 1 << 40, self.number + 1])
+        state = state.copy()
+        state[:contexts] += self.t.sum(axis=0)
+        state[contexts:contexts + n] += self.t.sum(axis=1)
+        root = state[contexts:contexts + n].astype("int64")
+        if self.number < 0:
+            root_t = np.ones(n)
+        else:
+            root_t = seated(root, np.full(n, (ROOT_STRENGTH + ROOT_DISCOUNT * self.total) / (self.vocabulary + 1)), ROOT_DISCOUNT, rng)
+        state[contexts + n:contexts + 2 * n] = root_t
+        state[-2:] += [root.sum(), root_t.sum()]
+        self.total = state[-1]
+        return state
+
+    def sweep(self, number: int, state: np.ndarray) -> None:
+        tables, hot, hot_t, _, _ = parts(state, self.count.shape[1])
+        fresh = parent(hot, hot_t, state, self.vocabulary)[:, None] * (STRENGTH + DISCOUNT * tables)
+        many = self.count > 1
+        self.t[many] = seated(self.count[many], fresh[many], DISCOUNT, np.random.default_rng([SEED, 1 << 41, number]))
+        self.number = number
+        if number >= BURN_IN:
+            self.sum += self.t
+
+
+TYPES = ("bucket int, n_words long, known binary, keys binary, counts binary, customers binary, single binary, far_word binary, "
+         "far_context binary, far_count binary, near_context binary, near_word binary, near_count binary, hot_single binary, "
+         "codes binary, code_counts binary, far_dishes binary, near_dishes binary")
+SEATS = ["bucket", "n_words", "keys", "counts", "single", "far_word", "far_count", "near_word", "near_count", "hot_single",
+         "far_dishes", "near_dishes"]
 
 
 def types(buckets: DataFrame, contexts: int) -> DataFrame:
-    """Per bucket: its training words and the counts of its (word, context) pairs."""
+    """Per bucket: its training words and the counts of their pairs. Pairs with rare contexts that came once are always one
+    table, so that their number is enough."""
+    names = [c.split()[0] for c in TYPES.split(", ")]
+
+    def row(bucket: int, chunks) -> list:
+        c = Counted(chunks, contexts)
+        known = c.customers > 0
+        place = np.cumsum(known) - 1
+        fixed, far, near = c.fixed > 0, c.far > 1, c.near > 1
+        single = np.bincount(place[c.far_word[c.far == 1]], minlength=int(known.sum()))
+        hot_single = np.bincount(c.near_key[c.near == 1] % contexts, minlength=contexts - 2)
+        u4 = lambda v: v.astype("<u4").tobytes()
+        return [bucket, int(known.sum()), c.words[known].tobytes(),
+                (place[c.key[fixed] // contexts] * contexts + c.key[fixed] % contexts).astype("<i8").tobytes(), u4(c.fixed[fixed]),
+                u4(c.customers[known]), u4(single), u4(place[c.far_word[far]]), c.far_context[far].tobytes(), u4(c.far[far]),
+                u4(place[c.near_key[near] // contexts]), (c.near_key[near] % contexts).astype("<u2").tobytes(), u4(c.near[near]),
+                u4(hot_single), u4(c.code), u4(c.code_count), None, None]
+
     def run(batches):
         for batch in batches:
             for bucket, chunks in zip(batch["bucket"], batch["chunks"]):
-                words, key, count = _counted(chunks, contexts)
-                yield pd.DataFrame([(bucket, len(words), words.tobytes(), key.astype("<i8").tobytes(), count.astype("<u4").tobytes())],
-                                   columns=["bucket", "n_words", "known", "keys", "counts"])
+                yield pd.DataFrame([row(bucket, list(chunks))], columns=names)
 
     return buckets.mapInPandas(run, TYPES)
 
 
+SENT = "home int, bucket int, contexts binary, saved binary"
+
+
+def _sent(bucket: int, context: np.ndarray, saved: np.ndarray, buckets: int):
+    """To the bucket of each rare context: the customers that pairs seated beside others, summed, for each sample."""
+    names, at = np.unique(context, return_inverse=True)
+    sums = np.stack([np.bincount(at, v, len(names)) for v in saved]).astype("<u4")
+    edge = np.searchsorted(bucket_of(names, buckets), np.arange(buckets + 1))
+    return pd.DataFrame([(h, bucket, names[i:j].tobytes(), sums[:, i:j].tobytes()) for h, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j],
+                        columns=["home", "bucket", "contexts", "saved"])
+
+
+def with_dishes(found: DataFrame, buckets: int) -> DataFrame:
+    """The rows of ``types`` with the number of dishes of each pair's rare context."""
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield _sent(row["bucket"], _array(row, "far_context", "<u8"), _array(row, "far_count", "<u4")[None] - 1.0, buckets)
+
+    def answer(key, home: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in home.to_dict("records"):
+            known, at = _array(row, "known", "<u8"), _array(row, "near_context", "<u4")
+            dishes = _array(row, "customers", "<u4") - np.bincount(at, _array(row, "near_count", "<u4") - 1.0, len(known))
+            places = [np.searchsorted(known, np.frombuffer(c, "<u8")) for c in asked["contexts"]]
+            for place, saved in zip(places, asked["saved"]):
+                dishes[place] -= np.frombuffer(saved, "<u4")
+            dishes = dishes.astype("<u4")
+            out = [(b, row["bucket"], dishes[p].tobytes()) for b, p in zip(asked["bucket"], places)] + [(row["bucket"], -1, dishes[at].tobytes())]
+        return pd.DataFrame(out, columns=["bucket", "home", "dishes"])
+
+    def put(key, row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("home")
+        near, *far = [np.frombuffer(d, "<u4") for d in told["dishes"]]
+        _, at = np.unique(np.frombuffer(row["far_context"].iloc[0], "<u8"), return_inverse=True)
+        dishes = np.concatenate([*far, np.empty(0, "<u4")])[at]
+        return row.astype({"far_dishes": object, "near_dishes": object}).assign(far_dishes=[dishes.tobytes()], near_dishes=[near.tobytes()])
+
+    asked = found.select("bucket", "far_context", "far_count").mapInPandas(ask, SENT)
+    homes = found.select("bucket", "known", "customers", "near_context", "near_count")
+    told = homes.groupBy("bucket").cogroup(asked.groupBy("home")).applyInPandas(answer, "bucket int, home int, dishes binary")
+    return found.drop("codes", "code_counts").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(
+        put, ", ".join(c for c in TYPES.split(", ") if not c.startswith("code")))
+
+
 def _sampler(row, contexts: int, vocabulary: int, history: list[np.ndarray], visit=None) -> Sampler:
     """The sampler after the sweeps that ``history`` allows; ``visit`` sees it after each with the shared state."""
-    key, count = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4").astype("int64")
-    made = Sampler(int(row["bucket"]), key, count, int(row["n_words"]), contexts, vocabulary)
+    made = Sampler(row, contexts, vocabulary)
     for number, state in enumerate(history):
         if visit and number:
             visit(made, number, state)
-        made.sweep(number, state)
+        if not visit or number + 1 < len(history):
+            made.sweep(number, state)
     return made
 
 
-def sweeps(found: DataFrame, contexts: int, vocabulary: int, number: int) -> list[np.ndarray]:
-    """The shared state before the first sweep and after each: contexts + 2 numbers, summed by Spark."""
+def sweeps(found: DataFrame, contexts: int, vocabulary: int, number: int, table: Table | None = None) -> list[np.ndarray]:
+    """The shared state before the first sweep and after each: contexts + 2 numbers and two for each frequent word, summed by
+    Spark."""
+    table = table or Table(np.zeros((contexts - 2, contexts), "int64"), vocabulary)
     history: list[np.ndarray] = []
-    for _ in range(number + 1):
+    for k in range(number + 1):
         def run(batches, history=tuple(history)):
             for batch in batches:
                 for row in batch.to_dict("records"):
                     state = _sampler(row, contexts, vocabulary, list(history)).shared()
                     yield pd.DataFrame({"place": np.arange(len(state)), "value": state})
 
-        sums = found.mapInPandas(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        state = np.zeros(contexts + 2)
+        if history:
+            table.sweep(k - 1, history[-1])
+        sums = found.select(*SEATS).mapInPandas(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        state = np.zeros(contexts + 2 * (contexts - 2) + 2)
         for r in sums:
             state[r["place"]] = r["value"]
-        history.append(state)
+        history.append(table.complete(state))
     return history
 
 
+def predictive(count, t, parents: np.ndarray, tables: np.ndarray, customers) -> np.ndarray:
+    """Probabilities of pairs, averaged over samples: ``t`` are a pair's mean tables, ``parents`` the root's probabilities of
+    its word and ``tables`` the tables of its context per sample, ``customers`` those of the context."""
+    back = sum(p * (STRENGTH + DISCOUNT * c) for p, c in zip(parents, tables)) / len(parents)
+    return (count - DISCOUNT * t + back) / (STRENGTH + customers)
+
+
 class Model:
-    """Averaged predictive probabilities of one bucket."""
+    """What the samples give for one bucket; ``context_customers`` are those of the fixed contexts."""
 
     def __init__(self, row, contexts: int, vocabulary: int, history: list[np.ndarray], context_customers: np.ndarray):
-        self.words = np.frombuffer(row["known"], "<u8")
-        self.key, self.contexts = np.frombuffer(row["keys"], "<i8"), contexts
-        count = np.frombuffer(row["counts"], "<u4").astype("int64")
-        self.word_count = np.bincount(self.key // contexts, count, len(self.words))
-        samples = len(history) - 1 - BURN_IN
-        self.own = np.zeros(len(self.key))  # what the context restaurant itself gives
-        self.parent = np.zeros((samples, len(self.words) + 1))  # the last for unknown words
-        self.back = np.zeros((samples, contexts))
-        whole = STRENGTH + context_customers
+        self.key, self.contexts, self.customers = _array(row, "keys", "<i8"), contexts, context_customers
+        self.count = _array(row, "counts", "<u4").astype("int64")
+        self.samples = history[BURN_IN + 1:]
+        self.vocabulary = vocabulary
+        self.t, self.far, self.near, self.root, self.root_t = 0.0, [], [], [], []
 
         def visit(made: Sampler, number: int, state: np.ndarray) -> None:
-            s = number - 1 - BURN_IN
-            if s >= 0:
-                self.own += (count - DISCOUNT * made.t) / whole[made.context] / samples
-                self.parent[s, :-1] = made.parent(state)
-                self.parent[s, -1] = (ROOT_STRENGTH + ROOT_DISCOUNT * state[-1]) * made.base / (ROOT_STRENGTH + state[-2])
-                self.back[s] = (STRENGTH + DISCOUNT * state[:-2]) / whole / samples
+            if number > BURN_IN:
+                self.t = self.t + made.t
+                for seen, new in ((self.far, made.far_t), (self.near, made.near_t), (self.root, made.root), (self.root_t, made.root_t)):
+                    seen.append(new.copy())
 
         _sampler(row, contexts, vocabulary, history, visit)
 
     def probability(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Of words by place (the number of words for unknown ones) after contexts."""
-        out = np.zeros(len(word))
-        for parent, back in zip(self.parent, self.back):
-            out += parent[word] * back[context]
+        """Of words by place (the number of words for unknown ones) after fixed contexts."""
+        count, t = np.zeros(len(word)), np.zeros(len(word))
         if len(self.key):
             key = word * self.contexts + context
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            out += np.where((self.key[at] == key) & (word < len(self.words)), self.own[at], 0.0)
-        return out
+            here = self.key[at] == key
+            count, t = np.where(here, self.count[at], 0), np.where(here, self.t[at] / len(self.samples), 0.0)
+        parents = np.stack([parent(np.append(r, 0), np.append(rt, 0), s, self.vocabulary)[word]
+                            for r, rt, s in zip(self.root, self.root_t, self.samples)])
+        return predictive(count, t, parents, np.stack([s[context] for s in self.samples]), self.customers[context])
 
 
-def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = stored(unigrams(docs))
-    total, vocabulary = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("count"), "word").limit(n_contexts).collect()  # the contexts: n_contexts rows
-    frequent = Frequent(np.array([r["word"] for r in top], "int64").view("<u8"), np.array([r["count"] for r in top], "int64"))
-    contexts, floor = frequent.contexts, float(total + vocabulary + 1)
-    buckets = max(MIN_BUCKETS, partitions(docs))
-    rows = stored(read(docs, frequent, buckets))
-    chunk = F.struct("batch", "words", "lengths", "contexts", "docs", "hot_words", "hot_contexts", "hot_counts")
-    grouped = stored(rows.where("kind = 1").groupBy("bucket").agg(F.collect_list(chunk).alias("chunks")))
-    found = stored(types(grouped, contexts))
-
-    def customers(batches):
-        for batch in batches:
-            for keys, n in zip(batch["keys"], batch["counts"]):
-                sums = np.bincount(np.frombuffer(keys, "<i8") % contexts, np.frombuffer(n, "<u4"), contexts)
-                yield pd.DataFrame({"place": np.arange(contexts), "value": sums})
+ANSWER = "batch string, bucket int, words binary, own binary, near binary"
 
-    in_context = np.zeros(contexts)
-    for r in found.mapInPandas(customers, "place long, value double").groupBy("place").agg(F.sum("value").alias("v")).collect():
-        in_context[r["place"]] = r["v"]
-    history = sweeps(found, contexts, vocabulary, BURN_IN + SAMPLES)
 
-    def table(batches):  # the model of the frequent words: contexts * contexts numbers in all
+def answers(asked: DataFrame, found: DataFrame, contexts: int, vocabulary: int, history: list[np.ndarray], buckets: int) -> DataFrame:
+    """For each chunk asked for: per word its count and its customers and tables at the root and its own tables in each sample;
+    per pair its count and its tables summed over the samples."""
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                model = Model(row, contexts, vocabulary, history, None)
+                yield _sent(row["bucket"], _array(row, "far_context", "<u8"), _array(row, "far_count", "<u4") - np.stack(model.far), buckets)
+
+    def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                words = np.frombuffer(row["known"], "<u8")
-                place = frequent.ids(words)
-                here = np.flatnonzero(place < frequent.n)
-                if len(here):
-                    model = Model(row, contexts, vocabulary, history, in_context)
-                    each = [model.probability(np.full(contexts, w), np.arange(contexts)).tobytes() for w in here]
-                    yield pd.DataFrame({"place": place[here], "p": each})
-
-    hot = np.ones((frequent.n, contexts))
-    for r in found.mapInPandas(table, "place long, p binary").collect():
-        hot[r["place"]] = np.frombuffer(r["p"], "<f8")
-    hot_log, hot_base = np.log10(hot), np.log10((frequent.counts + 1) / floor)
-
-    def rare(batches):
+                yield from answered(row)
+
+    def answered(row):
+        chunks = list(row["chunks"])
+        c = Counted(chunks, contexts)
+        known = c.customers > 0
+        facts = np.zeros((1 + 3 * SAMPLES, len(c.words)), "<u4")
+        fixed, far, near = np.zeros(len(c.fixed), "<u4"), SAMPLES * (c.far == 1), SAMPLES * (c.near == 1)
+        if row["known"] is not None:
+            if not np.array_equal(c.words[known], _array(row, "known", "<u8")):
+                raise ValueError("the documents changed between two readings")
+            model = Model(row, contexts, vocabulary, history, None)
+            fixed[c.fixed > 0] = model.t
+            far[c.far > 1], near[c.near > 1] = sum(model.far), sum(model.near)
+            facts[0, known] = c.customers[known]
+            at, count = _array(row, "near_context", "<u4"), _array(row, "near_count", "<u4")
+            tables = np.stack([c.customers[known] - np.bincount(at, count - t, int(known.sum())) for t in model.near])
+            for sent in row["sent"] if row["sent"] is not None else []:
+                place = np.searchsorted(c.words[known], np.frombuffer(sent["contexts"], "<u8"))
+                tables[:, place] -= np.frombuffer(sent["saved"], "<u4").reshape(SAMPLES, -1)
+            facts[1:, known] = np.concatenate([np.stack(model.root), np.stack(model.root_t), tables])
+        i = j = k = 0
+        for chunk, place, told in zip(chunks, c.places, c.told):
+            own = np.empty((2, len(told)), "<u4")
+            n = int(told.sum())
+            a, b = c.fixed_at[i:i + len(told) - n], c.far_at[j:j + n]
+            own[:, ~told], own[:, told] = [c.fixed[a], fixed[a]], [c.far[b], far[b]]
+            m = int(_array(chunk, "hot_contexts", "<u4").sum())
+            d = c.near_at[k:k + m]
+            i, j, k = i + len(told) - n, j + n, k + m
+            yield pd.DataFrame([(chunk["batch"], row["bucket"], facts[:, place].tobytes(), own.tobytes(),
+                                 np.stack([c.near[d], near[d]]).astype("<u4").tobytes())], columns=["batch", "bucket", "words", "own", "near"])
+
+    sent = found.select(*SEATS, "far_context").mapInPandas(send, SENT).groupBy("home").agg(
+        F.collect_list(F.struct("contexts", "saved")).alias("sent")).withColumnRenamed("home", "bucket")
+    models = found.select(*SEATS, "known", "near_context").join(sent, "bucket", "left")
+    return asked.join(models, "bucket", "left").mapInPandas(run, ANSWER)
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket").agg(F.collect_list(F.struct(*CHUNK)).alias("chunks"))
+
+
+def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    top, met = most_frequent(docs, n_contexts)
+    frequent = Frequent(np.array([w for w, _ in top], "int64").view("<u8"), np.array([c for _, c in top], "int64"))
+    many, contexts = frequent.n, frequent.contexts
+    buckets = max(MIN_BUCKETS, partitions(docs), met // TOKENS_PER_BUCKET)
+    found = stored(types(grouped(read(docs.where(~held_out(F.col("doc_id"))), frequent, buckets)), contexts))
+
+    def sums(batches):
+        """Places: pairs of frequent words, frequent words after rare ones, contexts of rare words, rare words."""
         for batch in batches:
             for row in batch.to_dict("records"):
-                model = Model(row, contexts, vocabulary, history, in_context)
-                n = len(model.words)
-                base_of = np.log10((np.append(model.word_count, 0) + 1) / floor)
-                for c in row["chunks"]:
-                    h = np.frombuffer(c["words"], "<u8")
-                    if not len(h):
-                        continue
-                    at = np.minimum(np.searchsorted(model.words, h), max(n - 1, 0))
-                    known = (model.words[at] == h) if n else np.zeros(len(h), bool)
-                    word = np.repeat(np.where(known, at, n), np.frombuffer(c["lengths"], "<u4"))
-                    doc = np.frombuffer(c["docs"], "<u2")
-                    context = np.frombuffer(c["contexts"], "<u2").astype("int64") & (TRAIN - 1)
-                    own = np.log10(model.probability(word, context))
-                    names, place = np.unique(doc, return_inverse=True)
-                    yield pd.DataFrame([(c["batch"], names.tobytes(), np.bincount(place, own).astype("<f8").tobytes(),
-                                         np.bincount(place, base_of[word]).astype("<f8").tobytes(),
-                                         np.bincount(place, word < n).astype("<u4").tobytes())],
-                                       columns=["batch", "docs", "own", "base", "known"])
-
-    sums = grouped.join(found, "bucket").mapInPandas(rare, "batch string, docs binary, own binary, base binary, known binary")
-    heads = rows.where("kind = 0").select("batch", "doc_ids", "held", "n_tokens", "n_hot", "codes")
-
-    def finish(key, head: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+                key, n = _array(row, "keys", "<i8"), _array(row, "counts", "<u4")
+                last = many * contexts
+                near = np.bincount(_array(row, "near_word", "<u2"), _array(row, "near_count", "<u4"), many) + _array(row, "hot_single", "<u4")
+                yield pd.DataFrame({"place": _array(row, "codes", "<u4").astype("int64"), "value": _array(row, "code_counts", "<u4").astype("int64")})
+                rest = np.concatenate([near, np.bincount(key % contexts, n, contexts), [row["n_words"], _array(row, "customers", "<u4").sum()]])
+                yield pd.DataFrame({"place": last + np.arange(len(rest)), "value": rest.astype("int64")})
+
+    total = np.zeros(many * contexts + many + contexts + 2, "int64")
+    added = found.select("bucket", "n_words", "keys", "counts", "near_word", "near_count", "hot_single", "customers", "codes", "code_counts")
+    for r in added.mapInPandas(sums, "place long, value long").groupBy("place").agg(F.sum("value").alias("v")).collect():
+        total[r["place"]] = r["v"]
+    hot_count, rest = total[:many * contexts].reshape(many, contexts), total[many * contexts:]
+    word_count = hot_count.sum(axis=1) + rest[:many]
+    in_context = hot_count.sum(axis=0) + rest[many:many + contexts]
+    train_tokens, vocabulary = int(word_count.sum() + rest[-1]), int(rest[-2]) + many
+    floor = float(train_tokens + vocabulary + 1)
+    found = stored(with_dishes(found, buckets))
+    table = Table(hot_count, vocabulary)
+    history = sweeps(found, contexts, vocabulary, BURN_IN + SAMPLES, table)
+    samples = history[BURN_IN + 1:]
+    hot_parents = np.stack([parent(*parts(s, contexts)[1:3], s, vocabulary) for s in samples])
+    fixed_tables = np.stack([s[:contexts] for s in samples])
+    hot = predictive(hot_count, table.sum / SAMPLES, hot_parents[:, :, None], fixed_tables[:, None, :], in_context)
+
+    def finish(key, head: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("bucket")
+        joined = lambda c, rows: np.concatenate([np.frombuffer(v, "<u4").reshape(rows, -1) for v in told[c]] or [np.empty((rows, 0))], axis=1).astype(float)
         outs = []
         for r in head.to_dict("records"):
-            n_hot = np.frombuffer(r["n_hot"], "<u4")
-            codes = np.frombuffer(r["codes"], "<u4").astype("int64")
-            doc = np.repeat(np.arange(len(n_hot)), n_hot)
-            own = np.bincount(doc, hot_log.ravel()[codes], len(n_hot))
-            base = np.bincount(doc, hot_base[codes // contexts], len(n_hot))
-            known = n_hot.astype("int64")
-            for docs_, o, b, k in zip(parts["docs"], parts["own"], parts["base"], parts["known"]):
-                at = np.frombuffer(docs_, "<u2")
-                own[at] += np.frombuffer(o, "<f8")
-                base[at] += np.frombuffer(b, "<f8")
-                known[at] += np.frombuffer(k, "<u4")
+            n, code = np.frombuffer(r["n_tokens"], "<u4").astype("int64"), np.frombuffer(r["docs"], "<u4").astype("int64")
+            start = many + int(r["n_words"])
+            facts, own, near = joined("words", 1 + 3 * SAMPLES), joined("own", 2), joined("near", 2)
+            word, context, at = _pairs(code, n, start)
+            mine = word >= many
+            after = ~mine & (context >= many) & (context < start)
+            if (facts.shape[1], own.shape[1], near.shape[1]) != (r["n_words"], mine.sum(), after.sum()):
+                raise ValueError("the documents changed between two readings")
+            parents = np.stack([parent(a, b, s, vocabulary) for a, b, s in zip(facts[1:1 + SAMPLES], facts[1 + SAMPLES:1 + 2 * SAMPLES], samples)])
+            parents = np.concatenate([hot_parents, parents], axis=1)
+            known = np.concatenate([word_count, facts[0]])
+            tables = np.concatenate([fixed_tables[:, :many], facts[1 + 2 * SAMPLES:], fixed_tables[:, -1:]], axis=1)
+            customers = np.concatenate([in_context[:many], facts[0], in_context[-1:]])
+            value = np.empty(len(word))
+            swapped = np.flatnonzero(after)[np.lexsort((word[after], context[after]))]
+            for which, (count, t) in ((np.flatnonzero(mine), own), (swapped, near)):
+                w, c = word[which], context[which]
+                value[which] = predictive(count, t / SAMPLES, parents[:, w], tables[:, c], customers[c])
+            both = ~mine & ~after
+            value[both] = hot[word[both], np.where(context[both] == start, many + 1, context[both])]
+            doc = np.repeat(np.arange(len(n)), n)
             outs.append(pd.DataFrame({
-                "doc_id": pd.Series(list(r["doc_ids"]), dtype=object), "held_out": np.frombuffer(r["held"], bool),
-                "n_tokens": np.frombuffer(r["n_tokens"], "<u4").astype("int64"), "n_known": known,
-                "base_score": base, "score": own}))
+                "doc_id": pd.Series(list(r["doc_ids"]), dtype=object), "held_out": np.frombuffer(r["held"], bool), "n_tokens": n,
+                "n_known": np.bincount(doc, known[code] > 0, len(n)).astype("int64"),
+                "base_score": np.bincount(doc, np.log10((known + 1) / floor)[code], len(n)),
+                "score": np.bincount(doc, np.log10(value)[at], len(n))}))
         return pd.concat(outs) if outs else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    done = heads.groupBy("batch").cogroup(sums.groupBy("batch")).applyInPandas(
+    told = answers(grouped(read(docs, frequent, buckets)), found, contexts, vocabulary, history, buckets)
+    heads = read(docs, frequent, buckets, kind=0).select("batch", "doc_ids", "held", "n_tokens", "n_words", "docs")
+    done = heads.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(
         finish, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("doc_id").cast(kind), "held_out", "n_tokens", "n_known",
-                       F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+                       F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -369,6 +369,46 @@ def test_predictive_probabilities_sum_to_one(docs):
         assert abs(model.probability(np.arange(words + 1), np.full(words + 1, context)).sum() - 1) < 1e-9
 
 
+def test_rare_contexts_are_told_apart(docs):
+    learned, asked = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2], [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = {i: f"x{i % 20} y{i % 20}" for i in learned} | {i: f"x{k % 20} y{(k + k % 2) % 20}" for k, i in enumerate(asked)}
+    got = {r.doc_id: r.score for r in lm.score(docs(texts), 1).collect()}
+    assert min(got[i] for i in asked[::2]) > max(got[i] for i in asked[1::2]) + 0.5
+
+
+def test_customers_and_tables_of_each_context_add_up(docs):
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choices("abcdefghij", [30, 20, 9, 8, 7, 6, 5, 4, 3, 2], k=30)) for i in range(40)}
+    frame = docs(texts).coalesce(1)
+    words = sorted((lm.Hashes().of("a b")[:2]))
+    frequent, buckets = lm.Frequent(np.array(words, "<u8"), np.ones(2, "int64")), 3
+    asked = lm.grouped(lm.read(frame.where(~lm.held_out(F.col("doc_id"))), frequent, buckets))
+    found = lm.with_dishes(lm.types(asked, 4), buckets)
+    history = lm.sweeps(found, 4, 11, lm.BURN_IN + lm.SAMPLES)
+    told = lm.answers(asked, found, 4, 11, history, buckets).orderBy("bucket").collect()
+    wide = lambda c, n: np.concatenate([np.frombuffer(r[c], "<u4").reshape(n, -1) for r in told], axis=1)
+    facts, own, near = wide("words", 13), wide("own", 2), wide("near", 2)
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    h = [lm.Hashes().of(t) for t in train]
+    rare = np.unique(np.concatenate(h))
+    rare = rare[~np.isin(rare, words)]
+    pairs = collections.Counter((w, c) for t in h for c, w in zip(t, t[1:]))
+    starts = collections.Counter(t[0] for t in h)
+    count, tables = collections.Counter(), collections.Counter()
+    mine = [(w, c) for w in rare for c in sorted(words) + [c for c in rare if pairs[w, c]] + ["start"]
+            if (starts[w] if c == "start" else pairs[w, c])]
+    mine = sorted(mine, key=lambda p: (p[0], 2 if isinstance(p[1], str) else int(p[1] not in words), 0 if isinstance(p[1], str) else p[1]))
+    theirs = [(w, c) for c in rare for w in sorted(words) if pairs[w, c]]
+    assert own.shape[1] == len(mine) and near.shape[1] == len(theirs)
+    for (w, c), n, t in [*zip(mine, *own), *zip(theirs, *near)]:
+        assert n == (starts[w] if c == "start" else pairs[w, c]) and lm.SAMPLES <= t <= lm.SAMPLES * n
+        if c in rare:
+            count[c] += int(n)
+            tables[c] += int(t)
+    told = rare != lm.Hashes().of("")[0]  # nothing comes after the end
+    assert [count[c] for c in rare[told]] == list(facts[0, told]) and [tables[c] for c in rare[told]] == list(facts[9:].sum(axis=0)[told])
+
+
 def test_no_documents_to_score(none):
     assert lm.score(none).count() == 0
 
