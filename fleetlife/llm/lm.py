@@ -33,9 +33,11 @@ scored each for itself; without training tokens all words are unknown. Extra col
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ from .common import partitions, stored
 
 CONTEXTS, BURN_IN, SAMPLES, SEED = 512, 2, 4, 7
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 2.0, 0.6, 2.0
-EXACT, MIN_BUCKETS, TOKENS_PER_BUCKET, DOCS_PER_ROW, CACHE_WORDS = 256, 64, 4_000_000, 5_000, 200_000
+EXACT, MIN_BUCKETS, TOKENS_PER_BUCKET, DOCS_PER_ROW = 256, 64, 4_000_000, 5_000
 END = b"\n"  # no word is a line break
 
 
@@ -53,18 +55,26 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split() + [END]
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, in a bounded cache."""
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = tokens(text)
-        return np.fromiter(map(self.__getitem__, found), "<u8", len(found))
+class Places(dict):
+    """Word -> place in the order of first use."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+        self[word] = place = len(self)
+        return place
+
+
+def hashed(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8")
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Small numbers, compressed; their length in bytes comes first."""
+    raw = a.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd"), kind) if raw else np.empty(0, kind)
 
 
 def held_out(doc_id) -> F.Column:
@@ -75,13 +85,13 @@ def most_frequent(docs: DataFrame, number: int) -> tuple[list, int]:
     """(word, count) of the ``number`` words met most often in the training texts, and the number of training tokens. A batch
     counts its own most frequent words only: the choice decides what is kept where, not what is learned."""
     def run(batches):
-        hashes = Hashes()
         for batch in batches:
-            h = [hashes.of(text) for text in batch["text"]]
-            words, count = np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, "<u8"), np.empty(0, "int64"))
-            most = np.argsort(-count, kind="stable")[:8 * number]
-            yield pd.DataFrame({"word": words[most].view("int64"), "count": count[most], "tokens": 0})
-            yield pd.DataFrame({"word": [0], "count": [0], "tokens": [count.sum()]})
+            count = Counter()
+            for text in batch["text"]:
+                count.update(tokens(text))
+            most = count.most_common(8 * number)
+            yield pd.DataFrame({"word": hashed(w for w, _ in most).view("int64"), "count": [c for _, c in most], "tokens": 0})
+            yield pd.DataFrame({"word": [0], "count": [0], "tokens": [count.total()]})
 
     train = docs.where(~held_out(F.col("doc_id"))).select("text")
     met = train.mapInPandas(run, "word long, count long, tokens long").groupBy("word").agg(
@@ -133,19 +143,23 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> Da
     names = [c.split()[0] for c in READ.split(", ")]
     many = frequent.n
 
-    def packed(part: pd.DataFrame, batch: str, hashes: Hashes):
-        found = [hashes.of(t) for t in part["text"]]
+    def made(part: pd.DataFrame, batch: str):
+        places, found = Places(), []
+        for text in part["text"]:
+            text = tokens(text)
+            found.append(np.fromiter(map(places.__getitem__, text), "<i4", len(text)))
         n = np.array([len(f) for f in found])
-        h = np.concatenate(found)
+        h = hashed(places)
+        del places
+        ids = frequent.ids(h).astype("int64")
+        words, place = np.unique(h[ids == many], return_inverse=True)
+        ids[ids == many] += place
+        code = ids[np.concatenate(found)]
         del found
-        code = frequent.ids(h).astype("int64")
-        rare = code == many
-        words, place = np.unique(h[rare], return_inverse=True)
-        code[rare] += place
         held = part["held"].to_numpy(bool)
         if kind == 0:
             yield {"kind": 0, "batch": batch, "doc_ids": list(part["doc_id"]), "held": held.tobytes(), "n_words": len(words),
-                   "n_tokens": n.astype("<u4").tobytes(), "docs": code.astype("<u4").tobytes()}
+                   "n_tokens": packed(n.astype("<u4")), "docs": packed(code.astype("<u4"))}
             return
         start = many + len(words)
         word, context, at = _pairs(code, n, start)
@@ -168,17 +182,17 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> Da
             if s.start == s.stop and b != keeper:
                 continue
             ids = fixed[mine]
-            yield {"kind": 1, "batch": batch, "bucket": b, "words": words[s].tobytes(), "lengths": per_word[s].tobytes(),
-                   "contexts": ids.tobytes() + count[mine].tobytes(), "others": words[context[mine][ids == many] - many].tobytes(),
-                   "hot_words": word[theirs].astype("<u2").tobytes(), "hot_contexts": per_context[s].tobytes(),
-                   "hot_counts": count[theirs].tobytes()} | (
-                {"codes": codes.astype("<u4").tobytes(), "code_counts": count[both].tobytes()} if b == keeper else {})
+            yield {"kind": 1, "batch": batch, "bucket": b, "words": words[s].tobytes(), "lengths": packed(per_word[s]),
+                   "contexts": packed(np.concatenate([ids.view("u1"), count[mine].view("u1")])), "others": words[context[mine][ids == many] - many].tobytes(),
+                   "hot_words": packed(word[theirs].astype("<u2")), "hot_contexts": packed(per_context[s]),
+                   "hot_counts": packed(count[theirs])} | (
+                {"codes": packed(codes.astype("<u4")), "code_counts": packed(count[both])} if b == keeper else {})
 
     def run(batches):
-        hashes, k = Hashes(), 0
+        k = 0
         for batch in batches:
             for at in range(0, len(batch), DOCS_PER_ROW):
-                rows = list(packed(batch.iloc[at:at + DOCS_PER_ROW], f"{TaskContext.get().partitionId()}-{k}", hashes))
+                rows = list(made(batch.iloc[at:at + DOCS_PER_ROW], f"{TaskContext.get().partitionId()}-{k}"))
                 k += 1
                 yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
@@ -203,15 +217,15 @@ class Counted:
         fixed, far, near = [], [], []
         self.told = []
         for c, p in zip(chunks, self.places):
-            raw = c["contexts"]
-            ids, count = np.frombuffer(raw, "<u2", len(raw) // 6), np.frombuffer(raw, "<u4", offset=len(raw) // 3)
-            word = np.repeat(p, _array(c, "lengths", "<u4"))
+            raw = unpacked(c["contexts"], "u1")
+            ids, count = raw[:len(raw) // 3].view("<u2"), np.frombuffer(raw[len(raw) // 3:].tobytes(), "<u4")
+            word = np.repeat(p, unpacked(c.get("lengths"), "<u4"))
             told = (ids == contexts - 2) & (c.get("others") is not None)
             self.told.append(told)
             fixed.append((word[~told] * contexts + ids[~told], count[~told]))
             far.append((word[told], _array(c, "others", "<u8"), count[told]))
-            near.append((np.repeat(p, _array(c, "hot_contexts", "<u4")) * contexts + _array(c, "hot_words", "<u2"),
-                         _array(c, "hot_counts", "<u4")))
+            near.append((np.repeat(p, unpacked(c.get("hot_contexts"), "<u4")) * contexts + unpacked(c.get("hot_words"), "<u2"),
+                         unpacked(c.get("hot_counts"), "<u4")))
         self.key, self.fixed_at, self.fixed = self._summed(*map(np.concatenate, zip(*fixed)))
         word, other, count = map(np.concatenate, zip(*far))
         order = np.lexsort((other, word))
@@ -222,8 +236,8 @@ class Counted:
         self.far_word, self.far_context = w[new], o[new]
         self.far = np.bincount(self.far_at, count, len(self.far_word)).astype("int64")
         self.near_key, self.near_at, self.near = self._summed(*map(np.concatenate, zip(*near)))
-        self.code, _, self.code_count = self._summed(np.concatenate([_array(c, "codes", "<u4") for c in chunks]),
-                                                     np.concatenate([_array(c, "code_counts", "<u4") for c in chunks]))
+        self.code, _, self.code_count = self._summed(np.concatenate([unpacked(c.get("codes"), "<u4") for c in chunks]),
+                                                     np.concatenate([unpacked(c.get("code_counts"), "<u4") for c in chunks]))
         self.customers = (np.bincount(self.key // contexts, self.fixed, len(self.words))
                           + np.bincount(self.far_word, self.far, len(self.words))).astype("int64")
 
@@ -528,11 +542,11 @@ def answers(asked: DataFrame, found: DataFrame, contexts: int, vocabulary: int,
             n = int(told.sum())
             a, b = c.fixed_at[i:i + len(told) - n], c.far_at[j:j + n]
             own[:, ~told], own[:, told] = [c.fixed[a], fixed[a]], [c.far[b], far[b]]
-            m = int(_array(chunk, "hot_contexts", "<u4").sum())
+            m = int(unpacked(chunk["hot_contexts"], "<u4").sum())
             d = c.near_at[k:k + m]
             i, j, k = i + len(told) - n, j + n, k + m
-            yield pd.DataFrame([(chunk["batch"], row["bucket"], facts[:, place].tobytes(), own.tobytes(),
-                                 np.stack([c.near[d], near[d]]).astype("<u4").tobytes())], columns=["batch", "bucket", "words", "own", "near"])
+            yield pd.DataFrame([(chunk["batch"], row["bucket"], packed(facts[:, place]), packed(own),
+                                 packed(np.stack([c.near[d], near[d]]).astype("<u4")))], columns=["batch", "bucket", "words", "own", "near"])
 
     sent = found.select(*SEATS, "far_context").mapInPandas(send, SENT).groupBy("home").agg(
         F.collect_list(F.struct("contexts", "saved")).alias("sent")).withColumnRenamed("home", "bucket")
@@ -583,10 +597,10 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
 
     def finish(key, head: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("bucket")
-        joined = lambda c, rows: np.concatenate([np.frombuffer(v, "<u4").reshape(rows, -1) for v in told[c]] or [np.empty((rows, 0))], axis=1).astype(float)
+        joined = lambda c, rows: np.concatenate([unpacked(v, "<u4").reshape(rows, -1) for v in told[c]] or [np.empty((rows, 0))], axis=1).astype(float)
         outs = []
         for r in head.to_dict("records"):
-            n, code = np.frombuffer(r["n_tokens"], "<u4").astype("int64"), np.frombuffer(r["docs"], "<u4").astype("int64")
+            n, code = unpacked(r["n_tokens"], "<u4").astype("int64"), unpacked(r["docs"], "<u4").astype("int64")
             start = many + int(r["n_words"])
             facts, own, near = joined("words", 1 + 3 * SAMPLES), joined("own", 2), joined("near", 2)
             word, context, at = _pairs(code, n, start)

@@ -380,16 +380,16 @@ def test_customers_and_tables_of_each_context_add_up(docs):
     rng = random.Random(4)
     texts = {i: " ".join(rng.choices("abcdefghij", [30, 20, 9, 8, 7, 6, 5, 4, 3, 2], k=30)) for i in range(40)}
     frame = docs(texts).coalesce(1)
-    words = sorted((lm.Hashes().of("a b")[:2]))
+    words = sorted(lm.hashed([b"a", b"b"]))
     frequent, buckets = lm.Frequent(np.array(words, "<u8"), np.ones(2, "int64")), 3
     asked = lm.grouped(lm.read(frame.where(~lm.held_out(F.col("doc_id"))), frequent, buckets))
     found = lm.with_dishes(lm.types(asked, 4), buckets)
     history = lm.sweeps(found, 4, 11, lm.BURN_IN + lm.SAMPLES)
     told = lm.answers(asked, found, 4, 11, history, buckets).orderBy("bucket").collect()
-    wide = lambda c, n: np.concatenate([np.frombuffer(r[c], "<u4").reshape(n, -1) for r in told], axis=1)
+    wide = lambda c, n: np.concatenate([lm.unpacked(r[c], "<u4").reshape(n, -1) for r in told], axis=1)
     facts, own, near = wide("words", 13), wide("own", 2), wide("near", 2)
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    h = [lm.Hashes().of(t) for t in train]
+    h = [lm.hashed(lm.tokens(t)) for t in train]
     rare = np.unique(np.concatenate(h))
     rare = rare[~np.isin(rare, words)]
     pairs = collections.Counter((w, c) for t in h for c, w in zip(t, t[1:]))
@@ -405,7 +405,7 @@ def test_customers_and_tables_of_each_context_add_up(docs):
         if c in rare:
             count[c] += int(n)
             tables[c] += int(t)
-    told = rare != lm.Hashes().of("")[0]  # nothing comes after the end
+    told = rare != lm.hashed([lm.END])[0]  # nothing comes after the end
     assert [count[c] for c in rare[told]] == list(facts[0, told]) and [tables[c] for c in rare[told]] == list(facts[9:].sum(axis=0)[told])
 
 
