@@ -2,7 +2,7 @@
 
 Task k asks whether a row's bin is above k, among the rows that reached bin k. All tasks of all cells share each pass over the
 rows: tasks of the job add up the loss, the gradient and the Hessian per (cell, k), and the driver solves one small
-system for each. A step that raises a task's loss is halved until it doesn't. Inputs are standardized with the cell's own
+system for each. A step that raises a task's loss is halved until it doesn't, and a task that no longer moves is left out. Inputs are standardized with the cell's own
 train units, whose moments come from their Gram sums. Tasks with one class only have a fixed logit.
 """
 
@@ -54,9 +54,10 @@ def _moments(rows: DataFrame, plan: DataFrame, column: str, cells: list[tuple])
 
 
 def _pass(state: DataFrame, w: np.ndarray, mean: np.ndarray, sd: np.ndarray, going: np.ndarray) -> dict[int, tuple]:
-    """cell -> (rows, ones, loss, gradient, Hessian) per task, summed over all train rows, for the cells still ``going``."""
-    tasks, width = w.shape[1:]
-    size = 3 * tasks + tasks * width + tasks * width * width
+    """cell -> (tasks, then of each: rows, ones, loss, gradient, Hessian), summed over all train rows, for the tasks still ``going``."""
+    width = w.shape[2]
+    upper = np.triu_indices(width)
+    size = 3 + width + len(upper[0])
 
     def run(batches):
         total = {}
@@ -70,18 +71,20 @@ def _pass(state: DataFrame, w: np.ndarray, mean: np.ndarray, sd: np.ndarray, goi
             order = np.argsort(cell, kind="stable")
             row, cell = row[order], cell[order]
             for c in np.unique(cell):
-                if not going[c]:
+                tasks = np.flatnonzero(going[c])
+                if not len(tasks):
                     continue
                 at = row[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
                 z = np.concatenate([np.ones((len(at), 1)), (x[at] - mean[c]) / sd[c]], axis=1)
-                asked = reached[at, None] >= np.arange(tasks)
-                above = (reached[at, None] > np.arange(tasks)).astype(float)
-                logit = z @ w[c].T
-                p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                loss = (np.logaddexp(0, logit) - above * logit) * asked
+                asked = reached[at, None] >= tasks
+                above = (reached[at, None] > tasks).astype(float)
+                logit = z @ w[c, tasks].T
+                small = np.exp(-np.abs(logit))
+                p = np.where(logit >= 0, 1.0, small) / (1 + small)
+                loss = (np.maximum(logit, 0) + np.log1p(small) - above * logit) * asked
                 rest, curve = (p - above) * asked, p * (1 - p) * asked
-                made = np.concatenate([asked.sum(0), (above * asked).sum(0), loss.sum(0), (rest.T @ z).ravel(),
-                                       np.stack([z.T @ (curve[:, k:k + 1] * z) for k in range(tasks)]).ravel()])
+                made = np.concatenate([np.stack([asked.sum(0), (above * asked).sum(0), loss.sum(0)], axis=1), rest.T @ z,
+                                       curve.T @ (z[:, upper[0]] * z[:, upper[1]])], axis=1).ravel()
                 total[c] = total.get(c, 0) + made
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(map(int, total)), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["cell", "sums"])
@@ -91,9 +94,11 @@ def _pass(state: DataFrame, w: np.ndarray, mean: np.ndarray, sd: np.ndarray, goi
     out = {}
     for r in added.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s")).collect():
         s = np.array([p["v"] for p in r["s"]])
-        assert len(s) == size
-        out[r["cell"]] = (s[:tasks], s[tasks:2 * tasks], s[2 * tasks:3 * tasks], s[3 * tasks:3 * tasks + tasks * width].reshape(tasks, width),
-                          s[3 * tasks + tasks * width:].reshape(tasks, width, width))
+        tasks = np.flatnonzero(going[r["cell"]])
+        s = s.reshape(len(tasks), size)
+        hessian = np.empty((len(tasks), width, width))
+        hessian[:, upper[0], upper[1]] = hessian[:, upper[1], upper[0]] = s[:, 3 + width:]
+        out[r["cell"]] = (tasks, s[:, 0], s[:, 1], s[:, 2], s[:, 3:3 + width], hessian)
     return out
 
 
@@ -112,30 +117,30 @@ def fit(rows: DataFrame, plan: DataFrame, column: str, max_rul: float, label: st
     w = np.zeros((len(cells), tasks, width))
     last, low = w.copy(), np.full((len(cells), tasks), np.inf)
     loss, shares = np.zeros((len(cells), tasks)), np.zeros((len(cells), tasks))
-    going, free = np.ones(len(cells), bool), np.zeros((len(cells), tasks), bool)
+    going, free = np.ones((len(cells), tasks), bool), np.zeros((len(cells), tasks), bool)
     ridge = l2 * np.diag([0.0] + [1.0] * (width - 1))
     for step in range(steps + 1):
         found = _pass(state, w, mean, sd, going)
-        for c, (n, ones, total, gradient, hessian) in found.items():
+        for c, (which, n, ones, total, gradient, hessian) in found.items():
             if step == 0:
                 free[c] = (ones > 0) & (ones < n)
                 w[c, ~free[c], 0] = np.where(ones > 0, SURE, -SURE)[~free[c]]
                 share = np.clip(np.where(n > 0, ones / np.maximum(n, 1), 0.5), 1e-12, 1 - 1e-12)
                 shares[c] = np.where(free[c], -(share * np.log(share) + (1 - share) * np.log(1 - share)), 0.0)
-            moved = 0.0
-            for k in np.flatnonzero(free[c]):
-                whole = total[k] / n[k] + 0.5 * l2 * (w[c, k, 1:] ** 2).sum()
+                going[c] = free[c]
+            for i, k in enumerate(which):
+                if not free[c, k]:
+                    continue
+                whole = total[i] / n[i] + 0.5 * l2 * (w[c, k, 1:] ** 2).sum()
                 if whole > low[c, k] + 1e-12:  # the step was too long
                     w[c, k] = (w[c, k] + last[c, k]) / 2
-                    moved = np.inf
                     continue
-                low[c, k], loss[c, k], last[c, k] = whole, total[k] / n[k], w[c, k]
-                slope = gradient[k] / n[k] + np.concatenate([[0.0], l2 * w[c, k, 1:]])
-                change = np.linalg.solve(hessian[k] / n[k] + ridge + 1e-12 * np.eye(width), slope)
+                low[c, k], loss[c, k], last[c, k] = whole, total[i] / n[i], w[c, k]
+                slope = gradient[i] / n[i] + np.concatenate([[0.0], l2 * w[c, k, 1:]])
+                change = np.linalg.solve(hessian[i] / n[i] + ridge + 1e-12 * np.eye(width), slope)
                 w[c, k] = w[c, k] - change
-                moved = max(moved, np.abs(slope).max())
-            going[c] = moved > TOLERANCE
-        going &= np.isin(np.arange(len(cells)), list(found))
+                going[c, k] = np.abs(slope).max() > TOLERANCE
+        going &= np.isin(np.arange(len(cells)), list(found))[:, None]
         if not going.any():
             break
     w = np.where(free[:, :, None], last, w)
