@@ -38,6 +38,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    jvm = spark._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def plain(frame: pd.DataFrame, *texts: str) -> pd.DataFrame:
     """Text columns as Python objects: an empty column, or one of nulls alone, would else be taken for numbers."""
     return frame.astype(dict.fromkeys(texts, object))

@@ -33,21 +33,21 @@ scored each for itself; without training tokens all words are unknown. Extra col
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import discard, partitions, stored
 
 CONTEXTS, BURN_IN, SAMPLES, SEED = 512, 2, 4, 7
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 2.0, 0.6, 2.0
-EXACT, MIN_BUCKETS, TOKENS_PER_BUCKET, DOCS_PER_ROW = 256, 64, 4_000_000, 5_000
+EXACT, MIN_BUCKETS, TOKENS_PER_BUCKET, DOCS_PER_ROW, PAIRS_AT_ONCE = 256, 64, 4_000_000, 5_000, 1 << 16
 END = b"\n"  # no word is a line break
 
 
@@ -55,26 +55,71 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split() + [END]
 
 
-class Places(dict):
-    """Word -> place in the order of first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
+def coded(texts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of all texts as places among the different ones, the number of tokens of each text, and the different ones."""
+    text = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    full = pc.greater(pc.binary_length(split.values), 0)  # gaps at the ends of a text leave empty words
+    edge = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()]
+    found = split.values.filter(full).dictionary_encode()
+    n = np.diff(edge) + 1
+    code = np.full(n.sum(), len(found.dictionary), "<i4")
+    word = np.ones(len(code), bool)
+    word[np.cumsum(n) - 1] = False
+    code[word] = found.indices.to_numpy()
+    del text, split, full
+    pa.default_memory_pool().release_unused()
+    return code, n, [*found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), END]
+
+
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on sorted, and the places that they had; equal ones stay in their order. Number and place are sorted as one
+    number where 63 bits hold both, which is faster than to sort places."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits > 63:
+        place = np.argsort(key, kind="stable")
+        return key[place], place
+    key = key.astype("int64", copy=False) << bits
+    key |= np.arange(len(key))
+    key.sort()
+    place = (key & ((1 << bits) - 1)).astype("<i4" if bits < 32 else "int64")
+    key >>= bits
+    return key, place
+
+
+def different(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in order, and the place of each number among them."""
+    key, place = in_order(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.empty(len(key), place.dtype)
+    at[place] = np.cumsum(new, dtype=place.dtype) - 1
+    return key[new], at
 
 
 def hashed(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8")
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then their second bytes, and so on: those of small numbers are then mostly long runs of 0."""
+    return np.ascontiguousarray(a).reshape(-1, 1).view("u1").T.ravel()
+
+
+def numbers(raw: np.ndarray, kind: str) -> np.ndarray:
+    """What ``planes`` was given."""
+    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def packed(a: np.ndarray) -> bytes:
     """Small numbers, compressed; their length in bytes comes first."""
-    raw = a.tobytes()
+    raw = planes(a).tobytes()
     return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd"), kind) if raw else np.empty(0, kind)
+    size = int.from_bytes(raw[:4], "little") if raw else 0
+    return numbers(np.frombuffer(pa.decompress(raw[4:], size, "zstd"), "u1"), kind) if size else np.empty(0, kind)
 
 
 def held_out(doc_id) -> F.Column:
@@ -86,12 +131,11 @@ def most_frequent(docs: DataFrame, number: int) -> tuple[list, int]:
     counts its own most frequent words only: the choice decides what is kept where, not what is learned."""
     def run(batches):
         for batch in batches:
-            count = Counter()
-            for text in batch["text"]:
-                count.update(tokens(text))
-            most = count.most_common(8 * number)
-            yield pd.DataFrame({"word": hashed(w for w, _ in most).view("int64"), "count": [c for _, c in most], "tokens": 0})
-            yield pd.DataFrame({"word": [0], "count": [0], "tokens": [count.total()]})
+            code, _, words = coded(batch["text"])
+            count = np.bincount(code, minlength=len(words))
+            most = np.argsort(-count, kind="stable")[:8 * number]
+            yield pd.DataFrame({"word": hashed(words[i] for i in most).view("int64"), "count": count[most], "tokens": 0})
+            yield pd.DataFrame({"word": [0], "count": [0], "tokens": [len(code)]})
 
     train = docs.where(~held_out(F.col("doc_id"))).select("text")
     met = train.mapInPandas(run, "word long, count long, tokens long").groupBy("word").agg(
@@ -132,7 +176,7 @@ def _pairs(code: np.ndarray, n: np.ndarray, start: int) -> tuple[np.ndarray, np.
     """Words and contexts of the different pairs in documents of n tokens each, and the pair of each token."""
     context = np.concatenate([[start], code[:-1]])
     context[np.cumsum(n) - n] = start
-    pair, at = np.unique(code * (start + 1) + context, return_inverse=True)
+    pair, at = different(code * (start + 1) + context)
     return pair // (start + 1), pair % (start + 1), at
 
 
@@ -144,17 +188,13 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> Da
     many = frequent.n
 
     def made(part: pd.DataFrame, batch: str):
-        places, found = Places(), []
-        for text in part["text"]:
-            text = tokens(text)
-            found.append(np.fromiter(map(places.__getitem__, text), "<i4", len(text)))
-        n = np.array([len(f) for f in found])
-        h = hashed(places)
-        del places
+        found, n, names = coded(part["text"])
+        h = hashed(names)
+        del names
         ids = frequent.ids(h).astype("int64")
         words, place = np.unique(h[ids == many], return_inverse=True)
         ids[ids == many] += place
-        code = ids[np.concatenate(found)]
+        code = ids[found]
         del found
         held = part["held"].to_numpy(bool)
         if kind == 0:
@@ -169,7 +209,7 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> Da
         both = ~own & ~after & (count > 0)
         fixed = np.where(context < many, context, np.where(context == start, many + 1, many)).astype("<u2")
         codes = word[both] * frequent.contexts + fixed[both]
-        swapped = np.flatnonzero(after)[np.lexsort((word[after], context[after]))]
+        swapped = np.flatnonzero(after)[in_order(context[after] * many + word[after])[1]]
         per_word = np.bincount(word[own] - many, minlength=len(words)).astype("<u4")
         per_context = np.bincount(context[after] - many, minlength=len(words)).astype("<u4")
         edge = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
@@ -183,7 +223,7 @@ def read(docs: DataFrame, frequent: Frequent, buckets: int, kind: int = 1) -> Da
                 continue
             ids = fixed[mine]
             yield {"kind": 1, "batch": batch, "bucket": b, "words": words[s].tobytes(), "lengths": packed(per_word[s]),
-                   "contexts": packed(np.concatenate([ids.view("u1"), count[mine].view("u1")])), "others": words[context[mine][ids == many] - many].tobytes(),
+                   "contexts": packed(np.concatenate([planes(ids), planes(count[mine])])), "others": words[context[mine][ids == many] - many].tobytes(),
                    "hot_words": packed(word[theirs].astype("<u2")), "hot_contexts": packed(per_context[s]),
                    "hot_counts": packed(count[theirs])} | (
                 {"codes": packed(codes.astype("<u4")), "code_counts": packed(count[both])} if b == keeper else {})
@@ -218,7 +258,7 @@ class Counted:
         self.told = []
         for c, p in zip(chunks, self.places):
             raw = unpacked(c["contexts"], "u1")
-            ids, count = raw[:len(raw) // 3].view("<u2"), np.frombuffer(raw[len(raw) // 3:].tobytes(), "<u4")
+            ids, count = numbers(raw[:len(raw) // 3], "<u2"), numbers(raw[len(raw) // 3:], "<u4")
             word = np.repeat(p, unpacked(c.get("lengths"), "<u4"))
             told = (ids == contexts - 2) & (c.get("others") is not None)
             self.told.append(told)
@@ -228,7 +268,8 @@ class Counted:
                          unpacked(c.get("hot_counts"), "<u4")))
         self.key, self.fixed_at, self.fixed = self._summed(*map(np.concatenate, zip(*fixed)))
         word, other, count = map(np.concatenate, zip(*far))
-        order = np.lexsort((other, word))
+        order = np.argsort(other)
+        order = order[in_order(word[order])[1]]
         w, o = word[order], other[order]
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])])[:len(w)]
         self.far_at = np.empty(len(w), "int64")
@@ -243,23 +284,35 @@ class Counted:
 
     @staticmethod
     def _summed(key: np.ndarray, count: np.ndarray):
-        names, at = np.unique(key.astype("int64"), return_inverse=True)
+        names, at = different(key)
         return names, at, np.bincount(at, count, len(names)).astype("int64")
 
 
-def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating the customers of each dish; ``fresh`` is the weight of a new table."""
-    order = np.argsort(-customers, kind="stable")
+def waiting(customers: np.ndarray) -> np.ndarray:
+    """The places of dishes with more than one customer, those with most first: the first one has a table of its own."""
+    many = np.flatnonzero(customers > 1)
+    most = int(customers[many].max(initial=1))
+    # 16 bits are sorted by radix
+    return many[np.argsort((most - customers[many]).astype("<u2" if most < 1 << 16 else "<i8"), kind="stable")]
+
+
+def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, order: np.ndarray | None = None) -> np.ndarray:
+    """Tables after seating the customers of each dish; ``fresh`` is the weight of a new table and ``order`` what ``waiting``
+    gives, if known."""
+    order = waiting(customers) if order is None else order
     c, w = customers[order], fresh[order]
     t = np.ones(len(c))
+    below, drawn, taken = -c, np.empty(len(c)), np.empty(len(c))
     k = 1
     while len(c) and c[0] > k:
         step = 1 if k < EXACT else k // 16
-        n = int(np.searchsorted(-c, -k))  # dishes with more than k customers
-        p = w[:n] / (w[:n] + k - discount * t[:n])
-        t[:n] += (rng.random(n) < p) if step == 1 else rng.binomial(np.minimum(step, c[:n] - k), p)
+        n = int(np.searchsorted(below, -k))  # dishes with more than k customers
+        p = np.add(w[:n], k, out=drawn[:n])
+        p -= np.multiply(t[:n], discount, out=taken[:n])
+        np.divide(w[:n], p, out=p)
+        t[:n] += (rng.random(out=taken[:n]) < p) if step == 1 else rng.binomial(np.minimum(step, c[:n] - k), p)
         k += step
-    out = np.empty(len(c))
+    out = np.ones(len(customers))
     out[order] = t
     return out
 
@@ -289,6 +342,10 @@ class Sampler:
         self.hot_single = np.zeros(contexts - 2) + (_array(row, "hot_single", "<u4") if row.get("hot_single") else 0)
         self.t, self.far_t, self.near_t = np.ones(len(key)), np.ones(len(self.far_word)), np.ones(len(self.near_word))
         self.root_t = np.ones(self.n_words)
+        self.many = np.flatnonzero(self.count > 1)
+        self.many_word, self.many_context = self.word[self.many], self.context[self.many]
+        self.seats = np.concatenate([self.count[self.many], self.far_count, self.near_count])
+        self.order = waiting(self.seats)
         self._to_root()
 
     def _to_root(self) -> None:
@@ -303,13 +360,13 @@ class Sampler:
     def sweep(self, number: int, state: np.ndarray) -> None:
         rng = np.random.default_rng([SEED, self.bucket, number])
         tables, hot, hot_t, _, total = parts(state, self.contexts)
-        p, many = parent(self.root, self.root_t, state, self.vocabulary), self.count > 1
-        fresh = np.concatenate([(STRENGTH + DISCOUNT * tables[self.context[many]]) * p[self.word[many]],
+        p = parent(self.root, self.root_t, state, self.vocabulary)
+        fresh = np.concatenate([(STRENGTH + DISCOUNT * tables[self.many_context]) * p[self.many_word],
                                 (STRENGTH + DISCOUNT * self.far_dishes) * p[self.far_word],
                                 (STRENGTH + DISCOUNT * self.near_dishes) * parent(hot, hot_t, state, self.vocabulary)[self.near_word]])
-        t = seated(np.concatenate([self.count[many], self.far_count, self.near_count]), fresh, DISCOUNT, rng)
-        first, second = int(many.sum()), int(many.sum()) + len(self.far_word)
-        self.t[many], self.far_t, self.near_t = t[:first], t[first:second], t[second:]
+        t = seated(self.seats, fresh, DISCOUNT, rng, self.order)
+        first, second = len(self.many), len(self.many) + len(self.far_word)
+        self.t[self.many], self.far_t, self.near_t = t[:first], t[first:second], t[second:]
         self._to_root()
         new = np.full(self.n_words, (ROOT_STRENGTH + ROOT_DISCOUNT * total) / (self.vocabulary + 1))
         self.root_t = seated(self.root.astype("int64"), new, ROOT_DISCOUNT, rng)
@@ -565,7 +622,7 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
     frequent = Frequent(np.array([w for w, _ in top], "int64").view("<u8"), np.array([c for _, c in top], "int64"))
     many, contexts = frequent.n, frequent.contexts
     buckets = max(MIN_BUCKETS, partitions(docs), met // TOKENS_PER_BUCKET)
-    found = stored(types(grouped(read(docs.where(~held_out(F.col("doc_id"))), frequent, buckets)), contexts))
+    counted = stored(types(grouped(read(docs.where(~held_out(F.col("doc_id"))), frequent, buckets)), contexts))
 
     def sums(batches):
         """Places: pairs of frequent words, frequent words after rare ones, contexts of rare words, rare words."""
@@ -579,7 +636,7 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
                 yield pd.DataFrame({"place": last + np.arange(len(rest)), "value": rest.astype("int64")})
 
     total = np.zeros(many * contexts + many + contexts + 2, "int64")
-    added = found.select("bucket", "n_words", "keys", "counts", "near_word", "near_count", "hot_single", "customers", "codes", "code_counts")
+    added = counted.select("bucket", "n_words", "keys", "counts", "near_word", "near_count", "hot_single", "customers", "codes", "code_counts")
     for r in added.mapInPandas(sums, "place long, value long").groupBy("place").agg(F.sum("value").alias("v")).collect():
         total[r["place"]] = r["v"]
     hot_count, rest = total[:many * contexts].reshape(many, contexts), total[many * contexts:]
@@ -587,7 +644,8 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
     in_context = hot_count.sum(axis=0) + rest[many:many + contexts]
     train_tokens, vocabulary = int(word_count.sum() + rest[-1]), int(rest[-2]) + many
     floor = float(train_tokens + vocabulary + 1)
-    found = stored(with_dishes(found, buckets))
+    found = stored(with_dishes(counted, buckets))
+    discard(counted)
     table = Table(hot_count, vocabulary)
     history = sweeps(found, contexts, vocabulary, BURN_IN + SAMPLES, table)
     samples = history[BURN_IN + 1:]
@@ -597,7 +655,7 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
 
     def finish(key, head: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("bucket")
-        joined = lambda c, rows: np.concatenate([unpacked(v, "<u4").reshape(rows, -1) for v in told[c]] or [np.empty((rows, 0))], axis=1).astype(float)
+        joined = lambda c, rows: np.concatenate([unpacked(v, "<u4").reshape(rows, -1) for v in told[c]] or [np.empty((rows, 0), "<u4")], axis=1)
         outs = []
         for r in head.to_dict("records"):
             n, code = unpacked(r["n_tokens"], "<u4").astype("int64"), unpacked(r["docs"], "<u4").astype("int64")
@@ -608,16 +666,19 @@ def score(docs: DataFrame, n_contexts: int = CONTEXTS) -> DataFrame:
             after = ~mine & (context >= many) & (context < start)
             if (facts.shape[1], own.shape[1], near.shape[1]) != (r["n_words"], mine.sum(), after.sum()):
                 raise ValueError("the documents changed between two readings")
+            facts = facts.astype(float)
             parents = np.stack([parent(a, b, s, vocabulary) for a, b, s in zip(facts[1:1 + SAMPLES], facts[1 + SAMPLES:1 + 2 * SAMPLES], samples)])
             parents = np.concatenate([hot_parents, parents], axis=1)
             known = np.concatenate([word_count, facts[0]])
             tables = np.concatenate([fixed_tables[:, :many], facts[1 + 2 * SAMPLES:], fixed_tables[:, -1:]], axis=1)
             customers = np.concatenate([in_context[:many], facts[0], in_context[-1:]])
             value = np.empty(len(word))
-            swapped = np.flatnonzero(after)[np.lexsort((word[after], context[after]))]
-            for which, (count, t) in ((np.flatnonzero(mine), own), (swapped, near)):
-                w, c = word[which], context[which]
-                value[which] = predictive(count, t / SAMPLES, parents[:, w], tables[:, c], customers[c])
+            swapped = np.flatnonzero(after)[in_order(context[after] * many + word[after])[1]]
+            for places, (count, t) in ((np.flatnonzero(mine), own), (swapped, near)):
+                for i in range(0, len(places), PAIRS_AT_ONCE):
+                    part, which = slice(i, i + PAIRS_AT_ONCE), places[i:i + PAIRS_AT_ONCE]
+                    w, c = word[which], context[which]
+                    value[which] = predictive(count[part], t[part] / SAMPLES, parents[:, w], tables[:, c], customers[c])
             both = ~mine & ~after
             value[both] = hot[word[both], np.where(context[both] == start, many + 1, context[both])]
             doc = np.repeat(np.arange(len(n)), n)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetlife.llm import chat, licences, lm, packing, queries, urls
+from fleetlife.session import work_dir
 
 PATH = "/root/testdata/sf0.001"
 
@@ -409,6 +411,56 @@ def test_customers_and_tables_of_each_context_add_up(docs):
     assert [count[c] for c in rare[told]] == list(facts[0, told]) and [tables[c] for c in rare[told]] == list(facts[9:].sum(axis=0)[told])
 
 
+def test_coded_tokens_are_those_of_each_text():
+    rng = random.Random(3)
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "A  b\u00a0c\x1cD ", "\u00c4\u0130x \x85y\x00Z", " a", "a ", "a\n\nA"] + [
+        "".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x1f\x85\u00a0\u2003aAbZ\u00e9\u00c9\x00", k=rng.randint(0, 12))) for _ in range(500)]
+    for some in (texts, texts[:1], texts[1:3], []):
+        code, n, words = lm.coded(some)
+        want = [lm.tokens(t) for t in some]
+        assert [words[i] for i in code] == [w for t in want for w in t] and list(n) == [len(t) for t in want]
+        assert len(set(words)) == len(words)
+
+
+def test_places_of_numbers_in_order():
+    rng = np.random.default_rng(1)
+    for top in (1, 50, 1 << 40, (1 << 62) + 1):  # the last needs more than 63 bits beside its place
+        key = rng.integers(0, top, 1000)
+        got, place = lm.in_order(key)
+        assert np.array_equal(place, np.argsort(key, kind="stable")) and np.array_equal(got, np.sort(key))
+        for got, want in zip(lm.different(key), np.unique(key, return_inverse=True)):
+            assert np.array_equal(got, want)
+    assert [len(x) for x in lm.different(np.empty(0, "int64"))] == [0, 0]
+
+
+def test_packed_numbers_are_short_and_read_back():
+    rng = np.random.default_rng(1)
+    small = rng.geometric(0.4, 20000)
+    for kind in ("<u2", "<u4"):
+        for a in (small.astype(kind), small.astype(kind).reshape(4, -1), np.empty(0, kind)):
+            assert np.array_equal(lm.unpacked(lm.packed(a), kind), a.ravel())
+    assert len(lm.packed(small.astype("<u4"))) < 8000  # one number after the other took 12.7 kB
+
+
+def test_dishes_are_put_in_order_once_for_all_sweeps(monkeypatch):
+    customers, fresh = np.random.default_rng(5).geometric(0.01, 3000), np.full(3000, 0.7)
+    want = lm.seated(customers, fresh, 0.5, np.random.default_rng(2))
+    assert np.array_equal(lm.seated(customers, fresh, 0.5, np.random.default_rng(2), lm.waiting(customers)), want)
+    key = np.arange(20)
+    row = {"bucket": 0, "n_words": 5, "keys": key.astype("<i8").tobytes(), "counts": (key % 4 + 1).astype("<u4").tobytes()}
+    sizes = []
+    monkeypatch.setattr(lm, "waiting", lambda c, plain=lm.waiting: (sizes.append(len(c)), plain(c))[1])
+    lm._sampler(row, 4, 5, [np.full(10, 20.0)] * 3)
+    assert sizes == [15, 5, 5, 5]  # the pairs that came twice once, the words at the root in each sweep
+
+
+def test_only_one_table_is_left_beside_the_scores(spark, docs):
+    folder = pathlib.Path(work_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("llm-*"))
+    lm.score(docs({i: f"x{i % 3} y z" for i in range(30)}), 2).collect()
+    assert len(set(folder.glob("llm-*")) - before) == 1
+
+
 def test_no_documents_to_score(none):
     assert lm.score(none).count() == 0
 
